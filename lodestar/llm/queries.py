@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, quality, secrets, simhash, toxicity
+from . import decontamination, hnsw, langid, linededup, mixing, quality, secrets, simhash, toxicity
 from .common import load
 
 
@@ -29,6 +29,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(load(spark, sf_dir, "documents"), gone="gone")
+    n_words = mixing.n_words(F.col("text"))
+    return cleaned.select(
+        "doc_id",
+        F.size("gone").cast("long").alias("n_removed"),
+        F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"),
+        n_words.alias("n_words_kept"),
+        F.sha2(F.col("text"), 256).alias("kept_sha256"),
+        "text",
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("mark")
 
@@ -37,6 +50,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
