@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hnsw, langid, linededup, mixing, quality, secrets, simhash, toxicity
+from . import decontamination, hnsw, langid, linededup, lm, mixing, quality, secrets, simhash, toxicity
 from .common import load
 
 
@@ -29,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(load(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(load(spark, sf_dir, "documents"), gone="gone")
     n_words = mixing.n_words(F.col("text"))
