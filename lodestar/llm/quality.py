@@ -108,9 +108,12 @@ def fit(texts: list[tuple[int, bytes]], sizes: dict[int, int]) -> Model:
     matrix = np.stack([terms(t) for _, t in texts])
     labels = np.array([y for y, _ in texts])
     idf = np.log((1 + len(texts)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 0.3
-    weighted = matrix * idf
-    values, vectors = np.linalg.eigh(weighted.T @ weighted)
-    axes = vectors[:, np.argsort(-values)[:LATENT]].astype(np.float32)
+    matrix *= idf
+    # The leading axes by subspace iteration: no terms by terms matrix is made.
+    axes = np.random.default_rng(0).standard_normal((TERMS, LATENT)).astype(np.float32)
+    for _ in range(12):
+        axes = np.linalg.qr(matrix.T @ (matrix @ axes))[0].astype(np.float32)
+    del matrix
     stands_for = {y: sizes.get(y, 0) / max(1, int((labels == y).sum())) for y in (0, 1)}
     model = Model(idf, axes, none, labels.astype(np.float64), np.array([stands_for[y] for y in labels.tolist()]), prior)
     model.vectors = model.latent([t for _, t in texts])
