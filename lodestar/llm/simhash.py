@@ -132,8 +132,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     marked = docs.withColumn(fp, fingerprint(F.col(text), shingle))
     prints = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")).distinct())
     kept = prints.join(groups(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = kept.groupBy("component_id").agg(F.min("fp").alias("_fp"))
-    same = F.col(fp).eqNullSafe(F.col("_fp")) & F.col(doc_id).eqNullSafe(F.col("component_id"))
+    first = kept.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*")
+    first = first.select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp))
+    same = (F.col(fp) == F.col(kept_fp)) & F.col(doc_id).eqNullSafe(F.col(kept_id))
     order = Window.partitionBy(doc_id, fp).orderBy(F.xxhash64(text))
     stay = marked.join(first, same).withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1)
     return stay.select(*docs.columns)
