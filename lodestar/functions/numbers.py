@@ -17,7 +17,7 @@ def rounded(x: Column, digits: int = 2) -> Column:
 def age_hours(ts: Column, as_of: Column) -> Column:
     """Hours from a timestamp to as_of, 0 at least; null counts as older than the window."""
     hours = (F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(3.6e9)
-    return F.coalesce(F.greatest(F.lit(0.0), hours), F.lit(float(C.WINDOW_HOURS + 1)))
+    return F.when(hours.isNotNull(), F.greatest(F.lit(0.0), hours)).otherwise(F.lit(float(C.WINDOW_HOURS + 1)))
 
 
 def text_time(s: Column) -> Column:

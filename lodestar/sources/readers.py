@@ -80,11 +80,14 @@ def append_topics(topics: DataFrame, path: str, mode: str = "append") -> None:
 
 def history_rows(history: DataFrame) -> DataFrame:
     """(media_type, key_kind, key_value) of the wide form; missing lists are empty."""
-    kinds = [(m, k, f"{m}s" if k == "url" else f"{m}_{k}es".replace("perceptuales", "perceptual_hashes")) for m in ("video", "image") for k in ("url", "hash", "perceptual")]
-    lists = [
-        F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, m=m, k=k: F.struct(F.lit(m).alias("media_type"), F.lit(k).alias("key_kind"), v.alias("key_value")))
-        for m, k, c in kinds
-    ]
+    columns = {"url": "{}s", "hash": "{}_hashes", "perceptual": "{}_perceptual_hashes"}
+
+    def entries(media: str, kind: str) -> Column:
+        values = F.coalesce(F.col(columns[kind].format(media)), F.array().cast("array<string>"))
+        entry = lambda v: F.struct(F.lit(media).alias("media_type"), F.lit(kind).alias("key_kind"), v.alias("key_value"))
+        return F.transform(values, entry)
+
+    lists = [entries(media, kind) for media in ("video", "image") for kind in columns]
     return history.select(F.explode(F.concat(*lists)).alias("x")).select("x.*").filter("key_value is not null")
 
 
