@@ -84,6 +84,38 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def near_copies(rng, n_words, changes, copies):
+    words = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
+    out = [" ".join(words)]
+    for _ in range(copies):
+        own = list(words)
+        for i in rng.sample(range(n_words), changes):
+            own[i] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket", [4, 64])
+def test_near_copies_go_and_clean_documents_stay(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (bucket,))
+    rng = random.Random(bucket)
+    groups = [near_copies(rng, 300, changes, copies) for changes, copies in ((2, 60), (3, 20), (4, 5), (4, 5), (1, 3))]
+    clean = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 300))) for _ in range(60)]
+    assert min(jaccard(g[0], t) for g in groups for t in g) >= 0.8
+    texts = [t for g in groups for t in g] + clean
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = 0
+    for g in groups:
+        assert len(kept & set(range(at, at + len(g)))) == 1 and at in kept
+        at += len(g)
+    assert set(range(at, len(texts))) <= kept
+
+
 def test_query_against_brute_force(spark, small):
     from lodestar.llm import queries
 
