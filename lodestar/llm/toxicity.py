@@ -123,21 +123,39 @@ def train_toxic(toxic: list[bytes], ordinary: list[bytes], support: float = 0.1,
                 break
             s = longer
         chosen.add(s)
-    return sorted(chosen, key=lambda s: (apart[s], s))
+    cut = {_cut(s, ordinary, apart[s] / len(toxic) / lift) for s in chosen}
+    return sorted(cut, key=lambda s: (with_toxic[s], s))
+
+
+def _cut(segment: bytes, ordinary: list[bytes], most: float) -> bytes:
+    """The segment without an end that ordinary words also have inside them.
+
+    A match may begin inside a segment; parts of it that more than a share `most` of the
+    ordinary texts hold would make hits of ordinary words.
+    """
+    texts = [b" " + b" ".join(words_of(t)) + b" " for t in ordinary]
+    for at in range(1, len(segment) - MIN_MATCH + 1):
+        part = segment[at : at + MIN_MATCH]
+        if sum(part in t for t in texts) > most * len(texts):
+            return segment[: at + MIN_MATCH - 1]
+    return segment
 
 
 def train_ordinary(ordinary: list[bytes], segments: list[bytes]) -> bytes:
-    """The ordinary dictionary, trained by zstandard on the windows of ordinary texts.
+    """The ordinary dictionary: the words that most ordinary texts share, the most frequent last.
 
-    Windows with a toxic segment are left out: what both dictionaries held would save nothing.
-    It is small on purpose, as its matches would otherwise run into toxic words and hide them.
+    Words with a toxic segment are left out: what both dictionaries held would save nothing.
     """
-    pieces = [w.removesuffix(_TAIL) for t in ordinary for w in windows(t)]
-    pieces = [w for w in pieces if not any(s in w for s in segments)]
-    try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, pieces, k=16, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        return b" ".join(pieces)[-ORDINARY_BYTES:] or b"        "
+    seen: Counter = Counter()
+    for t in ordinary:
+        seen.update(b" " + w + b" " for w in set(words_of(t)) if len(w) + 2 >= MIN_MATCH)
+    out = b""
+    for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+        if len(out) + len(w) > ORDINARY_BYTES:
+            break
+        if not any(s in w for s in segments):
+            out = w + out
+    return out or b"        "
 
 
 def rising(rates: np.ndarray, mass: np.ndarray) -> tuple[float, ...]:
