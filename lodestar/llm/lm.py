@@ -24,7 +24,7 @@ VOCABULARY = 65_535
 #: Pseudo-count of the unigram model in each context.
 PRIOR = 500.0
 #: Tokens of a batch of documents, tokens a shard is laid out for, and words a counter holds.
-BATCH_TOKENS, SHARD_TOKENS, COUNTED = 1 << 20, 4_000_000, 400_000
+BATCH_TOKENS, SHARD_TOKENS, COUNTED = 500_000, 1_200_000, 200_000
 #: Hash of the end of a text: of a byte that no word has.
 END = xxhash.xxh3_64_intdigest(b"\n") >> 1
 
