@@ -17,10 +17,21 @@ def normalize_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def tokens(s: Column) -> Column:
+    """Distinct tokens of the normal form in order of appearance."""
+    return F.array_distinct(F.split(normalize_text(s), " "))
+
+
+def terms_of(found: Column, stop: tuple[str, ...], least: int = 3) -> Column:
+    """Of distinct tokens those that are no stop words and have at least `least` letters.
+
+    To take several kinds of terms from one text, select its tokens first.
+    """
+    return F.filter(F.array_except(found, _array(stop)), lambda t: F.length(t) >= least)
+
+
 def _tokens(s: Column, stop: tuple[str, ...], least: int) -> Column:
-    """Distinct tokens of the normal form in order of appearance, without stop words and shorter ones."""
-    found = F.array_except(F.array_distinct(F.split(normalize_text(s), " ")), _array(stop))
-    return F.filter(found, lambda t: F.length(t) >= least)
+    return terms_of(tokens(s), stop, least)
 
 
 def topic_tokens(s: Column) -> Column:

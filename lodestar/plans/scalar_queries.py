@@ -24,14 +24,16 @@ KEYWORDS = ("enth", "blest", "therou", "Self-Harm")
        array_to_string({R.terms('text', C.SUBJECT_STOP)}, ',') AS subject_terms FROM documents"""
 )
 def text_terms(spark, d):
-    t = F.col("text")
-    return X.load(spark, d, "documents").select(
+    normal = X.load(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
+    found = normal.select("doc_id", "normal", F.array_distinct(F.split("normal", " ")).alias("tokens"))
+    of = lambda stop, least=3: _sorted(T.terms_of(F.col("tokens"), stop, least))
+    return found.select(
         "doc_id",
-        F.sha2(T.normalize_text(t), 256).alias("normal"),
-        _sorted(T.topic_tokens(t)).alias("topic_tokens"),
-        _sorted(T.topic_terms(t)).alias("topic_terms"),
-        _sorted(T.query_terms(t)).alias("query_terms"),
-        _sorted(T.subject_terms(t)).alias("subject_terms"),
+        F.sha2("normal", 256).alias("normal"),
+        of(C.TOPIC_STOP, 1).alias("topic_tokens"),
+        of(C.GENERIC_WORDS).alias("topic_terms"),
+        of(C.QUERY_STOP).alias("query_terms"),
+        of(C.SUBJECT_STOP).alias("subject_terms"),
     )
 
 
