@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from math import ceil, log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -61,6 +62,25 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The most frequent tokens, `most` of them at most, by falling count.
+
+    A histogram of counts, at most 256 steps for each doubling, gives the least count to
+    take; so the driver gets that histogram and the tokens taken, however many tasks hold
+    them. Tokens on one step are taken all or not at all.
+    """
+    step = F.floor(F.log2("c") * 256)
+    sizes = sorted(map(tuple, counts.groupBy(step.alias("step")).agg(F.count("*")).collect()), reverse=True)
+    taken, least = 0, None
+    for at, n in sizes:
+        taken += n
+        if taken > most:
+            break
+        least = at
+    top = counts.filter(step >= least if least is not None else F.lit(False)).toPandas()
+    return top.sort_values(["c", "h"], ascending=[False, True])
+
+
 @dataclass
 class Unigrams:
     """What every task needs: the frequent words and the totals. Its size is bounded by VOCABULARY.
@@ -73,6 +93,7 @@ class Unigrams:
     counts: np.ndarray
     tokens: int
     distinct: int
+    ends: int
 
     def __post_init__(self) -> None:
         self.rare, self.start, self.span = len(self.hashes), len(self.hashes) + 1, len(self.hashes) + 2
@@ -80,8 +101,7 @@ class Unigrams:
         rare_tokens = self.tokens - int(self.counts.sum())
         self.rare_mass = (rare_tokens + 0.5 * (self.distinct - len(self.hashes) + 1)) / self.whole
         self.log_p = np.log10(np.append((self.counts + 0.5) / self.whole, self.rare_mass))
-        ends = int(self.counts[self.hashes == END].sum())
-        as_context = np.concatenate((self.counts, [rare_tokens, ends]))
+        as_context = np.concatenate((self.counts, [rare_tokens, self.ends]))
         self.backoff = np.log10(PRIOR / (as_context + PRIOR))
 
     def gain(self, counts: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -289,9 +309,10 @@ def language_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, voc
     held = remainder(F.col("doc_id"), folds) == held_out_fold
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     counts = checkpointed(token_counts(slim.filter(~F.col("held_out"))))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(vocabulary).toPandas()
-    unigrams = Unigrams(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct)
+    ends = F.coalesce(F.max(F.when(F.col("h") == END, F.col("c"))), F.lit(0))
+    tokens, distinct, n_ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), ends).first()
+    top = frequent(counts, vocabulary)
+    unigrams = Unigrams(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct, n_ends)
     shared = spark.sparkContext.broadcast(unigrams)
     shards = max(1, ceil(tokens / SHARD_TOKENS))
     routed = route(slim, shared, shards).groupBy("shard")

@@ -48,7 +48,9 @@ def brute(texts, vocabulary):
         c.update(tokens[i])
     n, v = sum(c.values()), len(c)
     whole = n + 0.5 * (v + 1)
-    top = sorted(c, key=lambda w: (-c[w], lm.word_hash(w) if w != b"\n" else lm.END))[:vocabulary]
+    step = lambda w: math.floor(math.log2(c[w]) * 256)
+    least = min(s for s in map(step, c) if sum(step(w) >= s for w in c) <= vocabulary)
+    top = [w for w in c if step(w) >= least]
     number = {w: k for k, w in enumerate(top)}
     of = lambda w: number.get(w, len(top))
     rare = 1 - sum((c[w] + 0.5) / whole for w in top)
@@ -90,7 +92,7 @@ def test_several_shards_and_batches_give_the_same(spark, small, monkeypatch):
 
 
 def test_probabilities_of_all_words_sum_to_one():
-    u = lm.Unigrams(np.array([5, 9, lm.END]), np.array([4, 3, 2]), 12, 5)
+    u = lm.Unigrams(np.array([5, 9, lm.END]), np.array([4, 3, 2]), 12, 5, 2)
     assert math.isclose((10 ** u.log_p).sum(), 1.0)
     counts = np.array([2, 0, 1, 1])  # of the successors of word 0, which occurs 4 times
     p = 10 ** (u.backoff[0] + u.log_p + u.gain(counts, np.arange(4)))
