@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import audit as A
 from ..operators import captions as K
