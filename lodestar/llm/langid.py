@@ -119,9 +119,7 @@ def train_model(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS) -> Mod
         return fit([])
     each = max(1, fit_docs // len(sizes))
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(0.0)
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "of_lang string, rate double")
-    del rate
     chosen = known.join(F.broadcast(rates), F.col("lang") == F.col("of_lang")).filter(draw < F.col("rate"))
     chosen = chosen.filter(F.length("text") <= FIT_CHARS).select("lang", "text").limit(2 * fit_docs + 100)
     return fit(sorted((r["lang"], r["text"]) for r in chosen.collect()))
