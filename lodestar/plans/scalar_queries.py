@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import gates as G
+from ..operators import matching
 from . import fixtures as X
 from . import registry as R
 from .registry import query
@@ -209,6 +210,18 @@ def term_matches(spark, d):
     )
 
 
+@query()
+def relevant_documents(spark, d):
+    """All relevant pairs of documents and benchmark items; `relevance` checks its predicates on the pairs of one residue."""
+    return matching.relevant_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
+
+
+@query()
+def matched_documents(spark, d):
+    """All matching pairs of documents and benchmark items; `term_matches` checks its predicates on the pairs of one residue."""
+    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
+
+
 def _chunk_sql() -> str:
     """Sentence after sentence: the words before it in its chunk decide whether a new chunk begins."""
     return rf"""WITH RECURSIVE s AS (
