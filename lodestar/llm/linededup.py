@@ -11,43 +11,72 @@ from .common import checkpointed, free_name
 
 #: A line of at least this many words is a chunk of its own.
 LONG_LINE = 16
-#: Lines whose hashes the rolling hash covers, and the share of its values that end a chunk (1 in 2**BITS).
-ROLL, BITS = 2, 1
+#: Lines whose hashes the rolling hash covers.
+ROLL = 2
 #: A chunk is removed only if it has at least this many words.
 LEAST_WORDS = 8
 
 _PRIME, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+def _boundaries(hashes: list[int], ends: list[int]) -> list[int]:
+    """The lines of a run of short lines after which a chunk ends, without the last.
+
+    ends: words up to the end of each line. A chunk ends where the hash is the least (of
+    equal ones the first) of all lines that end less than LEAST_WORDS words away, and
+    neither end of the run is nearer than that.
+    """
+    out, stack = [], []
+    near = [False] * len(hashes)
+    for i, h in enumerate(hashes):
+        while stack and hashes[stack[-1]] > h:
+            k = stack.pop()
+            near[k] = near[k] or ends[i] - ends[k] < LEAST_WORDS
+        near[i] = ends[i] - (ends[stack[-1]] if stack else 0) < LEAST_WORDS
+        stack.append(i)
+    for i, end in enumerate(ends):
+        if not near[i] and ends[-1] - end >= LEAST_WORDS:
+            out.append(i)
+    return out
+
+
 def chunks(text: bytes) -> list[tuple[int, int, int]]:
     """(first line, end line, words) of the chunks of a text; together they hold all its lines.
 
     A chunk ends before and after a long line. Elsewhere it ends where a rolling hash over
-    the hashes of the last ROLL lines has its top bits clear. Both depend on the lines
-    nearby only, so lines inserted or deleted elsewhere shift no boundary.
+    the hashes of the last ROLL lines is the least nearby, so it has LEAST_WORDS words
+    unless all lines between two long ones have fewer. Both depend on the lines nearby
+    only, so lines inserted or deleted elsewhere shift no boundary.
     """
     lines = text.split(b"\n")
-    out, first, words = [], 0, 0
-    rolled, last = 0, [0] * ROLL
+    out, first = [], 0
+    hashes, ends = [], []
+    rolled, last, words = 0, [0] * ROLL, 0
     drop = pow(_PRIME, ROLL, 1 << 64)
+
+    def close() -> None:
+        """Cut the open run of short lines into its chunks."""
+        at, before = 0, 0
+        for i in [*_boundaries(hashes, ends), len(ends) - 1] if ends else []:
+            out.append((first + at, first + i + 1, ends[i] - before))
+            at, before = i + 1, ends[i]
+
     for i, line in enumerate(lines):
         n = len(line.split())
         if n >= LONG_LINE:
-            if i > first:
-                out.append((first, i, words))
+            close()
             out.append((i, i + 1, n))
             first, words, rolled, last = i + 1, 0, 0, [0] * ROLL
+            hashes, ends = [], []
             continue
         h = xxhash.xxh3_64_intdigest(line)
         # The rolling polynomial takes the new line in and lets the oldest of the window go.
         rolled = (rolled * _PRIME + h - last[0] * drop) & _MASK
         last = last[1:] + [h]
         words += n
-        if (rolled * _PRIME & _MASK) >> (64 - BITS) == 0:
-            out.append((first, i + 1, words))
-            first, words = i + 1, 0
-    if first < len(lines):
-        out.append((first, len(lines), words))
+        hashes.append(rolled * _PRIME & _MASK)
+        ends.append(words)
+    close()
     return out
 
 

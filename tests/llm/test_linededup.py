@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodestar.llm import linededup
 
 from .helpers import EDGE, edge, empty
@@ -45,6 +47,29 @@ def test_repeated_passages_go_but_the_first(spark):
         assert got[i] == f"{first}\n{last}"
 
 
+@pytest.mark.parametrize("per_line", [1, 2, 3, 5])
+def test_repeated_passages_of_short_lines_go(spark, per_line):
+    """What stays of a repeated passage is near its ends, however short its lines are; each document's own lines stay."""
+    rng = random.Random(per_line)
+    passage = [prose(rng, per_line) for _ in range(300 // per_line)]
+    own = [[prose(rng, 3) for _ in range(10)] for _ in range(12)]
+    planted = [(i, "\n".join([*o[:5], *passage, *o[5:]])) for i, o in enumerate(own)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.dedup_lines(frame(spark, planted)).collect()}
+    assert "\n".join(got[0]) == planted[0][1]
+    for i in range(1, len(own)):
+        left = got[i]
+        assert left[:5] == own[i][:5] and left[-5:] == own[i][5:]
+        assert sum(len(x.split()) for x in left[5:-5]) <= 0.25 * 300
+
+
+def test_chunks_of_short_lines_can_be_removed():
+    rng = random.Random(9)
+    for _ in range(100):
+        lines = [prose(rng, rng.choice([0, 1, 1, 2, 3, 5])) for _ in range(rng.randrange(10, 80))]
+        found = [n for *_, n in linededup.chunks("\n".join(lines).encode())]
+        assert len(found) == 1 or min(found) >= linededup.LEAST_WORDS
+
+
 def test_exact_copies_keep_one_text(spark):
     rng = random.Random(4)
     text = prose(rng, 60)
