@@ -1,7 +1,9 @@
-"""SimHash near-duplicates, linked through multi-index hashing."""
+"""SimHash near-duplicates, linked through multi-index hashing, and near copies by their sets of shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,11 +13,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, free_name
 from .components import components
 
-#: 64-bit lanes of a wide fingerprint, bits of its segments (three a lane), and differing bits of a near pair at most.
-#: Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about 39 of 256 bits, give or take 6.
-LANES, SEGMENT, NEAR = 4, 21, 46
-#: Differing bits that one lane of a near pair may have: rules out nearly all chance meetings before lanes are fetched.
-LANE_NEAR = 24
+#: Bands of a text's set of shingles and minima of each. At a Jaccard similarity of 0.8 some band is equal with probability 0.998.
+BANDS, ROWS = 12, 4
 
 #: A segment value with more fingerprints than this is linked through ball centres instead of pairs.
 BUCKET = 64
@@ -47,23 +46,30 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64-bit hash for each hash and lane (the mixing steps of SplitMix64)."""
-    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def fingerprint_of(text: bytes | None, shingle: int) -> int:
     """The 64-bit SimHash of a text as an unsigned number; 0 where there are no words."""
     return _majority(_hashes(text, shingle))
 
 
-def wide_fingerprint_of(text: bytes | None, shingle: int) -> list[int]:
-    """The lanes of a wide SimHash, as unsigned numbers."""
-    hashes = _hashes(text, shingle)
-    return [_majority(_mixed(hashes, lane + 1)) for lane in range(LANES)]
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(_hashes(text, shingle))
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of a set of hashes: a hash of its ROWS minima under different orders."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 12):  # a block at a time, for long texts
+        z = (hashes[at : at + (1 << 12)] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint64(1))
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, z.min(axis=1))
+    keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
 def fingerprint(text: Column, shingle: int = 3) -> Column:
@@ -153,77 +159,89 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(groups(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: Column, shingle: int = 5) -> Column:
-    """The wide SimHash of a text column as an array of LANES signed longs."""
+def _banded(text: Column, shingle: int) -> Column:
+    """A struct of a text's set of shingles: id (a hash of the set), size, keys of its bands."""
+    kind = pa.struct([("id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<id: long, size: long, keys: array<long>>")
+    def banded(texts: pa.Array) -> pa.Array:
+        out = []
+        for v in texts.cast(pa.large_binary()):
+            hashes = shingle_set(v.as_py(), shingle)
+            own = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
+            out.append({"id": own, "size": len(hashes), "keys": bands_of(hashes)})
+        return pa.array(out, kind)
+
+    return banded(text)
+
+
+def _shingles(text: Column, shingle: int) -> Column:
+    """The set of shingles of a text as an array of longs."""
 
     @F.arrow_udf("array<long>")
-    def simhash(texts: pa.Array) -> pa.Array:
-        values = texts.cast(pa.large_binary())
-        lanes = [x for v in values for x in wide_fingerprint_of(v.as_py(), shingle)]
-        flat = pa.array(np.array(lanes, dtype=np.uint64).view(np.int64))
-        return pa.ListArray.from_arrays(pa.array(range(0, len(lanes) + 1, LANES), pa.int32()), flat)
+    def shingles(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(v.as_py(), shingle).view(np.int64) for v in texts.cast(pa.large_binary())]
+        return pa.array(sets, pa.list_(pa.int64()))
 
-    return simhash(text)
+    return shingles(text)
 
 
-def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between the ids of wide fingerprints at NEAR or fewer differing bits.
+def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between sets of shingles whose Jaccard similarity is 0.8 or more, exactly.
 
-    prints: one row for each distinct (id, lanes). Multi-index hashing: each lane has three
-    segments, and a Hamming ball of radius 1 around each segment is looked up (balls of
-    cleared bits, as in links()). A pair at Jaccard similarity 0.8 has some segment within
-    1 bit with probability 0.86, at 0.85 with 0.95, at 0.9 with 0.99; groups are connected
-    over all their pairs. A segment has 2**SEGMENT values: beyond some ten million distinct
-    texts, wider segments and more lanes keep meetings by chance rare.
+    prints: one row for each distinct set: id, size, keys of its bands. sets(ids) gives
+    (id, hashes) for the ids asked for. Sets that share a band are candidates (0.998 of the
+    pairs at 0.8, more above); an edge stands only if the sets themselves are that similar.
 
-    Where more than `bucket` fingerprints share a segment value, each that holds or probes
-    it is compared with the smallest and the largest of them instead of with all: near
-    copies of one text are near to both, so the group stays connected, and the work stays
-    linear in its size. What is near to neither is left to the other segments.
+    Bands that over `bucket` sets share are compared with their smallest set only.
     """
-    per_lane, ones = 64 // SEGMENT, (1 << SEGMENT) - 1
-    keys = []
-    for lane in range(LANES):
-        for part in range(per_lane):
-            value = f"(shiftrightunsigned(lanes[{lane}], {SEGMENT * part}) & {ones}L)"
-            tag = f"{(lane * per_lane + part) << 32}L"
-            check = f"lanes[{(lane + 1) % LANES}]"
-            keys.append(f"array(named_struct('key', {value} + {tag}, 'holds', true, 'check', {check}))")
-            keys.append(
-                f"transform(filter(sequence(0, {SEGMENT - 1}), i -> (shiftrightunsigned({value}, i) & 1L) = 1L), "
-                f"i -> named_struct('key', {value} + {tag} - shiftleft(1L, i), 'holds', false, 'check', {check}))"
-            )
-    probes = prints.select("id", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("p")).select("id", "p.*")
-    table = probes.filter("holds").select("key", F.col("id").alias("other"), F.col("check").alias("other_check"))
-    ends = table.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
-    full = checkpointed(ends.filter(F.col("n") > bucket).select("key", "least", "most"))
-    small = table.join(full.select("key"), "key", "left_anti")
-    close = F.bit_count(F.col("check").bitwiseXOR(F.col("other_check"))) <= LANE_NEAR
-    once = ~F.col("holds") | (F.col("id") < F.col("other"))
-    pairs = probes.join(small, "key").filter((F.col("id") != F.col("other")) & once & close).select("id", "other")
-    led = probes.join(full, "key").select("id", F.explode(F.array("least", "most")).alias("other")).filter("id <> other")
-    pairs = pairs.union(led).distinct()
-    a, b = prints.select("id", F.col("lanes").alias("la")), prints.select(F.col("id").alias("other"), F.col("lanes").alias("lb"))
-    distance = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return pairs.join(a, "id").join(b, "other").filter(distance <= NEAR).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    table = prints.select("id", "size", F.explode("keys").alias("key"))
+    counted = table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+    counted = checkpointed(counted)
+    full = counted.filter(F.col("n") > bucket).select("key", "first")
+    small = table.join(counted.filter(F.col("n") <= bucket).select("key"), "key")
+    alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+    other = small.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"))
+    pairs = small.join(other, "key").filter((F.col("id") < F.col("b")) & alike(F.col("size"), F.col("size_b"))).select(F.col("id").alias("a"), "b")
+    led = table.join(full, "key").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+
+    def similar(found: DataFrame) -> DataFrame:
+        found = checkpointed(found.distinct())
+        ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+        texts = checkpointed(sets(ids))
+        x, y = (texts.select(F.col("id").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        met = found.join(x, "a").join(y, "b").filter(9 * both >= 4 * (F.size("set_a") + F.size("set_b")))
+        return checkpointed(met.select("a", "b"))
+
+    edges = similar(pairs.union(led))
+    return edges
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Groups are what near_links() connects: texts with a similarity of about 0.8 or more of
-    their word shingles. All columns are kept. Null, empty and blank texts are one group.
-    Of repeated rows with the smallest id one stays; of a group without ids, one row. An
-    empty table gives no rows.
+    Groups are what near_links() connects: texts whose sets of shingles have a Jaccard
+    similarity of 0.8 or more. All columns are kept. Null, empty and blank texts are one
+    group. Of repeated rows with the smallest id one stays; of a group without ids, one
+    row. An empty table gives no rows.
     """
     mark, row, kept_id, kept_mark = (free_name(docs, x) for x in ("mark", "row_of_group", "kept_id", "kept_mark"))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), wide_fingerprint(F.col(text), shingle).alias("lanes"))
-    slim = checkpointed(slim.withColumn("id", F.xxhash64("lanes")))
-    prints = checkpointed(slim.groupBy("id").agg(F.first("lanes").alias("lanes")))
-    roots = components(near_links(prints))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), _banded(F.col(text), shingle).alias("s"))
+    slim = slim.select("doc_id", "mark", "s.*")
+    # A set's documents become one row: a large group of copies is no large key.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
-    # Before the join a fingerprint's documents are one row: a large group of copies is no large key.
-    firsts = slim.groupBy("id").agg(least).join(roots, F.col("id") == F.col("node"), "left")
+    prints = checkpointed(slim.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), least))
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """The sets of some ids, made anew from one text of each."""
+        wanted = prints.join(ids, "id").select("id", F.col("least.doc_id").alias("w_id"), F.col("least.mark").alias("w_mark"))
+        texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+        met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).dropDuplicates(["id"])
+        return met.select("id", _shingles(F.col("text"), shingle).alias("hashes"))
+
+    roots = components(near_links(prints, sets))
+    firsts = prints.select("id", "least").join(roots, F.col("id") == F.col("node"), "left")
     first = firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
     first = first.select(F.col("least.doc_id").alias(kept_id), F.col("least.mark").alias(kept_mark))
     marked = docs.withColumn(mark, F.xxhash64(text))

@@ -116,6 +116,25 @@ def test_near_copies_go_and_clean_documents_stay(spark, monkeypatch, bucket):
     assert set(range(at, len(texts))) <= kept
 
 
+def kept_by_brute_force(texts):
+    groups = Groups(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                groups.join(a, b)
+    return {groups.find(i) for i in range(len(texts))}
+
+
+def test_only_similar_texts_are_one_group(spark):
+    """Pairs a little above and below 0.8: a fingerprint cannot tell them, their shingles can."""
+    rng = random.Random(7)
+    texts = [t for changes in (5, 6, 7, 8, 9, 10, 12) for _ in range(12) for t in near_copies(rng, 300, changes, 1)]
+    above = sum(jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert 12 <= above <= 72
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == kept_by_brute_force(texts)
+
+
 def test_query_against_brute_force(spark, small):
     from lodestar.llm import queries
 
