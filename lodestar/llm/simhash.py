@@ -15,6 +15,8 @@ from .components import components
 
 #: Bands of a text's set of shingles and minima of each. At a Jaccard similarity of 0.8 some band is equal with probability 0.998.
 BANDS, ROWS = 12, 4
+#: Parts among which the comparisons of one large band are dealt out.
+PARTS = 16
 
 #: A segment value with more fingerprints than this is linked through ball centres instead of pairs.
 BUCKET = 64
@@ -193,7 +195,10 @@ def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket
     (id, hashes) for the ids asked for. Sets that share a band are candidates (0.998 of the
     pairs at 0.8, more above); an edge stands only if the sets themselves are that similar.
 
-    Bands that over `bucket` sets share are compared with their smallest set only.
+    Bands that over `bucket` sets share are first compared with their smallest set. Two
+    sets that edges connect already need no edge of their own: only those of different
+    components are compared then, each outside a band's largest component with all in the
+    band. So a group of near copies costs its size, and no candidate is left out.
     """
     table = prints.select("id", "size", F.explode("keys").alias("key"))
     counted = table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
@@ -215,7 +220,19 @@ def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket
         return checkpointed(met.select("a", "b"))
 
     edges = similar(pairs.union(led))
-    return edges
+    if full.isEmpty():
+        return edges
+    roots = components(edges)
+    hot = table.join(full.select("key"), "key")
+    rooted = checkpointed(hot.join(roots, hot.id == roots.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    members = rooted.join(main.select("key", F.col("main.root").alias("main")), "key")
+    rest = members.filter("root <> main").select("key", "main", F.pmod(F.hash("id"), F.lit(PARTS)).alias("part"), F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    every = members.select("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    more = rest.join(every, ["key", "part"]).filter(apart & alike(F.col("size_a"), F.col("size_b")))
+    return edges.union(similar(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:

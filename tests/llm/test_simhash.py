@@ -135,6 +135,23 @@ def test_only_similar_texts_are_one_group(spark):
     assert kept == kept_by_brute_force(texts)
 
 
+def test_several_groups_under_one_full_key(spark, monkeypatch):
+    """Texts of one template, at 0.6 to each other, in groups of near copies: all groups are found within full bands."""
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (3,))
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for g in range(20):
+        base = [*template, *(f"g{g}x{i}" for i in range(80))]
+        for _ in range(3):
+            own = list(base)
+            own[rng.randrange(300, 380)] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == kept_by_brute_force(texts) and len(kept) == 20
+
+
 def test_query_against_brute_force(spark, small):
     from lodestar.llm import queries
 
