@@ -26,7 +26,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.7}
 #: Strings that look random and are not: placeholders, alphabets, nil and sample identifiers.
 ALLOWED = re.compile(
-    r"example|sample|placeholder|changeme|your[_-]?(api|key|token|secret)|x{6,}|(.)\2{7,}"
+    r"example|sample|placeholder|changeme|your(?:[_-]?(api|key|token|secret))+[_-]?|x{6,}|(.)\2{7,}"
     r"|abcdefghij|0123456789|1234567890|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     re.IGNORECASE | re.ASCII,
 )
@@ -86,17 +86,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _between(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of start:end outside the taken spans."""
+    out = []
+    for a, b in sorted(taken):
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+        if start >= end:
+            break
+    return [x for x in [*out, (start, end)] if x[0] < x[1]]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that entropy adds to the base spans: those that no base span overlaps."""
-    found = []
+    """Spans that entropy adds to the base spans.
+
+    What the allow-list matches and what base spans hold is blanked out; the windows of
+    the parts between them count.
+    """
+    found, taken = [], [(a, b) for a, _, b in base]
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if s.isalpha() or s.isdigit() or ALLOWED.search(s):
+        if s.isalpha() or s.isdigit():
             continue
-        for start, end in random_runs(s):
-            start, end = m.start() + start, m.start() + end
-            if not any(a < end and start < b for a, _, b in base):
-                found.append((start, 3, end))
+        known = [(a, b) for a, b in taken if a < m.end() and m.start() < b]
+        known += [(m.start() + x.start(), m.start() + x.end()) for x in ALLOWED.finditer(s)]
+        for a, b in _between(m.start(), m.end(), known):
+            found += [(a + start, 3, a + end) for start, end in random_runs(text[a:b])]
     return found
 
 

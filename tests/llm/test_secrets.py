@@ -52,6 +52,16 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them_away():
         assert secrets.entropy_spans(plain, []) == []
 
 
+def test_allowed_and_base_spans_hide_only_themselves():
+    key = "q7Zx9Lm2Vt5Kp8Rw3Yb6Nd1H"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for before in ("/data/sample/", "EXAMPLE_KEY=", f"{uuid}_", "--------", "========"):
+        text = before + key
+        assert [text[a:b] for a, _, b in secrets.entropy_spans(text, [])][-1].endswith(key)
+    text = "0" * 32 + key
+    assert [text[a:b] for a, _, b in secrets.entropy_spans(text, secrets.base_spans(text))] == [key]
+
+
 def test_edge_rows(spark):
     found = rows(secrets.find_secrets(edge(spark)))
     assert len(found) == len(EDGE)
