@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmaps import SLOTS, bitmap
 from .common import checkpointed, free_name
 
 #: Lines whose hashes the rolling hash covers.
 ROLL = 2
 #: Words of a chunk at least, unless the whole text has fewer; shorter chunks are never removed.
 LEAST_WORDS = 8
-#: Bits of the bitmap of repeated hashes: 2 MB, whatever the input.
-SLOTS = 1 << 24
 #: Bytes of chunks that a task remembers as already sent for comparison.
 REMEMBERED = 16 << 20
 
@@ -126,25 +125,13 @@ def _without(text: Column, gone: Column) -> Column:
     return cut(text, gone)
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of SLOTS bits with the slot of every hash set, made by grouping: at most SLOTS / 64 rows reach the driver."""
-    slot = F.col("lo").bitwiseAND(F.lit(SLOTS - 1))
-    words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    found = words.toPandas()
-    out = np.zeros(SLOTS // 64, dtype=np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out
-
-
-def _candidates(docs: DataFrame, id_type: T.DataType, bitmap: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, id_type: T.DataType, repeated: np.ndarray) -> DataFrame:
     """(doc_id, mark, at, hi, lo, bytes) of the chunks whose slot is in the bitmap: all repeated chunks and a few others.
 
     docs: doc_id, mark, text. A task sends the bytes of a chunk once; later chunks with
     that hash are compared with them in the task, and go without bytes if they are equal.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sent, held = shared.value, {}, 0
@@ -190,7 +177,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     by_hash = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     far = (F.col("first.mark") != F.col("last.mark")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))
     repeated = checkpointed(by_hash.filter(far).select("hi", "lo", "first"))
-    met = checkpointed(_candidates(slim, docs.schema[doc_id].dataType, _bitmap(repeated)))
+    met = checkpointed(_candidates(slim, docs.schema[doc_id].dataType, bitmap(repeated.select("lo"))))
     # Equal bytes collapse before the shuffle.
     pieces = met.filter(F.col("bytes").isNotNull()).select("hi", "lo", "bytes").distinct()
     collided = pieces.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter("n > 1").select("hi", "lo")

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .bitmaps import bitmap, has
 from .common import checkpointed, free_name
 from .components import components
 
-#: Bands of a text's set of shingles and minima of each. At a Jaccard similarity of 0.8 some band is equal with probability 0.998.
-BANDS, ROWS = 12, 4
-#: Parts among which the comparisons of one large band are dealt out.
-PARTS = 16
+#: Bands of a text's set of shingles and minima of each. At a Jaccard similarity of 0.8 some band is equal with probability 0.999.
+BANDS, ROWS = 24, 6
+#: Most of the BANDS * ROWS minima, four bits of each, in which candidates may differ: 0.997 of the pairs at 0.8 differ in fewer.
+APART = 40
+#: Sets outside a large band's main group that one part of its comparisons holds.
+PART = 1024
 
 #: A segment value with more fingerprints than this is linked through ball centres instead of pairs.
 BUCKET = 64
@@ -53,7 +57,7 @@ def fingerprint_of(text: bytes | None, shingle: int) -> int:
     return _majority(_hashes(text, shingle))
 
 
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -61,19 +65,29 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(_hashes(text, shingle))
 
 
-def bands_of(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of a set of hashes: a hash of its ROWS minima under different orders."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(hashes), 1 << 12):  # a block at a time, for long texts
-        z = (hashes[at : at + (1 << 12)] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint64(1))
-        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        least = np.minimum(least, z.min(axis=1))
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least values of a set of hashes under BANDS * ROWS different orders."""
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    mixed = hashes.astype(np.uint32) ^ (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(mixed), 1 << 12):  # a block at a time, for long texts
+        z = (mixed[at : at + (1 << 12)] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint32(1))
+        z = (z ^ (z >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        least = np.minimum(least, (z ^ (z >> np.uint32(12))).min(axis=1))
+    return least
+
+
+def bands_of(least: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band: a hash of its ROWS minima."""
     keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def sketch_of(least: np.ndarray) -> list[int]:
+    """Four bits of each minimum, sixteen of them in a signed 64-bit number."""
+    nibbles = (least & np.uint32(15)).astype(np.uint8)
+    return (nibbles[::2] | nibbles[1::2] << 4).view("<i8").tolist()
+
+
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     """SimHash over word shingles of a text column, as a signed long.
 
@@ -162,77 +176,107 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _banded(text: Column, shingle: int) -> Column:
-    """A struct of a text's set of shingles: id (a hash of the set), size, keys of its bands."""
-    kind = pa.struct([("id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """A struct of a text's set of shingles: id (a hash of the set), size, keys of its bands and sketch."""
+    kind = pa.struct([("id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<id: long, size: long, keys: array<long>>")
+    @F.arrow_udf("struct<id: long, size: long, keys: array<long>, sketch: array<long>>")
     def banded(texts: pa.Array) -> pa.Array:
         out = []
         for v in texts.cast(pa.large_binary()):
             hashes = shingle_set(v.as_py(), shingle)
             own = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
-            out.append({"id": own, "size": len(hashes), "keys": bands_of(hashes)})
+            least = minima(hashes)
+            out.append({"id": own, "size": len(hashes), "keys": bands_of(least) if len(hashes) else [], "sketch": sketch_of(least)})
         return pa.array(out, kind)
 
     return banded(text)
 
 
-def _shingles(text: Column, shingle: int) -> Column:
-    """The set of shingles of a text as an array of longs."""
+def shingles_of(docs: DataFrame, id_type: T.DataType, bits: np.ndarray, shingle: int) -> DataFrame:
+    """(doc_id, mark, hashes) of the documents whose slot is in a bitmap, a few more than asked for; no text is shuffled.
+
+    docs: doc_id, mark, slot (a hash), text. Of each hash of a shingle 32 bits are kept: of
+    two texts of n and m words, n * m / 2**32 unequal shingles agree by chance.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @F.arrow_udf("array<long>")
-    def shingles(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(v.as_py(), shingle).view(np.int64) for v in texts.cast(pa.large_binary())]
-        return pa.array(sets, pa.list_(pa.int64()))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(2).to_numpy()
+            rows = np.nonzero(has(shared.value, slots))[0]
+            texts = batch.column(3).cast(pa.large_binary())
+            sets = [np.unique(shingle_set(texts[int(i)].as_py(), shingle).astype(np.uint32)).view(np.int32) for i in rows]
+            taken = batch.select([0, 1]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "mark", "hashes"])
 
-    return shingles(text)
+    fields = [("doc_id", id_type), ("mark", T.LongType()), ("hashes", T.ArrayType(T.IntegerType()))]
+    return docs.mapInArrow(read, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between sets of shingles whose Jaccard similarity is 0.8 or more, exactly.
+def _alike(x: str, y: str) -> Column:
+    """Sizes and sketches of two sets allow a similarity of 0.8; x and y are suffixes of columns."""
+    least, most = F.least(f"size{x}", f"size{y}"), F.greatest(f"size{x}", f"size{y}")
+    differ = F.lit(0)
+    for k in range(BANDS * ROWS // 16):
+        z = F.get(f"sketch{x}", F.lit(k)).bitwiseXOR(F.get(f"sketch{y}", F.lit(k)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ += F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return (5 * least >= 4 * most) & (differ <= APART)
+
 
-    prints: one row for each distinct set: id, size, keys of its bands. sets(ids) gives
-    (id, hashes) for the ids asked for. Sets that share a band are candidates (0.998 of the
-    pairs at 0.8, more above); an edge stands only if the sets themselves are that similar.
+def _as(df: DataFrame, end: str, *keep: str) -> DataFrame:
+    """df with an ending on the names of all its columns but `keep`."""
+    return df.select(*(F.col(c) if c in keep else F.col(c).alias(c + end) for c in df.columns))
 
-    Bands that over `bucket` sets share are first compared with their smallest set. Two
-    sets that edges connect already need no edge of their own: only those of different
-    components are compared then, each outside a band's largest component with all in the
-    band. So a group of near copies costs its size, and no candidate is left out.
+
+def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between sets of shingles whose Jaccard similarity is 0.8 or more.
+
+    prints: one row for each distinct set: id, size, keys of its bands, sketch. sets(ids)
+    gives (id, hashes) for the ids asked for. Sets that share a band are candidates if
+    their sizes and sketches allow it (0.996 of the pairs at 0.8, more above); an edge
+    stands only if the sets themselves are that similar.
+
+    Bands that over `bucket` sets share are first compared with one set alone, that which
+    shares most bands with others, so a group of near copies costs its size. Sets that
+    edges connect already need no edge of their own: of each band only those outside its
+    largest component are compared with all in the band, dealt out in parts by their
+    number, so no candidate is left out.
     """
-    table = prints.select("id", "size", F.explode("keys").alias("key"))
-    counted = table.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    counted = checkpointed(counted)
-    full = counted.filter(F.col("n") > bucket).select("key", "first")
-    small = table.join(counted.filter(F.col("n") <= bucket).select("key"), "key")
-    alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    other = small.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"))
-    pairs = small.join(other, "key").filter((F.col("id") < F.col("b")) & alike(F.col("size"), F.col("size_b"))).select(F.col("id").alias("a"), "b")
-    led = table.join(full, "key").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    table = prints.select("id", F.explode("keys").alias("key"))
+    counted = checkpointed(table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = checkpointed(table.join(counted, "key").join(prints.select("id", "size", "sketch"), "id"))
 
     def similar(found: DataFrame) -> DataFrame:
         found = checkpointed(found.distinct())
-        ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        texts = checkpointed(sets(ids))
-        x, y = (texts.select(F.col("id").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
+        hashes = checkpointed(sets(found.select(F.col("a").alias("id")).union(found.select("b")).distinct()))
+        x, y = (hashes.select(F.col("id").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
-        met = found.join(x, "a").join(y, "b").filter(9 * both >= 4 * (F.size("set_a") + F.size("set_b")))
-        return checkpointed(met.select("a", "b"))
-
+        alike = found.join(x, "a").join(y, "b").filter(9 * both >= 4 * (F.size("set_a") + F.size("set_b")))
+        return checkpointed(alike.select("a", "b"))
+
+    small, full = met.filter(F.col("n") <= bucket).drop("n"), met.filter(F.col("n") > bucket)
+    pairs = _as(small, "_a", "key").join(_as(small, "_b", "key"), "key").filter((F.col("id_a") < F.col("id_b")) & _alike("_a", "_b"))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    known = full.groupBy("id").agg(F.sum("n").alias("known"))
+    heads = full.select("id", "key").join(known, "id").groupBy("key").agg(F.max(F.struct("known", "id"))["id"].alias("head"))
+    led = full.join(heads, "key").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     edges = similar(pairs.union(led))
     if full.isEmpty():
         return edges
     roots = components(edges)
-    hot = table.join(full.select("key"), "key")
-    rooted = checkpointed(hot.join(roots, hot.id == roots.node, "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")))
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-    members = rooted.join(main.select("key", F.col("main.root").alias("main")), "key")
-    rest = members.filter("root <> main").select("key", "main", F.pmod(F.hash("id"), F.lit(PARTS)).alias("part"), F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    every = members.select("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    more = rest.join(every, ["key", "part"]).filter(apart & alike(F.col("size_a"), F.col("size_b")))
-    return edges.union(similar(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    rooted = full.join(roots, full.id == roots.node, "left").select("key", "id", "size", "sketch", F.coalesce("root", "id").alias("root"))
+    rooted = checkpointed(rooted)
+    groups_ = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = groups_.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    parts = F.ceil((F.col("n") - F.col("most")) / PART).cast("int")
+    members = rooted.join(main.filter("n > most").select("key", "main", parts.alias("parts")), "key")
+    rest = members.filter("root <> main").withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
+    every = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("main", "parts")
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_a")) | (F.col("id_a") < F.col("id_b")))
+    more = _as(rest, "_a", "key", "part").join(_as(every, "_b", "key", "part"), ["key", "part"]).filter(apart & _alike("_a", "_b"))
+    return edges.union(similar(more.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
@@ -241,21 +285,25 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     Groups are what near_links() connects: texts whose sets of shingles have a Jaccard
     similarity of 0.8 or more. All columns are kept. Null, empty and blank texts are one
     group. Of repeated rows with the smallest id one stays; of a group without ids, one
-    row. An empty table gives no rows.
+    row. An empty table gives no rows. Texts are shuffled once, at the end.
     """
     mark, row, kept_id, kept_mark = (free_name(docs, x) for x in ("mark", "row_of_group", "kept_id", "kept_mark"))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), _banded(F.col(text), shingle).alias("s"))
-    slim = slim.select("doc_id", "mark", "s.*")
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(f"`{text}`").alias("text"))
+    slim = own.select("doc_id", "mark", _banded(F.col("text"), shingle).alias("s")).select("doc_id", "mark", "s.*")
     # A set's documents become one row: a large group of copies is no large key.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
-    prints = checkpointed(slim.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), least))
+    first_of = [F.first(c).alias(c) for c in ("size", "keys", "sketch")]
+    prints = checkpointed(slim.groupBy("id").agg(*first_of, least))
+    slot = F.xxhash64("doc_id", "mark")
 
     def sets(ids: DataFrame) -> DataFrame:
         """The sets of some ids, made anew from one text of each."""
-        wanted = prints.join(ids, "id").select("id", F.col("least.doc_id").alias("w_id"), F.col("least.mark").alias("w_mark"))
-        texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-        met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).dropDuplicates(["id"])
-        return met.select("id", _shingles(F.col("text"), shingle).alias("hashes"))
+        wanted = prints.join(ids, "id").select("id", "least.doc_id", "least.mark")
+        wanted = checkpointed(wanted.withColumn("slot", slot))
+        read = shingles_of(own.select("doc_id", "mark", slot.alias("slot"), "text"), docs.schema[doc_id].dataType, bitmap(wanted.select("slot")), shingle)
+        wanted = wanted.select("id", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
+        met = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+        return met.groupBy("id").agg(F.first("hashes").alias("hashes"))
 
     roots = components(near_links(prints, sets))
     firsts = prints.select("id", "least").join(roots, F.col("id") == F.col("node"), "left")
