@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .labelled import FIT_CHARS
+from .labelled import texts_of
 
 #: Documents that a fit reads at most, shared evenly among the languages.
 FIT_DOCS = 3000
@@ -22,6 +22,8 @@ SUPPORT = 0.02
 CONTRAST = 8.0
 #: Slots an n-gram is put into.
 PROBES = 3
+#: Share of the corrected counts that a language must have for a document to stay in a corpus.
+LEAST_SCORE = 0.4
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -78,8 +80,11 @@ class Model:
         return self.langs[best], float(min(1.0, counts[best] / total))
 
 
-def fit(texts: list[tuple[str, str]]) -> Model:
-    """Filters from (language, text) pairs; ties between languages go to the first by name."""
+def fit(texts: list[tuple[str, str]], all_sizes: dict[str, int] | None = None) -> Model:
+    """Filters from (language, text) pairs; ties between languages go to the first by name.
+
+    all_sizes: how many texts each language has beyond the sample, for the prior.
+    """
     langs = sorted({lang for lang, _ in texts})
     if not langs:
         return Model([], 0, np.zeros((2, 1), np.uint8), np.zeros(0))
@@ -96,7 +101,8 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     held = (shares > 0) & (shares * CONTRAST >= shares.max(axis=1, initial=0.0, keepdims=True))
     largest = max(1, int(held.sum(axis=0).max(initial=0)))
     n_slots = 1 << max(12, (8 * largest - 1).bit_length())
-    model = Model(langs, int(sizes.argmax()), np.zeros((n_slots, (len(langs) + 7) // 8), np.uint8), np.zeros(len(langs)))
+    prior = np.array([(all_sizes or {}).get(lang, n) for lang, n in zip(langs, sizes)])
+    model = Model(langs, int(prior.argmax()), np.zeros((n_slots, (len(langs) + 7) // 8), np.uint8), np.zeros(len(langs)))
     packed = np.packbits(held, axis=1, bitorder="little")
     shift, mixed = np.uint64(64 - n_slots.bit_length() + 1), keys * np.uint64(0x9E3779B97F4A7C15)
     for _ in range(PROBES):
@@ -108,21 +114,22 @@ def fit(texts: list[tuple[str, str]]) -> Model:
 
 
 def train_model(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on a sample that a hash of the ids draws, of even size from each language.
+    """Fit on a sample that a hash of the texts draws, of even size from each language.
 
-    At most about fit_docs texts of FIT_CHARS characters each reach the driver, and one
-    count for each language.
+    Texts alike in language and content are one. Each language gives the fit_docs / n texts
+    (one at least) that come first in the order of the hash, longer ones in pieces; one
+    count for each language reaches the driver.
     """
-    known = docs.filter("lang is not null and text is not null").filter(train)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter("lang is not null and text is not null").filter(train).select("lang", "text")
+    marks = known.select("lang", F.xxhash64("text").alias("mark")).distinct()
+    sizes = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([])
-    each = max(1, fit_docs // len(sizes))
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "of_lang string, rate double")
-    chosen = known.join(F.broadcast(rates), F.col("lang") == F.col("of_lang")).filter(draw < F.col("rate"))
-    chosen = chosen.filter(F.length("text") <= FIT_CHARS).select("lang", "text").limit(2 * fit_docs + 100)
-    return fit(sorted((r["lang"], r["text"]) for r in chosen.collect()))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("lang", "mark"), "mark")
+    # Spark cuts the ranks of each task before the shuffle.
+    chosen = marks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, fit_docs // len(sizes))).drop("place")
+    found = texts_of(known, chosen, "lang").select("lang", "text").collect()
+    return fit(sorted((r["lang"], r["text"]) for r in found), sizes)
 
 
 def predictions(text: Column, model: Model) -> Column:
@@ -153,8 +160,26 @@ def identify(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, fit_docs:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """The documents whose language can be told, with all their columns; those that are `und` go."""
+def keep_identified(
+    docs: DataFrame,
+    languages: tuple[str, ...] | None = None,
+    least_score: float = LEAST_SCORE,
+    folds: int = 3,
+    held_out_fold: int = 1,
+    fit_docs: int = FIT_DOCS,
+) -> DataFrame:
+    """The documents whose language is told with at least `least_score`, with all their columns.
+
+    With `languages`, it must be one of them. Documents that are null, empty or without a
+    letter go, and those that no language has so much of: its share of all corrected
+    counts, so mixtures of more than two languages and letters that form no known word go.
+    Where no language can be learned, all documents with a letter stay. Ties go to the
+    first language by name. Repeated rows stay or go together; an empty table gives no rows.
+    """
     train = remainder(F.col("doc_id"), folds) != held_out_fold
     model = train_model(docs, train, fit_docs)
-    return docs.filter(predictions(F.col("text"), model)["lang_pred"] != "und")
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = predictions(F.col("text"), model)
+    told = (found["lang_pred"] != "und") & (found["score"] >= least_score)
+    return docs.filter(told & found["lang_pred"].isin(*languages) if languages else told)

@@ -16,6 +16,8 @@ from .labelled import sample
 PER_CLASS = 2000
 #: Hashed terms, latent dimensions, neighbours, and the power a similarity is raised to as a weight.
 TERMS, LATENT, NEIGHBOURS, SHARPNESS = 4096, 48, 15, 16
+#: Length of a pseudo-term in that of all other terms together.
+PSEUDO = 0.25
 #: Documents in a block of cosine products.
 BLOCK = 512
 
@@ -57,9 +59,9 @@ def terms(text: bytes) -> np.ndarray:
     n = max(1, len(words))
     again = sum(map(bytes.__eq__, words, words[1:])) / n
     fresh = len(set(words)) / n
-    out[TERMS - 32 + min(9, int(10 * again))] = scale
-    out[TERMS - 22 + min(9, int(10 * fresh))] = scale
-    out[TERMS - 12 + min(11, n.bit_length())] = scale
+    out[TERMS - 32 + min(9, int(10 * again))] = PSEUDO * scale
+    out[TERMS - 22 + min(9, int(10 * fresh))] = PSEUDO * scale
+    out[TERMS - 12 + min(11, n.bit_length())] = PSEUDO * scale
     return out / np.float32(scale)
 
 
@@ -141,8 +143,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: i
     without a document, with nulls or other values than 0 and 1 are left out. Extra columns
     are ignored.
     """
-    train = remainder(F.col("doc_id"), folds) != held_out_fold
-    model = fit(*sample(docs, labels, "quality", train, per_class))
+    model = fit(*sample(docs, labels, "quality", lambda c: remainder(c, folds) != held_out_fold, per_class))
     score = scores(F.col("text"), model, docs.sparkSession)
-    found = docs.select("doc_id", (~train).alias("held_out"), score.alias("score"))
+    found = docs.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), score.alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -224,8 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold:
     gives no rows; labels without a document, with nulls or other values than 0 and 1 are
     left out. Extra columns are ignored.
     """
-    train = remainder(F.col("doc_id"), folds) != held_out_fold
-    model = fit(*sample(docs, labels, "toxic", train, per_class))
+    model = fit(*sample(docs, labels, "toxic", lambda c: remainder(c, folds) != held_out_fold, per_class))
     score = scores(F.col("text"), model)
     found = docs.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), score.alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

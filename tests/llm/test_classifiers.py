@@ -1,9 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.llm import langid, quality, queries, toxicity
+from lodestar.llm import labelled, langid, quality, queries, toxicity
 
 from .helpers import EDGE, edge, empty
 
@@ -57,6 +58,9 @@ def test_edge_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(edge(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.keep_identified(edge(spark))
     assert kept.columns == edge(spark).columns and kept.count() == len(EDGE) - 4
+    unknown = edge(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unknown).count() == len(EDGE) - 4
+    assert langid.keep_identified(empty(spark)).count() == 0
 
 
 def test_filters_have_no_false_negatives():
@@ -86,3 +90,77 @@ def test_windows_hold_the_whole_text():
 def test_rates_rise():
     out = toxicity.rising(np.array([0.1, 0.5, 0.2, 0.9]), np.ones(4))
     assert np.allclose(out, [0.1, 0.35, 0.35, 0.9])
+
+
+def language_counts(text, lists):
+    """For each language how many 4-grams of a text are in its set."""
+    folded = "".join(c.lower() if c.isascii() and c.isalpha() else c if ord(c) > 127 else " " for c in text).encode()
+    padded = b"  " + b" ".join(folded.split()) + b" "
+    found = [padded[i : i + 4] for i in range(len(padded) - 3)]
+    return {lang: sum(g in own for g in found) for lang, own in lists.items()}
+
+
+def test_languages_match_exact_sets(spark, small):
+    """The Bloom filters decide as sets of the same n-grams do, but for near ties."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect() if r["text"]]
+    model = langid.fit([(lang, t) for _, lang, t in texts])
+    lists = {lang: set() for lang in model.langs}
+    shares = {}
+    for lang in model.langs:
+        own = [t for _, x, t in texts if x == lang]
+        counted = Counter(g for t in own for g in {bytes(x) for x in langid.grams(t.encode()).astype(">u8").view("S8").tolist()})
+        shares[lang] = {g: n / len(own) for g, n in counted.items() if n / len(own) >= langid.SUPPORT}
+    for lang, held in shares.items():
+        for g, s in held.items():
+            if s * langid.CONTRAST >= max(o.get(g, 0) for o in shares.values()):
+                lists[lang].add(g[-4:])
+    for _, _, t in texts:
+        want = language_counts(t, lists)
+        first, second = sorted(want.values(), reverse=True)[:2]
+        if first - second > 0.05 * sum(want.values()):
+            assert model.predict(t)[0] == max(want, key=want.get)
+
+
+def test_quality_matches_brute_force():
+    """Neighbours and votes of every text against one loop over all labelled vectors."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "Beta", "g4mma", "d-e", "!!", "zeta"]
+    texts = [(int(y), " ".join(rng.choice(words, 30, p=p)).encode()) for y, p in zip(rng.integers(0, 2, 60), rng.dirichlet(np.ones(6), 60))]
+    model = quality.fit(texts, {0: 30, 1: 30})
+    ask = [" ".join(rng.choice(words, 20)).encode() for _ in range(20)]
+    got = model.scores(ask)
+    for vector, score in zip(model.latent(ask), got):
+        near = sorted(((float(vector @ v), i) for i, v in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(0.0, min(1.0, c)) ** quality.SHARPNESS * model.weights[i] for c, i in near]
+        vote = sum(w * model.labels[i] for w, (_, i) in zip(weights, near))
+        assert abs(score - (vote + 1e-3 * model.prior) / (sum(weights) + 1e-3)) < 1e-3
+
+
+def test_toxic_windows_match_their_compressed_lengths():
+    """Scores from lengths that zstandard gives window by window."""
+    texts = [(1, b"such a moron and idiot here"), (0, b"plain words of a day")] * 30
+    model = toxicity.fit(texts, {1: 30, 0: 30})
+    pair = model.compressors()
+    for t in (b"the idiot came home with the moron", b"plain words of the day", b""):
+        words, windows, now = toxicity.words_of(t), [], b""
+        for w in words:
+            now += b" " + w
+            if len(now) >= toxicity.WINDOW:
+                windows.append(now)
+                now = b""
+        windows += [now] if now else []
+        lengths = [[len(c.compress(w + b" " + b"\n" * 10)) for c in pair] for w in windows]
+        assert model.gains(t, pair) == [a - b for a, b in lengths]
+    assert model.score(b"the idiot came home with the moron", pair) > model.score(b"plain words of the day", pair)
+
+
+def test_samples_of_repeated_ids_and_long_texts(spark, monkeypatch):
+    """An id that all rows share teaches like many; long texts teach by pieces of their whole length."""
+    docs = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1)], "doc_id long, toxic int")
+    found, sizes = labelled.sample(docs, labels, "toxic", lambda c: F.lit(True), 20)
+    assert sizes == {0: 300, 1: 300} and sorted(y for y, _ in found) == [0] * 20 + [1] * 20
+    assert langid.train_model(docs, F.lit(True), 40).langs == ["de", "en"]
+    long = spark.createDataFrame([("ab" * 100_000 + "end",)], "text string").select(labelled.fitted(F.col("text"))).first()[0]
+    assert labelled.FIT_CHARS <= len(long) <= labelled.FIT_CHARS + 100 and long.endswith("end")
