@@ -11,8 +11,8 @@ from .common import checkpointed, free_name
 WINDOW = 10
 #: Words of a shingle, the token that windows are found by.
 SHINGLE = 3
-#: A side of at most this many rows is broadcast; beyond it Spark chooses, by size, how to join.
-BROADCAST_ROWS = 2_000_000
+#: A side of at most this many bytes is broadcast; beyond it positions are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: everything in ASCII but letters and digits.
@@ -33,9 +33,9 @@ def _count(w: str) -> Column:
     return (F.size(w) - ends).cast("long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _is_small(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether df, of rows of row_bytes and 64 bytes more in a table of hashes, is within the bound of a broadcast."""
+    return (df.agg(F.sum(row_bytes + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _shingles(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
@@ -53,41 +53,60 @@ def _shingles(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
 
 
 def windows_of(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(window, words, n, item) for each window of each item; window is a hash of its words."""
-    w = items.select(F.col(item_id).cast("string").alias("item"), F.filter(words(F.col(text)), lambda x: x != "").alias("w"))
+    """(words, n, item) for each window of each item."""
+    w = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.filter(words(F.col(f"`{text}`")), lambda x: x != "").alias("w"))
     n = F.least(F.size("w"), F.lit(WINDOW))
     starts = F.sequence(F.lit(0), F.size("w") - n)
     each = w.filter(F.size("w") > 0).select("item", "w", n.alias("n"), F.explode(starts).alias("start"))
-    cut = each.select("item", F.slice("w", F.col("start") + 1, F.col("n")).alias("words"), "n")
-    return cut.select(F.xxhash64("words").alias("window"), "words", "n", "item").distinct()
+    return each.select("item", F.slice("w", F.col("start") + 1, F.col("n")).alias("words"), "n").distinct()
+
+
+def numbered(windows: DataFrame) -> DataFrame:
+    """(window, words, n): the distinct windows with numbers of their own."""
+    distinct = windows.select("words", "n").distinct()
+    return checkpointed(distinct.withColumn("window", F.monotonically_increasing_id()))
 
 
 def hits(docs: DataFrame, windows: DataFrame, *keep: str) -> DataFrame:
     """Occurrences of windows in documents: keep, start, n, window.
 
-    docs has the columns `keep` and a word array `w`; windows has window, words and n.
-    A window lies in a document only if all its shingles do, so it is enough to look it up
-    by one of them: shingles are ordered by how often they occur in the documents, and the
-    rarest of each window is its prefix. A window with a shingle that occurs nowhere is
-    dropped. An occurrence of the prefix is kept if the whole window fits between the ends
-    of the document around it, and then compared word by word.
+    docs has the columns `keep`, which tell its texts apart, and a word array `w`; windows
+    has window, words and n. A window lies in a document only if all its shingles do, so it
+    is enough to look it up by one of them: shingles are ordered by how often they occur in
+    the documents, and the rarest of each window is its prefix. A window with a shingle
+    that occurs nowhere is dropped. An occurrence of the prefix is kept if the whole window
+    fits between the ends of the document around it, and then compared word by word.
+
+    Prefixes within the bound of a broadcast meet the documents where these are read. More
+    of them are joined to the bare positions by a shuffle, and the words fetched after that.
     """
     sizes = sorted(r["k"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())
     if not sizes:
-        empty = windows.select(F.lit(0).alias("start"), "n", "window").limit(0)
-        return docs.select(*keep).limit(0).crossJoin(empty)
+        return docs.select(*keep, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("window")).limit(0)
     inside = _shingles(windows.withColumnRenamed("words", "w"), sizes, "window", "n")
     inside = inside.filter((F.col("size") == F.least("n", F.lit(SHINGLE))) & (F.col("pos") + F.col("size") <= F.col("n")))
     inside = checkpointed(inside.select("window", "n", "pos", "h"))
     spread = _shingles(docs, sizes, *keep)
-    rarity = spread.join(_small(inside.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("times"))
-    rarity = checkpointed(rarity)
+    wanted = checkpointed(inside.select("h").distinct())
+    wanted = F.broadcast(wanted) if _is_small(wanted, F.lit(8)) else wanted
+    rarity = checkpointed(spread.select("h").join(wanted, "h").groupBy("h").agg(F.count("*").alias("times")))
     ranked = inside.join(rarity, "h", "left").groupBy("window").agg(
         F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "h", "pos")).alias("rarest")
     )
     prefixes = ranked.filter("rarest.times > 0").join(windows.select("window", "words", "n"), "window")
     prefixes = checkpointed(prefixes.select("window", "words", "n", F.col("rarest.h").alias("h"), F.col("rarest.pos").alias("offset")))
-    met = spread.join(_small(prefixes), "h").withColumn("start", F.col("pos") - F.col("offset"))
+    start = (F.col("pos") - F.col("offset")).alias("start")
+    if _is_small(prefixes, F.octet_length(F.array_join("words", "")) + 16 * F.size("words")):
+        met = spread.join(F.broadcast(prefixes), "h").select(*keep, "w", start, "n", "window", "words")
+    else:
+        bare = prefixes.select("h", "offset", "n", "window")
+        found = spread.select(*keep, "pos", "h").join(bare, "h").filter("pos >= offset").select(*keep, start, "n", "window").distinct()
+        found = found.join(windows.select("window", "words"), "window")
+        found = found.select(*(F.col(c).alias(f"of_{c}") if c in keep else F.col(c) for c in found.columns))
+        same = F.lit(True)
+        for c in keep:
+            same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+        met = docs.select(*keep, "w").join(found, same).select(*keep, "w", "start", "n", "window", "words")
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w"))
     same = F.slice("w", F.col("start") + 1, F.col("n")) == F.col("words")
     return met.filter(F.when(fits, same).otherwise(False)).select(*keep, "start", "n", "window")
@@ -112,13 +131,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Items without an id count for n_hit but not for n_items. An empty table on either side
     gives no hits. Extra columns are ignored.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("w"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("w"))
     all_windows = checkpointed(windows_of(items))
-    distinct = all_windows.groupBy("window").agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    found = checkpointed(hits(slim, checkpointed(distinct), "doc_id", "mark").distinct())
+    distinct = numbered(all_windows)
+    found = checkpointed(hits(slim, distinct, "doc_id", "mark").distinct())
     spans = found.select("doc_id", "mark", "start", "n").distinct()
     n_hit = spans.groupBy("doc_id", "mark").agg(_covered(F.collect_list(F.struct("start", "n"))).alias("n_hit"))
-    per_item = found.select("doc_id", "mark", "window").distinct().join(all_windows.select("window", "item"), "window")
+    per_item = found.select("doc_id", "mark", "window").distinct().join(all_windows.join(distinct, ["words", "n"]).select("window", "item"), "window")
     listed = per_item.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item")).alias("listed"))
     hit = n_hit.join(
         listed.select(F.col("doc_id").alias("l_id"), F.col("mark").alias("l_mark"), "listed"),
@@ -141,10 +160,15 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no window of an item occurs, with all their columns."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("w"))
-    distinct = windows_of(items).groupBy("window").agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    found = hits(slim, checkpointed(distinct), "doc_id", "mark").select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"))
+    """The documents in which no window of an item occurs, with all their columns.
+
+    Null and empty texts stay, as they have no words; null and empty items take nothing
+    away. Repeated rows stay or go together; ids may be null or repeat, and rows with one
+    id and different texts are judged apart. An empty table of documents gives no rows, one
+    of items keeps all. Very long texts are read whole. Extra columns may have any names.
+    """
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("w"))
+    found = hits(slim, numbered(windows_of(items)), "doc_id", "mark").select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"))
     found = checkpointed(found.distinct())
     mark = free_name(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64(text))

@@ -45,7 +45,7 @@ def test_matches_brute_force(spark, seed):
 
 
 def test_plain_path_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     rng = random.Random(9)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
     items, docs = [(i, text(13)) for i in range(5)], [(i, text(200)) for i in range(10)]
@@ -54,6 +54,22 @@ def test_plain_path_beyond_the_broadcast_bound(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.drop("mark").collect()), key=repr) == brute(docs, items)
 
 
+def test_positions_are_shuffled_without_their_texts(spark, small, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    # Without it, Spark itself broadcasts what is small here.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{small}/documents.parquet")
+        words_of = docs.select("doc_id", decontamination.words(docs["text"]).alias("w"))
+        windows = decontamination.numbered(decontamination.windows_of(spark.read.parquet(f"{small}/benchmark.parquet")))
+        plan = decontamination.hits(words_of, windows, "doc_id")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(h#" in line]
+    assert below and not any(re.search(r"[\[ ]w#\d+[,\]]", line) for line in below)
+    assert not any("Python" in line or "Arrow" in line for line in plan)
+
+
 def test_edge_rows(spark):
     items = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet"), (2, None), (3, "")], "item_id long, text string")
     found = decontamination.contamination(edge(spark), items).collect()
