@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from . import constants as C
+from .urls import _VIDEO_HOSTS
 
 _NORMAL = "trim(regexp_replace(lower(coalesce(s, '')), '[^a-z0-9]+', ' '))"
 
@@ -17,6 +18,16 @@ def _terms(stop: tuple[str, ...], least: int) -> str:
     return f"filter(array_except(array_distinct(split({_NORMAL}, ' ')), array({listed})), t -> length(t) >= {least})"
 
 
+_SCHEME, _HOST = r"lower(regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))", r"lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_PATH = r"regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_VALUE = r"regexp_extract(trim(u), '^[^?#]*[?](?:[^#]*&)?v=([^&#]+)', 1)"
+_CANONICAL = (
+    f"CASE WHEN u IS NULL THEN '' WHEN startswith(trim(u), 'pexels:') THEN trim(u) "
+    f"WHEN {_HOST} IN ({', '.join(repr(h) for h in _VIDEO_HOSTS)}) AND {_VALUE} <> '' THEN concat('youtube:', {_VALUE}) "
+    f"WHEN {_HOST} = 'youtu.be' AND trim(BOTH '/' FROM {_PATH}) <> '' THEN concat('youtube:', trim(BOTH '/' FROM {_PATH})) "
+    f"WHEN {_SCHEME} = '' OR {_HOST} = '' THEN trim(u) ELSE concat({_SCHEME}, '://', {_HOST}, {_PATH}) END"
+)
+
 FUNCTIONS = {
     "normalize_text(s STRING) RETURNS STRING": _NORMAL,
     "topic_tokens(s STRING) RETURNS ARRAY<STRING>": _terms(C.TOPIC_STOP, 1),
@@ -28,6 +39,7 @@ FUNCTIONS = {
         "+ least(20D, (coalesce(likes, 0) + coalesce(comments, 0)) / greatest(coalesce(views, 0), 1) * 1000D) "
         f"+ greatest(0D, 20D - greatest(age, 0.5D) / {C.WINDOW_HOURS}D * 20D)) * 100 + 0.5D) / 100D"
     ),
+    "canonical_url(u STRING) RETURNS STRING": _CANONICAL,
     "hamming_bits(a BIGINT, b BIGINT) RETURNS INT": "coalesce(bit_count(a ^ b), 9999)",
 }
 

@@ -83,9 +83,9 @@ def json_object(s: Column) -> Column:
     return F.when(found != "", found)
 
 
-def hashtags(tags: Column, most: int = 8) -> Column:
-    """The first tags without spaces, each after a #, joined by spaces."""
-    return F.array_join(F.transform(F.slice(tags, 1, most), lambda t: F.concat(F.lit("#"), F.replace(t, F.lit(" "), F.lit("")))), " ")
+def hashtags(tags: Column, most: int | None = 8) -> Column:
+    """The first tags (with None all) without spaces, each after a #, joined by spaces."""
+    return F.array_join(F.transform(tags if most is None else F.slice(tags, 1, most), lambda t: F.concat(F.lit("#"), F.replace(t, F.lit(" "), F.lit("")))), " ")
 
 
 def clip_text(s: Column, most: int, suffix: str = "") -> Column:

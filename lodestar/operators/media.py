@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import urls as U
+from .fingerprints import near_dup_clips
 from .gates import limit_reason
 
 
@@ -22,12 +23,14 @@ def upsert_history(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.unionByName(new).dropDuplicates(["media_type", "key_kind", "key_value"])
 
 
-def dedupe_media(media: DataFrame, history: DataFrame) -> DataFrame:
+def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """Each item with the first reason that speaks against it; null means accepted.
 
     Cheap checks stand before dear ones: used address, blocked domain, limits, used
-    content, an earlier item with the same address, then one with the same content.
-    Earlier means a smaller id among items that pass all checks before.
+    content, an earlier item with the same address, one with the same content, and, with
+    frames (media_id, frame, h), one that at least half of the frames are near to. Earlier
+    means a smaller id among items that pass all checks before. Items without an address
+    or hash are no repeats of each other by it.
     """
     m = media.withColumn("canonical", U.canonical_url(F.col("url")))
     urls = history.filter("key_kind = 'url'").select(F.col("key_value").alias("canonical"), F.lit(True).alias("url_used")).distinct()
@@ -40,16 +43,28 @@ def dedupe_media(media: DataFrame, history: DataFrame) -> DataFrame:
     )
     m = m.withColumn("reason", F.coalesce(reason, F.when(F.col("hash_used"), "used hash")))
     for column, name in (("canonical", "duplicate url"), ("sha", "duplicate hash")):
-        w = Window.partitionBy(column, F.col("reason").isNull()).orderBy("media_id")
-        again = F.col("reason").isNull() & (F.row_number().over(w) > 1)
+        # Missing values are groups of their own: no repeats, and no large group.
+        known = F.coalesce(F.col(column), F.lit("")) != ""
+        w = Window.partitionBy(column, F.when(~known, F.col("media_id")), F.col("reason").isNull()).orderBy("media_id")
+        again = F.col("reason").isNull() & known & (F.row_number().over(w) > 1)
         m = m.withColumn("_again", again).withColumn("reason", F.coalesce("reason", F.when(F.col("_again"), name))).drop("_again")
-    return m.drop("url_used", "hash_used")
+    m = m.drop("url_used", "hash_used")
+    if frames is None:
+        return m
+    looked_at = m.filter("reason is null").select(F.col("media_id").alias("_seen"))
+    seen = frames.join(looked_at, F.col("media_id") == F.col("_seen"), "left_semi")
+    near = near_dup_clips(seen, "media_id", "frame", "h").filter("b_clip < a_clip").select(F.col("a_clip").alias("_near")).distinct()
+    m = m.join(near, F.col("media_id") == F.col("_near"), "left")
+    return m.withColumn("reason", F.when(F.col("_near").isNotNull(), "near duplicate").otherwise(F.col("reason"))).drop("_near")
 
 
-def select_best_file(files: DataFrame, key: str) -> DataFrame:
-    """The best rendition of each item: large enough, hd, least oversized, nearest to the target. files: link, width, height, quality."""
+def select_best_file(files: DataFrame, key: str, portrait: int = C.TARGET_AREA, landscape: int = C.TARGET_AREA) -> DataFrame:
+    """The best rendition of each item: large enough, hd, least oversized, nearest to the target area of its own orientation.
+
+    files: link, width, height, quality. Square ones count as portrait.
+    """
     usable = files.filter((F.coalesce(F.col("link"), F.lit("")) != "") & (F.col("width") > 0) & (F.col("height") > 0))
-    area, target = (F.col("width") * F.col("height")).cast("double"), F.lit(float(C.TARGET_AREA))
+    area, target = (F.col("width") * F.col("height")).cast("double"), F.when(F.col("height") >= F.col("width"), float(portrait)).otherwise(float(landscape))
     rank = [
         F.desc(area >= target * 0.55),
         F.desc(F.lower(F.col("quality")) == "hd"),
@@ -90,27 +105,46 @@ def media_stats(media: DataFrame, sections: DataFrame, quota: int) -> DataFrame:
     return all_.withColumn("short", (F.col("n_video") + F.col("n_image")) < quota)
 
 
+def eligible(cands: DataFrame) -> DataFrame:
+    """Candidates that their tier may use, with `turn`, the place of their query in its order.
+
+    Web clips (tier 1) come from query 1 only, stock clips (2) from queries 2 to 4, then 1,
+    images (3, 4) from queries 1 to 4.
+    """
+    turn = F.when(F.col("tier") == 2, F.pmod(F.col("query") - 2, F.lit(4))).otherwise(F.col("query") - 1)
+    return cands.filter((F.col("tier") != 1) | (F.col("query") == 1)).withColumn("turn", turn.cast("int"))
+
+
 def quota_first_n(cands: DataFrame, k: int) -> DataFrame:
-    """The first k items of each section by (tier, query, pos), no id twice in a script: set-based form.
+    """The first k items of each section by tier, its order of queries and pos, no id twice in a script: set-based form.
 
     cands: script_id, section_id, tier, query, pos, item. An item goes to the first section
     that lists it, then sections are cut at k.
     """
-    once = Window.partitionBy("script_id", "item").orderBy("section_id", "tier", "query", "pos")
-    first = cands.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
-    w = Window.partitionBy("script_id", "section_id").orderBy("tier", "query", "pos", "item")
-    return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    once = Window.partitionBy("script_id", "item").orderBy("section_id", "tier", "turn", "pos")
+    first = eligible(cands).withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
+    w = Window.partitionBy("script_id", "section_id").orderBy("tier", "turn", "pos", "item")
+    return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("turn")
 
 
 def allocate_exact(cands: DataFrame, k: int) -> DataFrame:
     """As quota_first_n, but an item that a section left for its quota can go to a later one.
 
-    Each script is folded on its own, so a group is one script's candidates.
+    Each script is folded on its own. Earlier sections take at most k items each, so of the
+    s-th section only the first k * s distinct items can matter; the others do not reach the
+    fold, and a group is bounded by the sections of its script.
     """
+    again = Window.partitionBy("script_id", "section_id", "item").orderBy("tier", "turn", "pos")
+    order = Window.partitionBy("script_id", "section_id").orderBy("tier", "turn", "pos", "item")
+    once = eligible(cands).withColumn("_r", F.row_number().over(again)).filter("_r = 1").withColumn("_place", F.row_number().over(order))
+    number = F.row_number().over(Window.partitionBy("script_id").orderBy("section_id")).alias("_s")
+    numbers = cands.select("script_id", "section_id").distinct().select("script_id", "section_id", number)
+    needed = once.join(numbers, ["script_id", "section_id"]).filter(F.col("_place") <= k * F.col("_s"))
+    needed = needed.select("script_id", "section_id", "tier", "query", "pos", "item", "turn")
     schema = "script_id long, section_id long, tier int, query int, pos int, item long, place int"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, count, out = rows.sort_values(["section_id", "tier", "query", "pos", "item"]), set(), {}, []
+        rows, used, count, out = rows.sort_values(["section_id", "tier", "turn", "pos", "item"]), set(), {}, []
         for r in rows.itertuples(index=False):
             n = count.get(r.section_id, 0)
             if n < k and r.item not in used:
@@ -119,7 +153,7 @@ def allocate_exact(cands: DataFrame, k: int) -> DataFrame:
                 out.append((r.script_id, r.section_id, r.tier, r.query, r.pos, r.item, n + 1))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return cands.groupBy("script_id").applyInPandas(fold, schema)
+    return needed.groupBy("script_id").applyInPandas(fold, schema)
 
 
 def fill_from_pool(media: DataFrame, sections: DataFrame, images_only: bool = True) -> DataFrame:

@@ -159,7 +159,9 @@ def quota_cands(spark: SparkSession, d: str) -> DataFrame:
     s = sections(spark, d).select("script_id", "section_id", "n", F.explode(F.expr("sequence(1, 4)")).alias("tier"))
     s = s.select("*", F.explode(F.expr("sequence(0, 2)")).alias("pos"))
     item = (F.col("n") * 5 + F.col("tier") * 3 + F.col("pos") * 7) % 40
-    return s.select("script_id", "section_id", "tier", F.lit(1).alias("query"), "pos", item.alias("item"))
+    kind = F.when(item % 2 == 0, "video").otherwise("image")
+    query = (1 + (F.col("n") + F.col("pos")) % 4).cast("int")
+    return s.select("script_id", "section_id", "tier", query.alias("query"), "pos", item.alias("item"), kind.alias("kind"))
 
 
 def scripts(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +172,8 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
     return s.select(
         "script_id", "section_id", F.when(F.col("section_id") == 2, "call-to-action").otherwise(F.col("section_type")).alias("section_type"),
         F.when(F.col("n") % 19 == 0, "  ").otherwise(F.col("narration")).alias("narration"),
-        piece(1).alias("video_query"), piece(2).alias("video_query_2"), piece(1).alias("video_query_3"),
+        piece(1).alias("video_query"), piece(2).alias("video_query_2"),
+        F.when(F.col("n") % 5 == 0, "onlytag").otherwise(piece(1)).alias("video_query_3"),
         F.when(F.col("n") % 17 == 0, "").otherwise(piece(3)).alias("video_query_4"),
     )
 
@@ -189,12 +192,29 @@ def research(spark: SparkSession, d: str) -> DataFrame:
         piece(6, 5).alias("hook_question"),
         F.lit("angle").alias("content_angle"),
         F.array(piece(2, 6), piece(9, 6)).alias("key_points"),
-        F.when(F.col("script_id") % 5 == 0, F.lit(None)).otherwise(F.slice(w, 1, 10)).alias("tags"),
+        F.when(F.col("script_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.slice(w, 1, 10), F.array(F.lit("onlytag")))).alias("tags"),
         F.when(F.col("script_id") % 7 == 0, "SPORTS").otherwise("movie").alias("content_domain"),
         F.when(F.col("script_id") % 11 == 0, "POEM").otherwise("recap").alias("content_type"),
     )
 
 
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    """What scripts say of themselves: topics with and without terms, a trend, an unknown domain."""
+    k = F.col("script_id")
+    return research(spark, d).filter("script_id % 10 <> 9").select(
+        "script_id",
+        F.when(k % 4 == 0, F.col("topic")).when(k % 4 == 1, "of a").when(k % 4 == 2, "quite another subject").alias("topic"),
+        F.when(k % 3 == 0, F.col("hook_question")).alias("source_trend"),
+        F.when(k % 6 == 1, "Sports ").alias("content_domain"),
+    )
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of media: those of the fingerprints' clips under the ids of pages and of their planted copies."""
+    clip = F.col("clip")
+    return fp(spark, d).select(F.when(clip < 1_000_000_000, clip).otherwise(clip - 999_000_000).alias("media_id"), "frame", "h")
+
+
 #: The same tables as SQL; each needs those it names before it.
 SQL = {
     "base": """base AS (
@@ -275,12 +295,15 @@ fp AS (
   FROM (SELECT script_id, section_id, pos, n + pos AS m FROM (
     SELECT script_id, section_id, n, unnest(range(0, n % 3 + 1)) AS pos FROM sections WHERE n % 4 <> 0)))""",
     "quota_cands": """quota_cands AS (
-  SELECT script_id, section_id, tier, 1 AS query, pos, (n * 5 + tier * 3 + pos * 7) % 40 AS item
-  FROM (SELECT script_id, section_id, n, tier, unnest([0, 1, 2]) AS pos FROM (SELECT script_id, section_id, n, unnest([1, 2, 3, 4]) AS tier FROM sections)))""",
+  SELECT *, CASE WHEN tier = 2 THEN (query + 2) % 4 ELSE query - 1 END AS turn FROM (
+    SELECT script_id, section_id, tier, CAST(1 + (n + pos) % 4 AS INTEGER) AS query, pos, (n * 5 + tier * 3 + pos * 7) % 40 AS item
+    FROM (SELECT script_id, section_id, n, tier, unnest([0, 1, 2]) AS pos FROM (SELECT script_id, section_id, n, unnest([1, 2, 3, 4]) AS tier FROM sections)))
+  WHERE tier <> 1 OR query = 1)""",
     "scripts": """scripts AS (
   SELECT script_id, section_id, CASE WHEN section_id = 2 THEN 'call-to-action' ELSE section_type END AS section_type,
          CASE WHEN n % 19 = 0 THEN '  ' ELSE narration END AS narration,
-         array_to_string(w[1:3], ' ') AS video_query, array_to_string(w[2:4], ' ') AS video_query_2, array_to_string(w[1:3], ' ') AS video_query_3,
+         array_to_string(w[1:3], ' ') AS video_query, array_to_string(w[2:4], ' ') AS video_query_2,
+         CASE WHEN n % 5 = 0 THEN 'onlytag' ELSE array_to_string(w[1:3], ' ') END AS video_query_3,
          CASE WHEN n % 17 = 0 THEN '' ELSE array_to_string(w[3:5], ' ') END AS video_query_4
   FROM (SELECT *, string_split(narration, ' ') AS w FROM sections))""",
     "research": """research AS (
@@ -288,13 +311,20 @@ fp AS (
          CASE WHEN script_id % 13 = 0 THEN '' ELSE array_to_string(w[1:5], ' ') END AS topic, array_to_string(w[3:8], ' ') AS source_trend,
          array_to_string(w[1:8], ' ') AS video_title, array_to_string(w[6:10], ' ') AS hook_question, 'angle' AS content_angle,
          [array_to_string(w[2:7], ' '), array_to_string(w[9:14], ' ')] AS key_points,
-         CASE WHEN script_id % 5 = 0 THEN NULL ELSE w[1:10] END AS tags,
+         CASE WHEN script_id % 5 = 0 THEN NULL ELSE list_concat(w[1:10], ['onlytag']) END AS tags,
          CASE WHEN script_id % 7 = 0 THEN 'SPORTS' ELSE 'movie' END AS content_domain,
          CASE WHEN script_id % 11 = 0 THEN 'POEM' ELSE 'recap' END AS content_type
   FROM (SELECT *, string_split(narration, ' ') AS w FROM sections WHERE section_id = 0))""",
 }
 
 
+SQL["headers"] = """headers AS (
+  SELECT script_id, CASE script_id % 4 WHEN 0 THEN topic WHEN 1 THEN 'of a' WHEN 2 THEN 'quite another subject' END AS own_topic,
+         CASE WHEN script_id % 3 = 0 THEN hook_question END AS own_trend, CASE WHEN script_id % 6 = 1 THEN 'Sports ' END AS own_domain
+  FROM research WHERE script_id % 10 <> 9)"""
+SQL["frames"] = "frames AS (SELECT CASE WHEN clip < 1000000000 THEN clip ELSE clip - 999000000 END AS media_id, frame, h FROM fp)"
+
+
 def with_(names: str, query: str) -> str:
     """query with the named derived tables before it."""
     return "WITH " + ",\n".join(SQL[n] for n in names.split()) + "\n" + query

@@ -14,6 +14,7 @@ from ..operators import gates as G
 from ..operators import media as M
 from ..operators import similarity as S
 from . import fixtures as X
+from . import pipelines as E
 from . import registry as R
 from .registry import query
 
@@ -166,19 +167,27 @@ _CHECKS = ", ".join(
 )
 
 
-@query(X.with_("sections scripts research", f""", a AS (SELECT script_id, video_type, list_filter(list_sort(list_distinct(list_concat({', '.join(R.terms(c) for c in _FIELDS[:5])},
-  {R.terms("array_to_string(key_points, ' ')")}))), lambda t: NOT list_contains({R.terms("'" + A.SCHEMA_WORDS + "'")}, t)) AS anchors FROM research),
+_AUDITED = f""", a AS (SELECT script_id, video_type, coalesce(nullif(own_trend, ''), nullif(own_topic, ''), nullif(source_trend, ''), topic, '') AS source,
+  upper(trim(coalesce(nullif(own_domain, ''), content_domain, ''))) AS domain, own_topic,
+  list_filter(list_sort(list_distinct(list_concat({', '.join(R.terms(c) for c in (*_FIELDS[:5], 'own_topic', 'own_trend'))},
+  {R.terms("array_to_string(key_points, ' ')")}, {R.terms("array_to_string(tags, ' ')")}))), lambda t: NOT list_contains({R.terms("'" + A.SCHEMA_WORDS + "'")}, t)) AS anchors
+  FROM research LEFT JOIN headers USING (script_id)),
 s AS (SELECT *, {R.blank('narration')} AS blank_, upper(replace(trim(section_type), '-', '_')) AS kind, len(anchors) > 0 AND {R.overlap('anchors', _AN)} > 0 AS anchored_
       FROM scripts JOIN a USING (script_id)),
 f AS (SELECT *, list_filter([{_CHECKS}], lambda v: v IS NOT NULL) AS found FROM s),
-g AS (SELECT script_id, any_value(video_type) AS t, any_value(len(anchors)) AS n_anchors, count(*) AS n_sections, count_if(anchored_ AND NOT blank_) AS n_anchored,
+g AS (SELECT script_id, any_value(source) AS source, any_value(domain) AS domain, any_value(own_topic) AS own_topic, any_value(anchors) AS anchors, any_value(video_type) AS t, any_value(len(anchors)) AS n_anchors, count(*) AS n_sections, count_if(anchored_ AND NOT blank_) AS n_anchored,
       list_distinct(flatten(list(found))) AS found FROM f GROUP BY script_id)
 SELECT script_id, n_sections, CAST(n_anchored AS BIGINT) AS n_anchored, array_to_string(list_sort(list_concat(found, list_filter([
+  CASE WHEN {R.blank('source')} THEN 'no source' END, CASE WHEN domain <> '' AND domain NOT IN ('MOVIE', 'ANIME') THEN 'domain' END,
+  CASE WHEN coalesce(own_topic, '') <> '' AND NOT (len(anchors) > 0 AND {R.overlap('anchors', R.terms('own_topic'))} > 0) THEN 'topic drifted' END,
   CASE WHEN n_sections <> CASE t WHEN 'shorts' THEN 3 WHEN 'long' THEN 9 ELSE n_sections END THEN 'section count' END,
   CASE WHEN n_anchors < 2 THEN 'weak context' END, CASE WHEN n_anchored < CASE t WHEN 'shorts' THEN 2 WHEN 'long' THEN 4 ELSE 1 END THEN 'too few anchored' END],
-  lambda v: v IS NOT NULL))), ',') AS violations FROM g""").replace("\n,", ","))
+  lambda v: v IS NOT NULL))), ',') AS violations FROM g"""
+
+
+@query(X.with_("sections scripts research headers", _AUDITED).replace("\n,", ","))
 def audited_scripts(spark, d):
-    return A.audit_scripts(X.scripts(spark, d), X.research(spark, d)).withColumn("violations", F.array_join("violations", ","))
+    return A.audit_scripts(X.scripts(spark, d), X.research(spark, d), X.headers(spark, d)).withColumn("violations", F.array_join("violations", ","))
 
 
 @query(X.with_("sections script_media", """, pool AS (SELECT script_id, path, kind, row_number() OVER (PARTITION BY script_id ORDER BY section_id, pos, path) - 1 AS slot,
@@ -211,3 +220,19 @@ def row_sets(spark, d):
     both = docs.select("source").union(X.load(spark, d, "conversations").select("role")).distinct()
     named = lambda op, df: df.select(F.lit(op).alias("op"), F.col(df.columns[0]).alias("source"))
     return named("intersect", of("en").intersect(of("de"))).union(named("except", rest)).union(named("union", both))
+
+
+def _marked(query_name: str, name: str) -> str:
+    """The violations that a query lists, one a row, with the audit's name before each."""
+    return f"SELECT script_id, '{name}: ' || unnest(string_split(violations, ',')) AS v FROM ({R.ORACLES[query_name]}) WHERE violations <> ''"
+
+
+@query(f"""WITH v AS ({_marked('valid_research', 'research')} UNION ALL {_marked('audited_research', 'lock')} UNION ALL {_marked('topic_drift', 'drift')}
+UNION ALL {_marked('audited_scripts', 'script')} UNION ALL SELECT script_id, 'domain drift' FROM ({R.ORACLES['drifted_domains']}))
+SELECT DISTINCT r.script_id, coalesce(string_agg(v, ',' ORDER BY v), '') AS violations FROM (SELECT conv_id AS script_id FROM conversations WHERE turn = 0) r LEFT JOIN v USING (script_id) GROUP BY r.script_id""")
+def audited_pipelines(spark, d):
+    """All audits of each script together."""
+    r = X.research(spark, d).withColumn("selected_trend", F.col("video_title"))
+    trends = r.select("script_id", F.when(F.col("script_id") % 2 == 0, "movie").otherwise("ANIME").alias("content_domain"))
+    found = E.audit_all(X.scripts(spark, d), r, trends, X.headers(spark, d))
+    return found.select("script_id", F.array_join("violations", ",").alias("violations"))

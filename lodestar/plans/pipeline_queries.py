@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import sql_udfs
+from ..operators import captions as K
 from ..operators import gates as G
 from ..operators import media as M
 from ..sources import readers as I
@@ -48,21 +49,42 @@ def best_trends(spark, d):
 CASE WHEN list_contains({R.listed(C.CONTENT_TYPES)}, upper(trim(content_type))) THEN upper(trim(content_type)) ELSE 'EXPLAINER' END AS content_type
 FROM ranked JOIN verdict_ok ON video_id = candidate_id WHERE ok AND ceil(rank / 20.0) <= 4 ORDER BY rank LIMIT 1""").replace("\n,", ","))
 def selected_trend(spark, d):
-    chosen = E.best_trend(X.cand(spark, d), X.history(spark, d), X.verdicts(spark, d), X.AS_OF, KEYWORDS)
+    # Some verdicts of the table are on unknown ids.
+    chosen = E.best_trend(X.cand(spark, d), X.history(spark, d), X.verdicts(spark, d), X.AS_OF, KEYWORDS, strict=False)
     return chosen.withColumn("rank", F.col("rank").cast("long")).withColumn("batch", F.col("batch").cast("long"))
 
 
-@query(X.with_("media media_history", """, a AS (SELECT *, CASE WHEN canonical IN (SELECT key_value FROM media_history WHERE key_kind = 'url') THEN 'used url'
-  WHEN duration > 10000 THEN 'duration' WHEN size > 2147483648 THEN 'size' WHEN sha IN (SELECT key_value FROM media_history WHERE key_kind = 'hash') THEN 'used hash' END AS r0 FROM canon),
-b AS (SELECT *, CASE WHEN r0 IS NULL AND row_number() OVER (PARTITION BY canonical, r0 IS NULL ORDER BY media_id) > 1 THEN 'duplicate url' ELSE r0 END AS r1 FROM a),
-c AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY sha, r1 IS NULL ORDER BY media_id) > 1 THEN 'duplicate hash' ELSE r1 END AS reason FROM b)
-SELECT media_id, canonical, reason FROM c""").replace("\n,", ","))
+_DEDUPED = """, fewer AS (SELECT * REPLACE (CASE WHEN media_id % 29 = 0 THEN '' ELSE canonical END AS canonical, CASE WHEN media_id % 13 = 0 THEN NULL ELSE sha END AS sha) FROM canon),
+a AS (SELECT *, CASE WHEN canonical IN (SELECT key_value FROM media_history WHERE key_kind = 'url') THEN 'used url'
+  WHEN duration > 10000 THEN 'duration' WHEN size > 2147483648 THEN 'size' WHEN sha IN (SELECT key_value FROM media_history WHERE key_kind = 'hash') THEN 'used hash' END AS r0 FROM fewer),
+b AS (SELECT *, CASE WHEN r0 IS NULL AND canonical <> '' AND row_number() OVER (PARTITION BY canonical, r0 IS NULL ORDER BY media_id) > 1 THEN 'duplicate url' ELSE r0 END AS r1 FROM a),
+c AS (SELECT *, CASE WHEN r1 IS NULL AND sha IS NOT NULL AND row_number() OVER (PARTITION BY sha, r1 IS NULL ORDER BY media_id) > 1 THEN 'duplicate hash' ELSE r1 END AS reason FROM b)
+"""
+
+
+def _some_media(spark, d):
+    """Media of which some have no address and some no hash."""
+    m = X.media(spark, d)
+    return m.withColumn("url", F.when(F.col("media_id") % 29 != 0, F.col("url"))).withColumn("sha", F.when(F.col("media_id") % 13 != 0, F.col("sha")))
+
+
+@query(X.with_("media media_history", _DEDUPED.rstrip() + " SELECT media_id, canonical, reason FROM c").replace("\n,", ","))
 def deduped_media(spark, d):
-    return M.dedupe_media(X.media(spark, d), X.media_history(spark, d)).select("media_id", "canonical", "reason")
+    return M.dedupe_media(_some_media(spark, d), X.media_history(spark, d)).select("media_id", "canonical", "reason")
+
+
+@query(X.with_("media media_history fp frames", _DEDUPED.rstrip() + """, f AS (SELECT frames.* FROM frames JOIN c USING (media_id) WHERE reason IS NULL),
+hit AS (SELECT DISTINCT x.media_id, x.frame, y.media_id AS other FROM f x JOIN f y ON x.media_id <> y.media_id AND bit_count(xor(x.h, y.h)) <= 6),
+n AS (SELECT media_id, count(DISTINCT frame) AS n FROM f GROUP BY media_id),
+near AS (SELECT hit.media_id, other FROM hit JOIN n USING (media_id) GROUP BY hit.media_id, other HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.5)
+SELECT media_id, CASE WHEN media_id IN (SELECT media_id FROM near WHERE other < media_id) THEN 'near duplicate' ELSE reason END AS reason FROM c""").replace("\n,", ","))
+def deduped_clips(spark, d):
+    """Media with the near-duplicate check of their frames."""
+    return M.dedupe_media(_some_media(spark, d), X.media_history(spark, d), X.frames(spark, d)).select("media_id", "reason")
 
 
-@query(X.with_("sections quota_cands", """, first_ AS (SELECT * FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, query, pos) = 1),
-q AS (SELECT *, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, query, pos, item) AS place FROM first_ QUALIFY place <= 4),
+@query(X.with_("sections quota_cands", """, first_ AS (SELECT * FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, turn, pos) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, turn, pos, item) AS place FROM first_ QUALIFY place <= 4),
 own AS (SELECT script_id, section_id, place AS pos, CAST(item AS VARCHAR) AS path, CASE WHEN item % 2 = 0 THEN 'video' ELSE 'image' END AS kind FROM q),
 pool AS (SELECT script_id, path, kind, row_number() OVER (PARTITION BY script_id ORDER BY section_id, pos, path) - 1 AS slot, count(*) OVER (PARTITION BY script_id) AS n FROM own WHERE kind = 'image'),
 empty_ AS (SELECT script_id, section_id, row_number() OVER (PARTITION BY script_id ORDER BY section_id) - 1 AS k FROM sections s
@@ -70,7 +92,7 @@ empty_ AS (SELECT script_id, section_id, row_number() OVER (PARTITION BY script_
 SELECT script_id, section_id, pos, path, kind FROM own UNION ALL
 SELECT e.script_id, e.section_id, 1, p.path, p.kind FROM empty_ e JOIN pool p ON p.script_id = e.script_id AND p.slot = e.k % p.n""").replace("\n,", ","))
 def allocated_media(spark, d):
-    a = E.allocate_media(X.quota_cands(spark, d), X.sections(spark, d), 4)
+    a = E.allocate_media(X.quota_cands(spark, d), X.sections(spark, d), 4, strict=False)
     return a.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -218,3 +240,71 @@ def first_accepted(spark, d):
     """The first acceptable row of the first batch that has one."""
     ranked = E.P.top_trends(X.cand(spark, d).filter("source = 'A'"), 120)
     return G.gate_batches(ranked, F.col("views") % 2 == 1).select("video_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("""WITH b AS (SELECT text FROM benchmark WHERE NOT contains(left(text, 40), chr(10)))
+SELECT trim(text) AS topic, count(*) AS n FROM (SELECT left(text, 40) AS text FROM b UNION ALL SELECT '# ' || left(text, 10) FROM b
+UNION ALL SELECT ' # ' || left(text, 10) FROM b UNION ALL SELECT 'added ' || item_id FROM benchmark) WHERE trim(text) <> '' AND NOT starts_with(text, '#') GROUP BY 1""")
+def topic_lists(spark, d):
+    """Topics of a file with comments and blank lines, to which others were appended."""
+    b = X.load(spark, d, "benchmark").filter(~F.left("text", F.lit(40)).contains("\n"))
+    lines = b.select(F.explode(F.array(F.left("text", F.lit(40)), F.concat(F.lit("# "), F.left("text", F.lit(10))), F.concat(F.lit(" # "), F.left("text", F.lit(10))), F.lit("  "))).alias("value"))
+    path = shared_folder(spark, "topics")
+    lines.write.text(path)
+    I.append_topics(X.load(spark, d, "benchmark").select(F.concat(F.lit("added "), "item_id").alias("topic")), path)
+    return I.read_topic_list(spark, path).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'video' AS media_type, 'url' AS key_kind, url AS key_value FROM pages UNION ALL SELECT 'image', 'hash', sha256(html) FROM pages WHERE page_id % 3 = 0")
+def media_histories(spark, d):
+    """History files, some without the later fields, as a long table."""
+    p = X.load(spark, d, "pages")
+    wide = F.to_json(F.struct(F.array("url").alias("videos"), F.when(F.col("page_id") % 3 == 0, F.array(F.sha2("html", 256))).alias("image_hashes")))
+    path = shared_folder(spark, "history")
+    p.select("page_id", wide.alias("value")).repartition(8, "page_id").select("value").write.text(path)
+    return I.history_rows(spark.read.schema(I.MEDIA_HISTORY).option("mode", "FAILFAST").json(path))
+
+
+@query("SELECT page_id, octet_length(encode(html)) + 1 AS size, sha256(html || chr(10)) AS sha FROM pages WHERE octet_length(encode(html)) + 1 BETWEEN 800 AND 4000")
+def file_inventory(spark, d):
+    """Files within size limits with their hashes; each page is a file here."""
+    path = shared_folder(spark, "files")
+    X.load(spark, d, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(path)
+    files = I.inventory_media(spark, path, 800, 4000)
+    return files.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "size", "sha")
+
+
+@query(X.with_("sections", "SELECT script_id, section_id AS at, section_id * 1500 AS start_ms, section_id * 1500 + 1250 AS end_ms, 'cue ' || section_id AS text FROM sections"))
+def read_cues(spark, d):
+    """Cues written as caption files and read back."""
+    at = F.col("section_id")
+    cues = X.sections(spark, d).select("script_id", at.alias("cue"), (at * 1500).alias("start_ms"), (at * 1500 + 1250).alias("end_ms"), F.concat(F.lit("cue "), at.cast("string")).alias("text"))
+    path = shared_folder(spark, "srt")
+    I.write_srt(K.srt_text(cues, "script_id"), path, "script_id")
+    rows = I.read_srt(spark, f"{path}/*", strict=True)
+    return rows.select(F.regexp_extract("path", r"script_id=(\d+)", 1).cast("long").alias("script_id"), F.col("at").cast("long").alias("at"), "start_ms", "end_ms", "text")
+
+
+@query(X.with_("sections research", "SELECT script_id, topic, len(key_points) AS n_points, content_type FROM research"))
+def stage_documents(spark, d):
+    """Research written as JSON and read back."""
+    path = shared_folder(spark, "stage")
+    r = X.research(spark, d)
+    I.write_stage_json(r, path)
+    back = spark.read.schema(r.schema).json(path)
+    return back.select("script_id", "topic", F.size("key_points").cast("long").alias("n_points"), "content_type")
+
+
+@query("SELECT user_id, 1 AS n FROM (SELECT DISTINCT user_id FROM events)")
+def streamed_firsts(spark, d):
+    """How many rows of each id a de-duplicating stream lets through."""
+    rows = _streamed(spark, d, "events", lambda s: W.stream_dedupe(s, "user_id", "ts").select("user_id"))
+    return rows.groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(X.with_("media", "SELECT media_id, canonical FROM canon"))
+def sql_urls(spark, d):
+    """The SQL function for canonical addresses."""
+    sql_udfs.register(spark)
+    X.media(spark, d).createOrReplaceTempView("lodestar_media")
+    return spark.sql("SELECT media_id, canonical_url(url) AS canonical FROM lodestar_media")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import audit as A
 from ..operators import captions as K
 from ..operators import gates as G
 from ..operators import media as M
@@ -27,8 +28,17 @@ def ranked_candidates(cands: DataFrame, history: DataFrame, as_of: str, keywords
     return P.top_trends(fresh, n)
 
 
-def best_trend(cands: DataFrame, history: DataFrame, verdicts: DataFrame, as_of: str, keywords: tuple[str, ...], size: int = 20, most: int = 4) -> DataFrame:
-    """The best candidate with an acceptable verdict within the first batches; one row or none."""
+def best_trend(
+    cands: DataFrame, history: DataFrame, verdicts: DataFrame, as_of: str, keywords: tuple[str, ...], size: int = 20, most: int = 4, strict: bool = True
+) -> DataFrame:
+    """The best candidate with an acceptable verdict within the first batches; one row or none.
+
+    With strict, a verdict on an id that is no candidate's is an error; else it is left out.
+    """
+    if strict:
+        unknown = G.join_verdict(cands, verdicts)[1].select("candidate_id").first()
+        if unknown is not None:
+            raise ValueError(f"verdict on an unknown candidate: {unknown[0]}")
     ranked = ranked_candidates(cands, history, as_of, keywords)
     met, _ = G.join_verdict(ranked, verdicts)
     ok = G.verdict_ok(*(F.col(c) for c in _VERDICT))
@@ -36,16 +46,45 @@ def best_trend(cands: DataFrame, history: DataFrame, verdicts: DataFrame, as_of:
     return chosen.select("video_id", "title", "rank", "batch", F.upper(F.trim("content_domain")).alias("content_domain"), G.content_type(F.col("content_type")).alias("content_type"))
 
 
-def allocate_media(cands: DataFrame, sections: DataFrame, quota: int) -> DataFrame:
-    """Media of every section: its quota of listed items, what it borrows if it has none, repeats dropped.
+def allocate_media(
+    cands: DataFrame, sections: DataFrame, quota: int, media: DataFrame | None = None, history: DataFrame | None = None,
+    frames: DataFrame | None = None, strict: bool = True,
+) -> DataFrame:
+    """Media of every section: its quota of accepted items, what it borrows if it has none, repeats dropped.
 
-    cands: as for quota_first_n; even items are clips, odd ones images.
+    cands: as for quota_first_n, with the item's kind. With media (media_id is the item),
+    history and perhaps frames, only items that dedupe_media accepts take part. With strict,
+    a section that stays empty is an error.
     """
+    if media is not None:
+        accepted = M.dedupe_media(media, history, frames).filter("reason is null").select(F.col("media_id").alias("_item"))
+        cands = cands.join(accepted, F.col("item") == F.col("_item"), "left_semi")
     own = M.quota_first_n(cands, quota)
-    kind = F.when(F.col("item") % 2 == 0, "video").otherwise("image")
-    own = own.select("script_id", "section_id", F.col("place").alias("pos"), F.col("item").cast("string").alias("path"), kind.alias("kind"), F.lit(None).cast("string").alias("sha"))
+    own = own.select("script_id", "section_id", F.col("place").alias("pos"), F.col("item").cast("string").alias("path"), "kind", F.lit(None).cast("string").alias("sha"))
     lent = M.fill_from_pool(own, sections).select("script_id", "section_id", F.lit(1).alias("pos"), "path", "kind", F.lit(None).cast("string").alias("sha"))
-    return M.drop_repeated_assets(own.unionByName(lent)).select("script_id", "section_id", "pos", "path", "kind")
+    filled = own.unionByName(lent)
+    if strict:
+        empty = sections.join(filled, ["script_id", "section_id"], "left_anti").select("script_id", "section_id").first()
+        if empty is not None:
+            raise ValueError(f"section without media: {tuple(empty)}")
+    return M.drop_repeated_assets(filled).select("script_id", "section_id", "pos", "path", "kind")
+
+
+def audit_all(sections: DataFrame, research: DataFrame, trends: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """All audits of each script: script_id and the sorted violations, each with the audit's name before it.
+
+    research: as the audits take it, with selected_trend. trends: script_id, content_domain.
+    """
+    fields = ("topic", "source_trend", "video_title", "hook_question", "content_angle", "content_domain", "content_type")
+    said = lambda name, c: F.transform(c, lambda v: F.concat(F.lit(f"{name}: "), v))
+    r = research.withColumn("research", said("research", A.research_violations(fields)))
+    r = A.audit_research(r).withColumn("lock", said("lock", F.col("violations"))).drop("anchors", "violations")
+    r = A.audit_topic_drift(r, ("hook_question", "content_angle")).withColumn("drift", said("drift", F.col("violations"))).drop("anchors", "violations")
+    astray = A.domain_drift(research, trends, "script_id").select(F.col("script_id").alias("_d"), F.array(F.lit("domain drift")).alias("domain")).distinct()
+    scripts = A.audit_scripts(sections, research, headers).select(F.col("script_id").alias("_s"), said("script", F.col("violations")).alias("script"))
+    met = r.join(astray, F.col("script_id") == F.col("_d"), "left").join(scripts, F.col("script_id") == F.col("_s"), "left")
+    none = F.array().cast("array<string>")
+    return met.select("script_id", F.array_sort(F.concat(*(F.coalesce(c, none) for c in ("research", "lock", "drift", "domain", "script")))).alias("violations"))
 
 
 def build_captions(sections: DataFrame, script: str = "script_id", max_words: int = 260, ms_per_word: float = 400.0) -> DataFrame:

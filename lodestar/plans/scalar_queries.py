@@ -85,7 +85,7 @@ _MS = "CAST(floor(value * 100000) AS BIGINT)"
     f"""SELECT event_id, CASE WHEN value - 50 > 0 THEN value - 50 ELSE value END AS positive, {R.srt(_MS)} AS stamp,
        {R.srt('floor(value * 100 * 1000 + 0.5)')} AS rounded, {_MS} AS parsed, {R.chapter('CAST(floor(value * 100) AS BIGINT)')} AS chapter,
        greatest(8, user_id / CAST(110 AS DOUBLE) * 60) AS seconds, CAST(greatest(8, floor(user_id / CAST(110 AS DOUBLE) * 60)) AS BIGINT) AS whole,
-       floor((least(0.3, value * 0.1) + greatest(value - least(0.3, value * 0.1) * 2, 0.1) * 2 / 4) * 1000 + 0.5) / 1000 AS middle,
+       {', '.join(f'floor((least(0.3, value * 0.1) + greatest(value - least(0.3, value * 0.1) * 2, 0.1) * {i} / 4) * 1000 + 0.5) / 1000 AS {name}' for i, name in ((1, 'early'), (2, 'middle'), (3, 'late')))},
        event_id / CAST(10000 AS DOUBLE) AS ms, upper(replace(trim(' ' || event_type || '-x'), '-', '_')) AS section_type FROM events"""
 )
 def number_functions(spark, d):
@@ -100,7 +100,7 @@ def number_functions(spark, d):
         N.chapter_ts(F.floor(v * 100)).alias("chapter"),
         N.estimate_seconds(F.col("user_id")).alias("seconds"),
         N.whole_seconds(F.col("user_id")).alias("whole"),
-        N.rounded(N.frame_timestamps(v, 3)[1], 3).alias("middle"),
+        *(N.rounded(N.frame_timestamps(v, 3)[i], 3).alias(name) for i, name in enumerate(("early", "middle", "late"))),
         N.ticks_to_ms(F.col("event_id")).alias("ms"),
         N.section_type(F.concat(F.lit(" "), F.col("event_type"), F.lit("-x"))).alias("section_type"),
     )
@@ -165,21 +165,26 @@ def media_limits(spark, d):
     return X.media(spark, d).select("media_id", G.limit_reason(F.col("duration"), F.col("size")).alias("reason"))
 
 
-_Q, _T, _M = R.terms("left(b.text, 60)", C.QUERY_STOP), R.terms("b.text", C.QUERY_STOP), R.terms("d.text", C.QUERY_STOP)
+_Q, _T, _M = R.terms("b.text", C.QUERY_STOP), R.terms("b.text"), R.terms("d.text", C.QUERY_STOP)
+_PAIRS = f"""WITH q AS MATERIALIZED (SELECT item_id, {_Q} AS q, {_T} AS t FROM benchmark b), m AS MATERIALIZED (SELECT doc_id, {_M} AS m FROM documents d),
+x AS (SELECT doc_id, item_id, q, t, len(list_intersect(q, m)) AS qm, len(list_intersect(t, m)) AS tm FROM m, q),
+g AS (SELECT * FROM x WHERE CASE WHEN len(q) > 0 THEN qm > 0 AND (len(t) = 0 OR tm >= 1 OR qm >= 2) WHEN len(t) > 0 THEN tm >= 1 ELSE false END)"""
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {_Q} AS q, {_T} AS t FROM benchmark b), m AS (SELECT doc_id, {_M} AS m FROM documents d),
-x AS (SELECT doc_id, item_id, q, t, len(list_intersect(q, m)) AS qm, len(list_intersect(t, m)) AS tm FROM m JOIN q ON doc_id % 40 = item_id % 40)
-SELECT doc_id, item_id, CASE WHEN len(q) > 0 THEN qm > 0 AND (len(t) = 0 OR tm >= 1 OR qm >= 2) WHEN len(t) > 0 THEN tm >= 1 ELSE false END AS gate,
-       floor(least(1, qm / CAST(greatest(len(q), 1) AS DOUBLE) * 0.6 + tm / CAST(greatest(len(t), 1) AS DOUBLE) * 0.4) * 1000000 + 0.5) / 1000000 AS score FROM x"""
+    _PAIRS + """ SELECT doc_id, item_id, score, score >= 0.3 AS shown FROM (SELECT doc_id, item_id,
+    floor(least(1, qm / CAST(greatest(len(q), 1) AS DOUBLE) * 0.7 + tm / CAST(greatest(len(t), 1) AS DOUBLE) * 0.3) * 1000000 + 0.5) / 1000000 AS score FROM g)"""
 )
 def relevance(spark, d):
-    q = X.load(spark, d, "benchmark").select("item_id", T.query_terms(F.left("text", F.lit(60))).alias("q"), T.query_terms(F.col("text")).alias("t"))
+    """All pairs of a document and an item that pass the gate, with the stock score and its cutoff; pairs meet on shared terms."""
+    b = X.load(spark, d, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("q"), T.topic_terms(F.col("text")).alias("t"))
     m = X.load(spark, d, "documents").select("doc_id", T.query_terms(F.col("text")).alias("m"))
-    x = m.join(q, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    q, t, m = F.col("q"), F.col("t"), F.col("m")
-    return x.select("doc_id", "item_id", G.relevance_gate(q, t, m).alias("gate"), N.rounded(G.relevance_score(q, t, m), 6).alias("score"))
+    terms = b.select("item_id", F.explode(F.array_union("q", "t")).alias("term"))
+    met = m.select("doc_id", F.explode("m").alias("term")).join(terms, "term").select("doc_id", "item_id").distinct()
+    q, t, m_ = F.col("q"), F.col("t"), F.col("m")
+    x = met.join(b, "item_id").join(m, "doc_id").filter(G.relevance_gate(q, t, m_))
+    x = x.select("doc_id", "item_id", N.rounded(G.relevance_score(q, t, m_, 0.7, 0.3), 6).alias("score"))
+    return x.withColumn("shown", F.col("score") >= 0.3)
 
 
 @query(X.with_("verdicts", f"SELECT candidate_id, ok, CASE WHEN upper(trim(content_type)) IN ({', '.join(repr(t) for t in C.CONTENT_TYPES)}) THEN upper(trim(content_type)) ELSE 'EXPLAINER' END AS content_type FROM verdict_ok"))
@@ -189,37 +194,48 @@ def verdict_gate(spark, d):
     return v.select("candidate_id", ok.alias("ok"), G.content_type(F.col("content_type")).alias("content_type"))
 
 
-_MT, _MB = R.terms("b.text"), R.terms("d.text")
+def _matches(least: int) -> str:
+    subject = R.terms("text", C.SUBJECT_STOP)
+    return f"""WITH b AS MATERIALIZED (SELECT item_id, {R.terms('text')} AS a, {subject} AS s, {R.anchors('text')} AS anchors FROM benchmark),
+dd AS MATERIALIZED (SELECT doc_id, {R.terms('text')} AS t, {subject} AS u FROM documents),
+x AS (SELECT doc_id, item_id, len(a) > 0 AND len(t) > 0 AND {R.overlap('a', 't')} >= least({least}, len(a)) AS terms_match,
+      len(s) > 0 AND len(u) > 0 AND ({R.overlap('s', 'u')} >= least(2, len(s)) OR {R.overlap('anchors', 'u')} > 0) AS subject_match FROM dd, b)
+SELECT * FROM x WHERE terms_match OR subject_match"""
 
 
-@query(
-    f"""WITH b AS (SELECT item_id, b.text, {_MT} AS a, {R.anchors('b.text')} AS anchors FROM benchmark b),
-dd AS (SELECT doc_id, text FROM documents)
-SELECT doc_id, item_id, len(a) > 0 AND len({R.terms('d.text')}) > 0 AND {R.overlap('a', R.terms('d.text'))} >= least(2, len(a)) AS terms_match,
-       {R.match('b.text', 'd.text', 'anchors')} AS subject_match FROM dd d JOIN b ON doc_id % 40 = item_id % 40"""
-)
+@query(_matches(2))
 def term_matches(spark, d):
-    b = X.load(spark, d, "benchmark").select("item_id", F.col("text").alias("b"), T.subject_anchors(F.col("text")).alias("anchors"))
-    docs = X.load(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
-    x = docs.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return x.select(
-        "doc_id",
-        "item_id",
-        G.terms_match(T.topic_terms(F.col("b")), F.col("t"), 2).alias("terms_match"),
-        G.subject_match(F.col("b"), F.col("t"), F.col("anchors")).alias("subject_match"),
-    )
+    """All pairs of a document and an item of which the terms or the subject match, by two shared terms."""
+    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-@query()
+@query(
+    f"""WITH q AS MATERIALIZED (SELECT item_id, {_Q} AS q FROM benchmark b), m AS MATERIALIZED (SELECT doc_id, {_M} AS m FROM documents d)
+SELECT doc_id, item_id, floor(least(1, k / CAST(n AS DOUBLE) * 0.6 + k / CAST(n AS DOUBLE) * 0.4) * 1000000 + 0.5) / 1000000 AS score
+FROM (SELECT doc_id, item_id, len(q) AS n, len(list_intersect(q, m)) AS k FROM m, q) WHERE k > 0"""
+)
 def relevant_documents(spark, d):
-    """All relevant pairs of documents and benchmark items; `relevance` checks its predicates on the pairs of one residue."""
+    """All relevant pairs of documents and benchmark items by the web score."""
     return matching.relevant_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-@query()
+@query(_matches(1))
 def matched_documents(spark, d):
-    """All matching pairs of documents and benchmark items; `term_matches` checks its predicates on the pairs of one residue."""
-    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
+    """All matching pairs of documents and benchmark items, by one shared term."""
+    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id", least=1)
+
+
+_CELL = "embedding[({r} * 9 + {c}) % 64 + 1]"
+_GRID = " + ".join(
+    f"CASE WHEN {_CELL.format(r=r, c=c + 1)} > {_CELL.format(r=r, c=c)} THEN CAST({1 << (63 - 8 * r - c)} AS HUGEINT) ELSE 0 END" for r in range(8) for c in range(8)
+)
+
+
+@query(f"SELECT vec_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS h FROM (SELECT vec_id, {_GRID} AS u FROM embeddings)")
+def grid_hashes(spark, d):
+    """The difference hash of an 8 x 9 grid, read from each embedding and again from its start."""
+    grid = F.concat("embedding", F.slice("embedding", 1, 8))
+    return X.load(spark, d, "embeddings").select("vec_id", N.grid_hash(grid).alias("h"))
 
 
 def _chunk_sql() -> str:

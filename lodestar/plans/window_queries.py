@@ -51,12 +51,18 @@ def model_statuses(spark, d):
     return P.model_status(X.attempts(spark, d))
 
 
-@query(X.with_("sections scripts", """, b AS (SELECT script_id, section_id, concat_ws(chr(10), '  Section ' || section_id || ': ' || coalesce(narration, ''),
+@query(X.with_("sections scripts research headers script_media", """, b AS (SELECT script_id, section_id, concat_ws(chr(10), '  Section ' || section_id || ': ' || coalesce(narration, ''),
   CASE WHEN trim(video_query) <> '' THEN '    video_query: ' || video_query END, CASE WHEN trim(video_query_2) <> '' THEN '    video_query_2: ' || video_query_2 END,
   CASE WHEN trim(video_query_3) <> '' THEN '    video_query_3: ' || video_query_3 END, CASE WHEN trim(video_query_4) <> '' THEN '    video_query_4: ' || video_query_4 END) AS b FROM scripts)
-SELECT script_id, 'SELECTED SUBJECT' || chr(10) || '  s' || script_id || chr(10) || string_agg(b, chr(10) ORDER BY section_id) AS trace FROM b GROUP BY script_id""").replace("\n,", ","))
+SELECT script_id, concat_ws(chr(10), 'SELECTED SUBJECT', '  ' || coalesce(nullif(any_value(r.source_trend), ''), any_value(r.topic)), 'DOMAIN', '  ' || any_value(r.content_domain),
+  'CONTENT TYPE', '  ' || any_value(r.content_type), 'RESEARCH TOPIC', '  ' || any_value(r.topic), 'SCRIPT TOPIC', '  ' || coalesce(any_value(own_topic), 'None'),
+  string_agg(b || chr(10) || '    downloaded: [' || coalesce(files, '') || ']', chr(10) ORDER BY section_id)) AS trace
+FROM b JOIN research r USING (script_id) LEFT JOIN headers USING (script_id)
+LEFT JOIN (SELECT script_id, section_id, string_agg('''' || path || '''', ', ' ORDER BY pos, path) AS files FROM script_media GROUP BY ALL) USING (script_id, section_id) GROUP BY script_id""").replace("\n,", ","))
 def topic_traces(spark, d):
-    return A.topic_trace(X.scripts(spark, d).withColumn("subject", F.concat(F.lit("s"), F.col("script_id").cast("string"))))
+    r = X.research(spark, d).withColumn("subject", F.coalesce(F.nullif(F.col("source_trend"), F.lit("")), F.col("topic")))
+    own = X.headers(spark, d).select("script_id", F.col("topic").alias("script_topic"))
+    return A.topic_trace(X.scripts(spark, d), r.join(own, "script_id", "left"), X.script_media(spark, d))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first_id, event_type) AS types FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL) GROUP BY user_id")
@@ -72,6 +78,15 @@ def best_files(spark, d):
     return M.select_best_file(X.renditions(spark, d), "item").select("item", "link", "width", "height")
 
 
+@query(X.with_("renditions", """SELECT item, link, width, height FROM (SELECT *, CASE WHEN height >= width THEN 2073600 ELSE 921600 END AS target FROM renditions)
+WHERE link <> '' AND width > 0 AND height > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY width * height >= target * 0.55 DESC, lower(quality) = 'hd' DESC,
+  greatest(0, width * height / CAST(target AS DOUBLE) - 1.25), abs(width * height - target), link) = 1"""))
+def oriented_files(spark, d):
+    """Best files where landscape ones have a smaller target."""
+    return M.select_best_file(X.renditions(spark, d), "item", landscape=1280 * 720).select("item", "link", "width", "height")
+
+
 @query(X.with_("sections script_media", """, f AS (SELECT *, section_id = min(section_id) OVER (PARTITION BY script_id) AS here FROM script_media),
 p AS (SELECT *, CASE WHEN web AND kind = 'video' THEN 1 WHEN web THEN 2 WHEN here AND kind = 'video' THEN 3 WHEN here THEN 4 ELSE 5 END AS priority FROM f)
 SELECT script_id, path, priority FROM p QUALIFY row_number() OVER (PARTITION BY script_id ORDER BY priority, section_id, pos, path) = 1""").replace("\n,", ","))
@@ -90,8 +105,8 @@ def result_windows(spark, d):
     return P.candidate_windows(X.load(spark, d, "events"), ["user_id"], "event_id", 5).select("event_id", "window")
 
 
-_FIRST = """, first_ AS (SELECT * FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, query, pos) = 1)
-SELECT script_id, section_id, tier, pos, item, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, query, pos, item) AS place FROM first_ QUALIFY place <= 4"""
+_FIRST = """, first_ AS (SELECT * FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, turn, pos) = 1)
+SELECT script_id, section_id, tier, pos, item, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, turn, pos, item) AS place FROM first_ QUALIFY place <= 4"""
 
 
 @query(X.with_("sections quota_cands", _FIRST).replace("\n,", ","))
@@ -100,11 +115,20 @@ def quotas(spark, d):
     return q.select("script_id", "section_id", "tier", "pos", "item", F.col("place").cast("long").alias("place"))
 
 
-@query()
+_EXACT = """, o AS (SELECT script_id, section_id, item, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, turn, pos, item) AS turn_
+  FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, section_id, item ORDER BY tier, turn, pos) = 1),
+l AS (SELECT script_id, section_id, list(item ORDER BY turn_) AS items, row_number() OVER (PARTITION BY script_id ORDER BY section_id) AS i FROM o GROUP BY script_id, section_id),
+fold AS (SELECT script_id, section_id, i, items[1:4] AS taken, items[1:4] AS used FROM l WHERE i = 1
+  UNION ALL SELECT l.script_id, l.section_id, l.i, list_filter(l.items, lambda x: NOT list_contains(f.used, x))[1:4],
+    list_concat(f.used, list_filter(l.items, lambda x: NOT list_contains(f.used, x))[1:4]) FROM fold f JOIN l ON l.script_id = f.script_id AND l.i = f.i + 1)
+SELECT script_id, section_id, unnest(taken) AS item, CAST(generate_subscripts(taken, 1) AS INTEGER) AS place FROM fold"""
+
+
+@query(X.with_("sections quota_cands", _EXACT).replace("\n,", ",").replace("WITH ", "WITH RECURSIVE ", 1))
 def exact_quotas(spark, d):
-    c = X.quota_cands(spark, d)
+    c = X.quota_cands(spark, d).drop("kind")
     typed = c.select(*(F.col(n).cast("long" if n in ("script_id", "section_id", "item") else "int").alias(n) for n in c.columns))
-    return M.allocate_exact(typed, 4)
+    return M.allocate_exact(typed, 4).select("script_id", "section_id", "item", "place")
 
 
 @query(X.with_("sections script_media", """, c AS (SELECT * FROM script_media WHERE kind = 'video' QUALIFY row_number() OVER (PARTITION BY script_id, coalesce(sha, path) ORDER BY section_id, pos, path) = 1),
@@ -224,9 +248,12 @@ def narrations(spark, d):
 _RULE = "─" * 40
 _DESC = _CHAPTERS + f""", l AS (SELECT script_id, list({R.chapter('start')} || ' S' || section_id ORDER BY section_id) AS lines FROM c GROUP BY script_id)
 SELECT script_id, concat_ws(chr(10), CASE WHEN coalesce(hook_question, '') <> '' THEN hook_question || chr(10) END, CASE WHEN coalesce(source_trend, '') <> '' THEN source_trend || chr(10) END,
-  CASE WHEN len(lines) >= 3 THEN '{_RULE}' || chr(10) || '⏱ CHAPTERS' || chr(10) || '{_RULE}' || chr(10) || array_to_string(lines, chr(10)) || chr(10) END,
+  CASE WHEN video_type <> 'shorts' AND len(lines) >= 3 THEN '{_RULE}' || chr(10) || '⏱ CHAPTERS' || chr(10) || '{_RULE}' || chr(10) || array_to_string(lines, chr(10)) || chr(10) END,
   '{_RULE}' || chr(10) || '🧠 WHAT YOU''LL LEARN' || chr(10) || '{_RULE}' || chr(10) || array_to_string(list_transform(key_points, lambda p: '• ' || p), chr(10)) || chr(10),
-  CASE WHEN len(tags) > 0 THEN array_to_string(list_transform(tags[1:8], lambda t: '#' || replace(t, ' ', '')), ' ') END) AS description
+  CASE WHEN video_type = 'shorts' THEN '👆 Follow for more mind-bending facts!' || chr(10) || '💬 Comment: did this surprise you?' || chr(10)
+       ELSE '{_RULE}' || chr(10) || '🔔 Subscribe for a new mind-bending video every week!' || chr(10) || '👍 Like if this made you think differently.' || chr(10) || '💬 Drop a comment — we read every one.' || chr(10) END,
+  CASE WHEN len(tags) > 0 THEN array_to_string(list_transform(tags[1:8], lambda t: '#' || replace(t, ' ', '')), ' ') END,
+  CASE WHEN video_type = 'shorts' THEN '#Shorts #YouTubeShorts' END) AS description
 FROM research JOIN l USING (script_id)"""
 
 
@@ -242,3 +269,9 @@ FROM sections s LEFT JOIN (SELECT * FROM research WHERE script_id % 2 = 0) r USI
 def stamped_scripts(spark, d):
     s = X.sections(spark, d).select("script_id", "section_id", F.col("section_type").alias("topic"))
     return S.stamp_identity(s, X.research(spark, d).filter("script_id % 2 = 0"), "script_id", ("topic",))
+
+
+@query(X.with_("sections research", """SELECT script_id, coalesce(hook_question, '') || chr(10) || chr(10) || repeat('─', 29) || chr(10) || 'Subscribe for more current-trend explainers!' || chr(10)
+|| repeat('─', 29) || chr(10) || coalesce(array_to_string(list_transform(tags, lambda t: '#' || t), ' '), '') AS description FROM research"""))
+def upload_descriptions(spark, d):
+    return X.research(spark, d).select("script_id", S.upload_description(F.col("hook_question"), F.col("tags")).alias("description"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,19 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def read_sources(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows of all sources, given by label as (path, category); one that cannot be found is skipped, all of them are an error."""
+    read = []
+    for label, (path, category) in sources.items():
+        try:
+            read.append(read_api_pages(spark, path, label, category))
+        except AnalysisException:  # its path is not there: the others count without it
+            continue
+    if not read:
+        raise ValueError("no source can be read")
+    return union_sources(*read)
+
+
 def search_rows(pages: DataFrame, results: Column) -> DataFrame:
     """(title, snippet, source, link, pos) of an array of JSON texts, each an address or an object."""
     one = pages.select("*", F.posexplode(results).alias("pos", "raw"))
@@ -97,16 +111,24 @@ def read_media_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write df beside path, then put it in path's place: a reader sees the old table or the new one."""
+    """Write df beside path, then put it in path's place.
+
+    The old table is set aside before and deleted after, so a failure in between loses
+    neither, and what was set aside is found again by the next call.
+    """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
     fs = target.getFileSystem(conf)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before")
     if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(new, target)
+        fs.delete(aside, True)
+        fs.rename(target, aside)
+    if not fs.rename(new, target):
+        raise OSError(f"{staged} cannot be put in the place of {path}")
+    fs.delete(aside, True)
 
 
 def inventory_media(spark: SparkSession, path: str, least_bytes: int, most_bytes: int = C.MAX_BYTES) -> DataFrame:

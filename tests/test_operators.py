@@ -110,3 +110,28 @@ def test_captions_end_to_end(spark, small):
     out = E.build_captions(X.sections(spark, small), max_words=80).collect()
     assert out and all(r["coverage"] == 100.0 and not r["short"] for r in out)
     assert all(r["srt"].startswith("1\n00:00:00,000 --> ") and r["srt"].count(" --> ") == r["n_cues"] for r in out)
+
+
+def test_verdicts_on_unknown_ids_are_an_error(spark):
+    ranked = spark.createDataFrame([("1", "a title", 5, 2.0, "A")], "video_id string, title string, views long, trend_score double, source string")
+    cands = ranked.withColumn("description", F.lit("")).withColumn("published_at", F.expr("TIMESTAMP '2024-01-31 00:00:00'"))
+    history = spark.createDataFrame([(1, "something else")], "item_id long, topic string")
+    rows = [("1", "ANIME", "s", "e", "true", "r", "RECAP"), (None, "ANIME", "s", "e", "true", "r", "RECAP")]
+    schema = "candidate_id string, content_domain string, niche_subject string, niche_evidence string, us_movie_relevant string, us_relevance_reason string, content_type string"
+    assert E.best_trend(cands, history, spark.createDataFrame(rows, schema), X.AS_OF, ("zz",)).count() == 1
+    unknown = spark.createDataFrame([*rows, ("2", *rows[0][1:])], schema)
+    with pytest.raises(ValueError, match="unknown candidate: 2"):
+        E.best_trend(cands, history, unknown, X.AS_OF, ("zz",))
+    assert E.best_trend(cands, history, unknown, X.AS_OF, ("zz",), strict=False).count() == 1
+
+
+def test_sections_without_media_are_an_error(spark):
+    sections = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "script_id long, section_id long")
+    cands = spark.createDataFrame([(1, 0, 3, 1, 0, 7, "image"), (2, 0, 1, 2, 0, 8, "video")], "script_id long, section_id long, tier int, query int, pos int, item long, kind string")
+    with pytest.raises(ValueError, match=r"\(2, 0\)"):  # a web clip of the second query is not eligible
+        E.allocate_media(cands, sections, 2)
+    found = E.allocate_media(cands, sections, 2, strict=False)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 1, "7", "image"), (1, 1, 1, "7", "image")]
+    media = spark.createDataFrame([(7, "https://a.org/x", 3.0, 5, None), (8, "https://a.org/y", 3.0, 5, None)], "media_id long, url string, duration double, size long, sha string")
+    used = spark.createDataFrame([("image", "url", "https://a.org/x")], "media_type string, key_kind string, key_value string")
+    assert E.allocate_media(cands, sections, 2, media, used, strict=False).count() == 0

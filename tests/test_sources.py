@@ -112,3 +112,12 @@ def test_model_plug_point_fails_closed(spark):
         raise ValueError("no answer")
 
     assert score_batches(spark.createDataFrame([("a",)], "video_id string"), model).count() == 0
+
+
+def test_a_source_that_cannot_be_read_is_skipped(spark, tmp_path):
+    page = '{"items": [{"id": "1", "snippet": {"title": "t", "publishedAt": "2024-01-31T00:00:00Z"}}]}'
+    (tmp_path / "a.json").write_text(page)
+    found = R.read_sources(spark, {"here": (str(tmp_path / "a.json"), "1"), "gone": (str(tmp_path / "none.json"), "2")})
+    assert [(r["video_id"], r["source"]) for r in found.collect()] == [("1", "here")]
+    with pytest.raises(ValueError):
+        R.read_sources(spark, {"gone": (str(tmp_path / "none.json"), "2")})
