@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Codes of quantised values; code c stands for c / SCALE.
-CODES, SCALE = 256, 42.0
+#: Codes of quantised values; code c stands for c / scale.
+CODES = 256
 
 
 @dataclass
@@ -113,11 +113,11 @@ class Trie:
     codes: np.ndarray
 
     @classmethod
-    def of(cls, first: np.ndarray, second: np.ndarray, values: np.ndarray, span: int) -> Trie:
-        """From distinct bigrams in rising order, of words below `span`, and values of 0 or more."""
+    def of(cls, first: np.ndarray, second: np.ndarray, values: np.ndarray, span: int, scale: float) -> Trie:
+        """From distinct bigrams in rising order, of words below `span`, and values from 0 to (CODES - 1) / scale."""
         contexts, starts = np.unique(first, return_index=True)
         number = np.repeat(np.arange(len(contexts)), np.diff(np.append(starts, len(first))))
-        codes = np.clip(np.rint(values * SCALE), 1, CODES - 1).astype(np.uint8)
+        codes = np.clip(np.rint(values * scale), 0, CODES - 1).astype(np.uint8)
         return cls(
             span,
             EliasFano.of(contexts, span),
@@ -126,9 +126,9 @@ class Trie:
             codes,
         )
 
-    def values(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The values of bigrams; 0 for those that are not there."""
-        out = np.zeros(len(first))
+    def found(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The codes of bigrams; 0 for those that are not there."""
+        out = np.zeros(len(first), dtype=np.uint8)
         n = self.contexts.n
         if not n or not len(first):
             return out
@@ -142,8 +142,8 @@ class Trie:
         place = self.successors.successor(wanted, begin, end)
         there = place < end
         there[there] = self.successors.get(place[there]) == wanted[there]
-        found = np.zeros(len(at))
-        found[there] = self.codes[place[there]] / SCALE
+        found = np.zeros(len(at), dtype=np.uint8)
+        found[there] = self.codes[place[there]]
         out[known] = found
         return out
 

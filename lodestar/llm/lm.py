@@ -6,7 +6,7 @@ import mmap
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log10
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -16,16 +16,19 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpointed, remainder
-from .eliasfano import Trie
+from .eliasfano import CODES, Trie
 
-#: Words with numbers of their own, by frequency; the others share one number in contexts.
-VOCABULARY = 65_535
+#: Words whose counts every task has. Results are the same for any number: rarer words' counts wait in the shards.
+FREQUENT = 65_535
 #: Pseudo-count of the unigram model in each context.
 PRIOR = 500.0
-#: Tokens of a batch of documents, tokens a shard is laid out for, and words a counter holds.
-BATCH_TOKENS, SHARD_TOKENS, COUNTED = 500_000, 1_200_000, 200_000
+#: Tokens of a batch of documents at least and at most, batches a corpus has before they grow, tokens a shard is laid
+#: out for, and words a counter holds.
+BATCH_TOKENS, MOST_TOKENS, BATCHES, SHARD_TOKENS, COUNTED = 500_000, 4_000_000, 2_000, 1_200_000, 200_000
 #: Hash of the end of a text: of a byte that no word has.
 END = xxhash.xxh3_64_intdigest(b"\n") >> 1
 
@@ -83,10 +86,10 @@ def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 @dataclass
 class Unigrams:
-    """What every task needs: the frequent words and the totals. Its size is bounded by VOCABULARY.
+    """What every task needs: the frequent words and the totals.
 
-    The number of a frequent word is its place in hashes; rare words have the number
-    `rare`, and `start` stands before the first token of a text.
+    A word's code is its place in `hashes`, or, if it is not among them, its hash with the
+    top bit set; `start` is the code before the first token of a text.
     """
 
     hashes: np.ndarray
@@ -96,17 +99,27 @@ class Unigrams:
     ends: int
 
     def __post_init__(self) -> None:
-        self.rare, self.start, self.span = len(self.hashes), len(self.hashes) + 1, len(self.hashes) + 2
+        self.start = len(self.hashes)
         self.whole = self.tokens + 0.5 * (self.distinct + 1)
-        rare_tokens = self.tokens - int(self.counts.sum())
-        self.rare_mass = (rare_tokens + 0.5 * (self.distinct - len(self.hashes) + 1)) / self.whole
-        self.log_p = np.log10(np.append((self.counts + 0.5) / self.whole, self.rare_mass))
-        as_context = np.concatenate((self.counts, [rare_tokens, self.ends]))
-        self.backoff = np.log10(PRIOR / (as_context + PRIOR))
+        # No pair adds more than one with all occurrences of its second word.
+        self.scale = (CODES - 1) / float(np.log10(1 + self.whole / PRIOR))
 
-    def gain(self, counts: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """log10 of what a bigram seen `counts` times adds over backing off to the unigram of its second word."""
-        return np.log10(1 + counts / (PRIOR * 10 ** self.log_p[second]))
+    def log_p(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of the smoothed share of words with these counts."""
+        return np.log10((counts + 0.5) / self.whole)
+
+    def backoff(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of what contexts with these counts leave to the unigrams."""
+        return np.log10(PRIOR / (counts + PRIOR))
+
+    def gain(self, pair_counts: np.ndarray, second_counts: np.ndarray) -> np.ndarray:
+        """log10 of what a pair's count adds over backing off to the unigram of its second word."""
+        return np.log10(1 + pair_counts / (PRIOR * (second_counts + 0.5) / self.whole))
+
+    def known(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of the frequent words and the start among codes; 0 for the others."""
+        table = np.append(self.counts, self.ends)
+        return np.where(codes < _RARE, table[np.minimum(codes, np.uint64(self.start)).astype(np.int64)], 0)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -124,66 +137,73 @@ def _unpack(buffer: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+def _shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs with a rare second word go where its count is; the others are dealt out by both words, so no word gathers."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xD1342543DE82EF95)
+    dealt = (mixed >> np.uint64(33)) % np.uint64(shards)
+    return np.where(second >= _RARE, (second & ~_RARE) % np.uint64(shards), dealt).astype(np.int64)
 
 
-def _counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) pairs in rising order with how often they occur."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    at = np.nonzero(new)[0]
-    return keys[at], docs[at], np.diff(np.append(at, len(keys)))
+@dataclass
+class Batch:
+    """Documents as word numbers of their own: codes[number] is a word; tokens are numbers, document after document."""
 
+    codes: np.ndarray
+    tokens: np.ndarray
+    lengths: np.ndarray
 
-_ROUTED = "shard int, batch long, train binary, grams binary, rare binary, docs binary"
-_PARTS = "batch long, sums binary, docs binary"
+    def pairs(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of first and second words (one beyond the codes is the start) of the distinct pairs, and each token's pair."""
+        n = len(self.codes)
+        first = np.empty(len(self.tokens), dtype=np.int64)
+        first[1:] = self.tokens[:-1]
+        first[np.cumsum(self.lengths) - self.lengths] = n
+        keys, of = np.unique(first * (n + 1) + self.tokens, return_inverse=True)
+        return keys // (n + 1), keys % (n + 1), of
 
+    def places(self, first: np.ndarray, second: np.ndarray, start: int, shards: int) -> np.ndarray:
+        with_start = np.append(self.codes, np.uint64(start))
+        return _shard_of(with_start[first], with_start[second], shards)
 
-def _routed_rows(u: Unigrams, shards: int, number: int, docs: list, codes: list[np.ndarray]) -> pa.RecordBatch:
-    """The entries of one batch of documents, a row for each shard that has any.
 
-    docs: (doc_id, held_out). codes: their tokens, as numbers of frequent words or as
-    hashes of rare words with the top bit set; the last is the end.
-    """
+_ROUTED = "shard int, batch long, grams binary, rare binary, facts binary, ids binary"
+_PARTS = "batch long, shard int, gains binary, counts binary, facts binary, ids binary"
+
+
+def _routed_rows(u: Unigrams, shards: int, number: int, ids: pa.Array, held: list[bool], codes: list[np.ndarray]) -> pa.RecordBatch:
+    """The distinct pairs and rare words of one batch, a row for each shard that has any; one of them takes the documents."""
     lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
-    flat = np.concatenate(codes)
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    is_rare = flat >= _RARE
-    second = np.where(is_rare, u.rare, flat & ~_RARE).astype(np.int64)
-    second[is_rare] = u.rare
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[np.cumsum(lengths) - lengths] = u.start
-    total = lambda x: np.bincount(doc, weights=x, minlength=len(docs))
-    base = total(np.where(is_rare, 0.0, u.log_p[second]))
-    score = total(u.backoff[first] + u.log_p[second])
-    known = total(~is_rare)
-    keys, in_doc, times = _counted(first * u.span + second, doc)
-    rare_keys, rare_doc, rare_times = _counted((flat[is_rare] & ~_RARE).astype(np.int64), doc[is_rare])
-    place, rare_place = _shard_of(keys, shards), rare_keys % shards
-    order, rare_order = np.argsort(place, kind="stable"), np.argsort(rare_place, kind="stable")
-    ends = np.searchsorted(place[order], np.arange(shards + 1))
-    rare_ends = np.searchsorted(rare_place[rare_order], np.arange(shards + 1))
-    train = np.packbits(np.array([not held for _, held in docs], dtype=bool)).tobytes()
-    ids = np.array([0 if d is None else d for d, _ in docs], dtype="<i8")
-    facts = _pack(ids, np.array([d is None for d, _ in docs], "u1"), np.array([h for _, h in docs], "u1"), lengths.astype("<i8"), known, base, score)
+    words, tokens, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    # Numbers by falling frequency are small, and pack well.
+    order = np.argsort(-times, kind="stable")
+    number_of = np.empty_like(order)
+    number_of[order] = np.arange(len(order))
+    batch = Batch(words[order], number_of[tokens], lengths)
+    first, second, of = batch.pairs(u.start)
+    learned = np.repeat(~np.array(held, dtype=bool), lengths)
+    counts = np.bincount(of, weights=learned, minlength=len(first)).astype("<u4")
+    place = batch.places(first, second, u.start, shards)
+    with_start = np.append(batch.codes, np.uint64(u.start))
+    by_place = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[by_place], np.arange(shards + 1))
+    rare = batch.codes[batch.codes >= _RARE] & ~_RARE
+    rare_place = (rare % np.uint64(shards)).astype(np.int64)
+    by_rare = np.argsort(rare_place, kind="stable")
+    rare_ends = np.searchsorted(rare_place[by_rare], np.arange(shards + 1))
+    facts = _pack(batch.codes.astype("<u8"), batch.tokens.astype("<u4"), lengths.astype("<i8"), np.array(held, "u1"))
+    own_ids = pa.record_batch([ids], names=["doc_id"]).serialize().to_pybytes()
     rows = []
     for s in range(shards):
-        i, j = order[ends[s] : ends[s + 1]], rare_order[rare_ends[s] : rare_ends[s + 1]]
+        i, j = by_place[ends[s] : ends[s + 1]], by_rare[rare_ends[s] : rare_ends[s + 1]]
         own = s == number % shards
         if len(i) or len(j) or own:
-            grams = _pack(np.diff(keys[i], prepend=0).astype("<i8"), in_doc[i].astype("<u4"), times[i].astype("<u4"))
-            rare = _pack(rare_keys[j].astype("<i8"), rare_doc[j].astype("<u4"), rare_times[j].astype("<u4"))
-            rows.append((s, number, train, grams, rare, facts if own else None))
+            grams = _pack(with_start[first[i]].astype("<u8"), with_start[second[i]].astype("<u8"), counts[i])
+            rows.append((s, number, grams, _pack(rare[j].astype("<u8")), facts if own else None, own_ids if own else None))
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ROUTED.split(", ")])
 
 
-def route(docs: DataFrame, unigrams, shards: int) -> DataFrame:
+def route(docs: DataFrame, unigrams, shards: int, batch_tokens: int) -> DataFrame:
     """The n-grams of all documents, packed by (shard, batch of documents).
 
     docs: doc_id, held_out, text. unigrams: a broadcast Unigrams.
@@ -194,11 +214,12 @@ def route(docs: DataFrame, unigrams, shards: int) -> DataFrame:
         numbers = dict(zip(u.hashes.tolist(), range(len(u.hashes))))
         code_of: dict[bytes, int] = {}
         number = TaskContext.get().partitionId() << 32
-        docs, codes, tokens = [], [], 0
+        ids, held_out, codes, tokens = [], [], [], 0
         end = numbers.get(END, END | 1 << 63)
         for batch in batches:
-            ids, held, texts = batch.columns
-            for doc_id, is_held, v in zip(ids.to_pylist(), held.to_pylist(), texts.cast(pa.large_binary())):
+            own_ids, held, texts = batch.columns
+            first = 0
+            for at, (is_held, v) in enumerate(zip(held.to_pylist(), texts.cast(pa.large_binary()))):
                 words = (v.as_py() or b"").lower().split()
                 for w in set(words).difference(code_of):
                     h = word_hash(w)
@@ -206,119 +227,139 @@ def route(docs: DataFrame, unigrams, shards: int) -> DataFrame:
                 own = np.empty(len(words) + 1, dtype=np.uint64)
                 own[:-1] = np.fromiter(map(code_of.__getitem__, words), dtype=np.uint64, count=len(words))
                 own[-1] = end
-                docs.append((doc_id, is_held))
+                held_out.append(is_held)
                 codes.append(own)
                 tokens += len(own)
                 if len(code_of) > COUNTED:
                     code_of.clear()
-                if tokens >= BATCH_TOKENS or len(docs) >= 1 << 16:
-                    yield _routed_rows(u, shards, number, docs, codes)
-                    docs, codes, tokens, number = [], [], 0, number + 1
-        if docs:
-            yield _routed_rows(u, shards, number, docs, codes)
+                if tokens >= batch_tokens or len(codes) >= 1 << 16:
+                    yield _routed_rows(u, shards, number, pa.concat_arrays([*ids, own_ids.slice(first, at + 1 - first)]), held_out, codes)
+                    first, ids, held_out, codes, tokens, number = at + 1, [], [], [], 0, number + 1
+            if first < len(own_ids):
+                ids.append(own_ids.slice(first))
+        if codes:
+            yield _routed_rows(u, shards, number, pa.concat_arrays(ids), held_out, codes)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(entries, _ROUTED)
 
 
 def score_shard(u: Unigrams, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums over a shard's n-grams for each document of each batch.
+    """A shard's answers to each batch: codes of its pairs' gains and counts of its rare words.
 
     left: routed rows of the shard; right: (h, c) of the training words that fall to it.
-    The shard's trie is built from the training documents' bigrams, laid into a memory map
-    and queried for the bigrams of every document.
+    The shard's trie is built from the pairs that occur in training documents, over word
+    numbers of its own, laid into a memory map and queried for the pairs of every batch.
     """
-    rows = []
-    for row in left.to_pylist():
-        train = np.unpackbits(np.frombuffer(row["train"], dtype=np.uint8)).astype(bool)
-        steps, doc, times = _unpack(row["grams"], "<i8", "<u4", "<u4")
-        rows.append((row, train, steps.cumsum(), doc, times, _unpack(row["rare"], "<i8", "<u4", "<u4")))
-    learned = [(keys[train[doc]], times[train[doc]]) for _, train, keys, doc, times, _ in rows]
-    keys, place = np.unique(np.concatenate([k for k, _ in learned] or [np.zeros(0, np.int64)]), return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate([t for _, t in learned] or [np.zeros(0)]), minlength=len(keys))
-    first, second = keys // u.span, keys % u.span
-    packed = Trie.of(first, second, u.gain(counts, second), u.span).pack()
+    grams = [_unpack(x.as_py(), "<u8", "<u8", "<u4") for x in left["grams"]]
+    none = np.zeros(0, np.uint64)
+    seen = [(a[c > 0], b[c > 0], c[c > 0]) for a, b, c in grams]
+    codes = np.unique(np.concatenate([x for a, b, _ in seen for x in (a, b)] or [none]))
+    span = len(codes) + 1
+    keys = [np.searchsorted(codes, a) * span + np.searchsorted(codes, b) for a, b, _ in seen]
+    distinct, place = np.unique(np.concatenate(keys or [none.astype(np.int64)]), return_inverse=True)
+    pair_counts = np.bincount(place, weights=np.concatenate([c for *_, c in seen] or [none]), minlength=len(distinct))
+    order = np.argsort(right["h"].to_numpy())
+    hashes, counts = right["h"].to_numpy()[order], right["c"].to_numpy()[order]
+
+    def rare_counts(of: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return np.zeros(len(of), dtype=np.int64)
+        at = np.minimum(np.searchsorted(hashes, of), len(hashes) - 1)
+        return np.where(hashes[at] == of, counts[at], 0)
+
+    second = codes[distinct % span] if len(distinct) else none
+    second_counts = np.where(second >= _RARE, rare_counts((second & ~_RARE).astype(np.int64)), u.known(second))
+    packed = Trie.of(distinct // span, distinct % span, u.gain(pair_counts, second_counts), span, u.scale).pack()
     levels = mmap.mmap(-1, len(packed))
     levels.write(packed)
     trie = Trie.view(levels)
-    hashes, known_counts = right["h"].to_numpy(), right["c"].to_numpy()
-    order = np.argsort(hashes)
-    hashes, known_counts = hashes[order], known_counts[order]
-    log_rare = log10(u.rare_mass)
-    out = {"batch": [], "sums": [], "docs": []}
-    for row, train, keys, doc, times, (rare, rare_doc, rare_times) in rows:
-        distinct, place = np.unique(keys, return_inverse=True)
-        gains = trie.values(distinct // u.span, distinct % u.span)[place]
-        n = len(train)
-        score = np.bincount(doc, weights=times * gains, minlength=n)
-        at = np.minimum(np.searchsorted(hashes, rare), max(0, len(hashes) - 1))
-        counts = np.where(hashes[at] == rare, known_counts[at], 0) if len(hashes) else np.zeros(len(rare))
-        terms = rare_times * np.log10((counts + 0.5) / u.whole)
-        base = np.bincount(rare_doc, weights=terms, minlength=n)
-        score += np.bincount(rare_doc, weights=terms - rare_times * log_rare, minlength=n)
-        known = np.bincount(rare_doc, weights=rare_times * (counts > 0), minlength=n)
-        out["batch"].append(row["batch"])
-        out["sums"].append(_pack(score, base, known))
-        out["docs"].append(row["docs"])
-    kinds = {"batch": pa.int64(), "sums": pa.binary(), "docs": pa.binary()}
-    return pa.table({c: pa.array(out[c], t) for c, t in kinds.items()})
-
-
-def _added(table: pa.Table) -> pa.Table:
-    """The documents of one batch with the sums of all shards."""
-    facts = next(d for d in table["docs"].to_pylist() if d is not None)
-    ids, no_id, held, lengths, known, base, score = _unpack(facts, "<i8", "u1", "u1", "<i8", "<f8", "<f8", "<f8")
-    known, base, score = known.copy(), base.copy(), score.copy()
-    for sums in table["sums"].to_pylist():
-        s, b, k = _unpack(sums, "<f8", "<f8", "<f8")
-        n = len(ids)
-        score += s[:n]
-        base += b[:n]
-        known += k[:n]
+    gains, found = [], []
+    for (a, b, _), rare in zip(grams, left["rare"]):
+        at_a, at_b = (np.minimum(np.searchsorted(codes, x), max(0, len(codes) - 1)) for x in (a, b))
+        there = (codes[at_a] == a) & (codes[at_b] == b) if len(codes) else np.zeros(len(a), dtype=bool)
+        own = np.zeros(len(a), dtype=np.uint8)
+        own[there] = trie.found(at_a[there], at_b[there])
+        gains.append(_pack(own))
+        found.append(_pack(rare_counts(_unpack(rare.as_py(), "<u8")[0].astype(np.int64)).astype("<i8")))
     return pa.table(
         {
-            "doc_id": pa.array(ids, pa.int64(), mask=no_id.astype(bool)),
-            "held_out": pa.array(held.astype(bool)),
-            "n_tokens": pa.array(lengths, pa.int64()),
-            "n_known": pa.array(np.rint(known).astype(np.int64)),
-            "base_score": pa.array(base),
-            "score": pa.array(score),
+            "batch": left["batch"], "shard": left["shard"], "gains": pa.array(gains, pa.binary()), "counts": pa.array(found, pa.binary()),
+            "facts": left["facts"], "ids": left["ids"],
         }
-    )
-
-
-def language_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, vocabulary: int = VOCABULARY) -> DataFrame:
+    )
+
+
+def _scored(u: Unigrams, shards: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """The documents of one batch, scored by the answers of all shards: lengths, held out, known tokens, base, score, packed ids."""
+    own = next(i for i, f in enumerate(table["facts"]) if f.is_valid)
+    codes, tokens, lengths, held = _unpack(table["facts"][own].as_py(), "<u8", "<u4", "<i8", "u1")
+    batch = Batch(codes, tokens.astype(np.int64), lengths)
+    first, second, of = batch.pairs(u.start)
+    place = batch.places(first, second, u.start, shards)
+    is_rare = codes >= _RARE
+    counts = u.known(codes).astype(np.int64)
+    rare_place = np.where(is_rare, ((codes & ~_RARE) % np.uint64(shards)).astype(np.int64), -1)
+    gains = np.zeros(len(first))
+    for shard, own_gains, own_counts in zip(table["shard"].to_pylist(), table["gains"], table["counts"]):
+        gains[place == shard] = _unpack(own_gains.as_py(), "u1")[0] / u.scale
+        counts[rare_place == shard] = _unpack(own_counts.as_py(), "<i8")[0]
+    base = u.log_p(counts[second])
+    score = base + gains + u.backoff(np.append(counts, u.ends)[first])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    total = lambda x: np.bincount(doc, weights=x[of], minlength=len(lengths))
+    return lengths, held, total(counts[second] > 0), total(base), total(score), table["ids"][own].as_py()
+
+
+def language_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, frequent_words: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is a bigram model: a token after a context has the probability
     (count of the pair + PRIOR * unigram probability) / (count of the context + PRIOR).
-    Unigrams are smoothed as the base score has it. Words beyond the `vocabulary` most
-    frequent share one number in pairs, and divide its probability by their unigrams.
+    Unigrams are smoothed as the base score has it. All words and all pairs of the training
+    documents take part. What a pair adds to its unigram is quantised to 255 steps, of
+    which the largest is the most that any pair can add.
 
     It learns from all documents whose crc32(doc_id as text) mod `folds` is not
-    `held_out_fold` (a null id counts as the empty text). The unigram counts of all words
-    and the pairs of all documents are shuffled; only the frequent words are broadcast.
-    Pairs go, packed, to shards by a hash, so that no context or word gathers in one task;
-    each shard holds a trie of its pairs and answers for the documents' pairs that came
-    with them. Sums by document come back by batch.
-
-    Null, empty and blank texts have one token, the end. Repeated rows are documents of
-    their own. An empty table gives no rows; without a training document nothing is known
-    and all scores are those of the smoothing. Extra columns are ignored.
+    `held_out_fold` (a null id counts as the empty text). Documents are taken in batches.
+    Each sends its distinct pairs, with how often its training documents have them, and its
+    rare words to shards by a hash; only the `frequent_words` are broadcast. A shard holds
+    a trie of its pairs and answers each batch with a byte for each pair and the counts of
+    the rare words. So a hot pair costs one entry for each batch, however many documents
+    have it, and no context or word gathers in one task.
+
+    Null, empty and blank texts have one token, the end. Ids may be of any type, null or
+    repeated; repeated rows are documents of their own. An empty table gives no rows;
+    without a training document nothing is known and all scores are those of the smoothing.
+    Very long texts are a batch of their own. Extra columns are ignored.
     """
     spark = docs.sparkSession
     held = remainder(F.col("doc_id"), folds) == held_out_fold
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    slim = docs.select("doc_id", held.alias("held_out"), "text")
     counts = checkpointed(token_counts(slim.filter(~F.col("held_out"))))
     ends = F.coalesce(F.max(F.when(F.col("h") == END, F.col("c"))), F.lit(0))
     tokens, distinct, n_ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), ends).first()
-    top = frequent(counts, vocabulary)
+    top = frequent(counts, frequent_words)
     unigrams = Unigrams(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct, n_ends)
     shared = spark.sparkContext.broadcast(unigrams)
     shards = max(1, ceil(tokens / SHARD_TOKENS))
-    routed = route(slim, shared, shards).groupBy("shard")
+    batch_tokens = min(max(BATCH_TOKENS, ceil(tokens / BATCHES)), max(BATCH_TOKENS, MOST_TOKENS))
+    routed = route(slim, shared, shards, batch_tokens).groupBy("shard")
     words = counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard")
-    sums = routed.cogroup(words).applyInArrow(lambda left, right: score_shard(shared.value, left, right), _PARTS)
-    found = sums.groupBy("batch").applyInArrow(
-        _added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    )
+    answers = routed.cogroup(words).applyInArrow(lambda left, right: score_shard(shared.value, left, right), _PARTS)
+    id_type = docs.schema["doc_id"].dataType
+    fields = [("held_out", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_known")), *((c, T.DoubleType()) for c in ("base_score", "score"))]
+    schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(*f) for f in fields)])
+    id_schema = pa.schema([("doc_id", to_arrow_type(id_type))])
+
+    def scored(table: pa.Table) -> pa.Table:
+        lengths, is_held, known, base, score, ids = _scored(shared.value, shards, table)
+        ids = pa.ipc.read_record_batch(pa.py_buffer(ids), id_schema)["doc_id"]
+        return pa.table(
+            {
+                "doc_id": ids, "held_out": pa.array(is_held.astype(bool)), "n_tokens": pa.array(lengths, pa.int64()),
+                "n_known": pa.array(np.rint(known).astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+            }
+        )
+
+    found = answers.groupBy("batch").applyInArrow(scored, schema)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

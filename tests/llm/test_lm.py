@@ -3,11 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestar.llm import lm
-from lodestar.llm.eliasfano import SCALE, EliasFano, Trie
+from lodestar.llm.eliasfano import EliasFano, Trie
 
 from .helpers import EDGE, edge, empty
 
@@ -32,71 +33,70 @@ def test_tries_answer_for_every_pair(pairs):
     span, pairs = 61, sorted(pairs)
     values = np.array([(a * 7 + b) % 50 / 10 + 0.1 for a, b in pairs])
     a, b = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
-    trie = Trie.view(Trie.of(a, b, values, span).pack())
+    trie = Trie.view(Trie.of(a, b, values, span, 42.0).pack())
     x, y = (g.reshape(-1) for g in np.meshgrid(np.arange(span), np.arange(span), indexing="ij"))
     want = dict(zip(pairs, values))
-    for u, v, got in zip(x.tolist(), y.tolist(), trie.values(x, y)):
-        assert abs(got - want.get((u, v), 0.0)) <= 0.5 / SCALE + 1e-9
+    for u, v, got in zip(x.tolist(), y.tolist(), trie.found(x, y) / 42):
+        assert abs(got - want.get((u, v), 0.0)) <= 0.5 / 42 + 1e-9
 
 
-def brute(texts, vocabulary):
-    """(base, score, known) of each text by dictionaries."""
+def brute(texts):
+    """(base, score, known, length) of each text by dictionaries, the training tokens, and the step of a code."""
     tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in texts.items()}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
     c, pairs, contexts = Counter(), Counter(), Counter()
     for i in train:
         c.update(tokens[i])
+        pairs.update(zip([None, *tokens[i]], tokens[i]))
+        contexts.update([None, *tokens[i][:-1]])
     n, v = sum(c.values()), len(c)
     whole = n + 0.5 * (v + 1)
-    step = lambda w: math.floor(math.log2(c[w]) * 256)
-    least = min(s for s in map(step, c) if sum(step(w) >= s for w in c) <= vocabulary)
-    top = [w for w in c if step(w) >= least]
-    number = {w: k for k, w in enumerate(top)}
-    of = lambda w: number.get(w, len(top))
-    rare = 1 - sum((c[w] + 0.5) / whole for w in top)
-    p1 = [(c[w] + 0.5) / whole for w in top] + [rare]
-    for i in train:
-        ids = [-1, *map(of, tokens[i])]
-        pairs.update(zip(ids, ids[1:]))
-        contexts.update(ids[:-1])
+    p1 = lambda w: (c[w] + 0.5) / whole
     out = {}
     for i, ts in tokens.items():
-        ids = [-1, *map(of, ts)]
-        base = sum(math.log10((c[w] + 0.5) / whole) for w in ts)
-        score = sum(math.log10((pairs[a, b] + lm.PRIOR * p1[b]) / (contexts[a] + lm.PRIOR)) for a, b in zip(ids, ids[1:]))
-        score += sum(math.log10((c[w] + 0.5) / whole / rare) for w in ts if of(w) == len(top))
+        base = sum(math.log10(p1(w)) for w in ts)
+        score = sum(math.log10((pairs[a, b] + lm.PRIOR * p1(b)) / (contexts[a] + lm.PRIOR)) for a, b in zip([None, *ts], ts))
         out[i] = (base, score, sum(c[w] > 0 for w in ts), len(ts))
-    return out, n
+    return out, n, math.log10(1 + whole / lm.PRIOR) / 255
 
 
-def test_scores_match_brute_force(spark, small):
+@pytest.mark.parametrize("frequent", [20, 500, lm.FREQUENT])
+def test_scores_match_brute_force(spark, small, frequent):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    want, n = brute({r["doc_id"]: r["text"] for r in docs.collect()}, 500)
-    for r in lm.language_scores(docs, vocabulary=500).collect():
+    want, n, step = brute({r["doc_id"]: r["text"] for r in docs.collect()})
+    for r in lm.language_scores(docs, frequent_words=frequent).collect():
         base, score, known, length = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (length, known, n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-        # Each pair's value is quantised to steps of 1 / SCALE.
-        assert abs(r["score"] - score) <= 0.5 / SCALE * length + 1e-6
+        # What each pair adds is quantised.
+        assert abs(r["score"] - score) <= 0.5 * step * length + 1e-6
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
 
 
 def test_several_shards_and_batches_give_the_same(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    key = lambda df: {r["doc_id"]: (round(r["base_score"], 6), round(r["score"], 6), r["n_known"]) for r in df.collect()}
+    key = lambda df: {str(r["doc_id"]): (round(r["base_score"], 6), round(r["score"], 6), r["n_known"]) for r in df.collect()}
     one = key(lm.language_scores(docs))
     monkeypatch.setattr(lm, "SHARD_TOKENS", 9000)
     monkeypatch.setattr(lm, "BATCH_TOKENS", 3000)
+    monkeypatch.setattr(lm, "MOST_TOKENS", 3000)
     monkeypatch.setattr(lm, "COUNTED", 2000)
-    assert key(lm.language_scores(docs)) == one
+    assert key(lm.language_scores(docs, frequent_words=300)) == one
+    # Ids as text give the same folds and scores.
+    assert key(lm.language_scores(docs.withColumn("doc_id", docs["doc_id"].cast("string")))) == one
 
 
 def test_probabilities_of_all_words_sum_to_one():
-    u = lm.Unigrams(np.array([5, 9, lm.END]), np.array([4, 3, 2]), 12, 5, 2)
-    assert math.isclose((10 ** u.log_p).sum(), 1.0)
-    counts = np.array([2, 0, 1, 1])  # of the successors of word 0, which occurs 4 times
-    p = 10 ** (u.backoff[0] + u.log_p + u.gain(counts, np.arange(4)))
+    u = lm.Unigrams(np.array([5, 9, lm.END]), np.array([4, 3, 2]), 9, 3, 2)
+    words = np.array([4, 3, 2, 0])  # the last stands for all unknown words
+    assert math.isclose((10 ** u.log_p(words)).sum(), 1.0)
+    pairs = np.array([2, 0, 2, 0])  # of the successors of word 0, which occurs 4 times
+    gains = u.gain(pairs, words)
+    p = 10 ** (u.backoff(np.array([4])) + u.log_p(words) + gains)
     assert math.isclose(p.sum(), 1.0)
+    quantised = np.rint(gains * u.scale) / u.scale
+    assert gains.max() * u.scale <= 255
+    assert abs((10 ** (u.backoff(np.array([4])) + u.log_p(words) + quantised)).sum() - 1) < 0.01
 
 
 def test_edge_rows(spark):
