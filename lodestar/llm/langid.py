@@ -125,9 +125,14 @@ def train_model(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS) -> Mod
     sizes = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("lang", "mark"), "mark")
-    # Spark cuts the ranks of each task before the shuffle.
-    chosen = marks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, fit_docs // len(sizes))).drop("place")
+    each = max(1, fit_docs // len(sizes))
+    # Only texts whose hash is small enough to be among the first are ranked, some more than needed.
+    rates = [(lang, min(1.0, (each + 10 * each**0.5 + 20) / n)) for lang, n in sizes.items()]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "of_lang string, rate double"))
+    drawn = F.shiftrightunsigned(F.xxhash64("lang", "mark"), 11) / F.lit(float(1 << 53))
+    few = marks.withColumn("drawn", drawn).join(rates, (F.col("lang") == F.col("of_lang")) & (F.col("drawn") <= F.col("rate")))
+    order = Window.partitionBy("lang").orderBy("drawn", "mark")
+    chosen = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("lang", "mark")
     found = texts_of(known, chosen, "lang").select("lang", "text").collect()
     return fit(sorted((r["lang"], r["text"]) for r in found), sizes)
 

@@ -137,13 +137,6 @@ def _unpack(buffer: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-    """Pairs with a rare second word go where its count is; the others are dealt out by both words, so no word gathers."""
-    mixed = (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xD1342543DE82EF95)
-    dealt = (mixed >> np.uint64(33)) % np.uint64(shards)
-    return np.where(second >= _RARE, (second & ~_RARE) % np.uint64(shards), dealt).astype(np.int64)
-
-
 @dataclass
 class Batch:
     """Documents as word numbers of their own: codes[number] is a word; tokens are numbers, document after document."""
@@ -161,9 +154,19 @@ class Batch:
         keys, of = np.unique(first * (n + 1) + self.tokens, return_inverse=True)
         return keys // (n + 1), keys % (n + 1), of
 
-    def places(self, first: np.ndarray, second: np.ndarray, start: int, shards: int) -> np.ndarray:
+    def dealt(self, first: np.ndarray, second: np.ndarray, start: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which pairs are sent, and where in it each shard's pairs of frequent words, of rare second and of rare first words begin.
+
+        Pairs with a rare word go where the word's count is, the second's if both are; the
+        others are dealt out by both words, so no word gathers. (3 * shards + 1 places.)
+        """
         with_start = np.append(self.codes, np.uint64(start))
-        return _shard_of(with_start[first], with_start[second], shards)
+        a, b = with_start[first], with_start[second]
+        mixed = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xD1342543DE82EF95)
+        word = np.where(b >= _RARE, b & ~_RARE, np.where(a >= _RARE, a & ~_RARE, mixed >> np.uint64(33)))
+        place = 3 * (word % np.uint64(shards)).astype(np.int64) + np.where(b >= _RARE, 1, np.where(a >= _RARE, 2, 0))
+        order = np.argsort(place, kind="stable")
+        return order, np.searchsorted(place[order], np.arange(3 * shards + 1))
 
 
 _ROUTED = "shard int, batch long, grams binary, rare binary, facts binary, ids binary"
@@ -173,19 +176,15 @@ _PARTS = "batch long, shard int, gains binary, counts binary, facts binary, ids
 def _routed_rows(u: Unigrams, shards: int, number: int, ids: pa.Array, held: list[bool], codes: list[np.ndarray]) -> pa.RecordBatch:
     """The distinct pairs and rare words of one batch, a row for each shard that has any; one of them takes the documents."""
     lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
-    words, tokens, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-    # Numbers by falling frequency are small, and pack well.
-    order = np.argsort(-times, kind="stable")
-    number_of = np.empty_like(order)
-    number_of[order] = np.arange(len(order))
-    batch = Batch(words[order], number_of[tokens], lengths)
+    # Codes of frequent words are small and come first, by falling frequency, so numbers in their order pack well.
+    words, tokens = np.unique(np.concatenate(codes), return_inverse=True)
+    batch = Batch(words, tokens, lengths)
     first, second, of = batch.pairs(u.start)
     learned = np.repeat(~np.array(held, dtype=bool), lengths)
     counts = np.bincount(of, weights=learned, minlength=len(first)).astype("<u4")
-    place = batch.places(first, second, u.start, shards)
+    order, ends = batch.dealt(first, second, u.start, shards)
     with_start = np.append(batch.codes, np.uint64(u.start))
-    by_place = np.argsort(place, kind="stable")
-    ends = np.searchsorted(place[by_place], np.arange(shards + 1))
+    a, b, counts = with_start[first[order]], with_start[second[order]], counts[order]
     rare = batch.codes[batch.codes >= _RARE] & ~_RARE
     rare_place = (rare % np.uint64(shards)).astype(np.int64)
     by_rare = np.argsort(rare_place, kind="stable")
@@ -194,15 +193,26 @@ def _routed_rows(u: Unigrams, shards: int, number: int, ids: pa.Array, held: lis
     own_ids = pa.record_batch([ids], names=["doc_id"]).serialize().to_pybytes()
     rows = []
     for s in range(shards):
-        i, j = by_place[ends[s] : ends[s + 1]], by_rare[rare_ends[s] : rare_ends[s + 1]]
-        own = s == number % shards
-        if len(i) or len(j) or own:
-            grams = _pack(with_start[first[i]].astype("<u8"), with_start[second[i]].astype("<u8"), counts[i])
-            rows.append((s, number, grams, _pack(rare[j].astype("<u8")), facts if own else None, own_ids if own else None))
+        x, y, z, end = ends[3 * s : 3 * s + 4]
+        own, own_rare = s == number % shards, rare[by_rare[rare_ends[s] : rare_ends[s + 1]]]
+        if end > x or len(own_rare) or own:
+            both = a[x:y] << np.uint64(32) | b[x:y]  # rising: pairs are sorted
+            seconds, firsts = (np.searchsorted(own_rare, w & ~_RARE).astype("<u4") for w in (b[y:z], a[z:end]))
+            grams = _pack(np.diff(both, prepend=np.uint64(0)), a[y:z], seconds, firsts, b[z:end].astype("<u4"), counts[x:end])
+            rows.append((s, number, grams, _pack(own_rare), facts if own else None, own_ids if own else None))
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ROUTED.split(", ")])
 
 
+def _grams(packed: bytes, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of first and second words and counts of a shard's pairs of a batch, whose rare words are `rare`."""
+    both, a, seconds, firsts, b, counts = _unpack(packed, "<u8", "<u8", "<u4", "<u4", "<u4", "<u4")
+    both = both.cumsum()
+    first = np.concatenate((both >> np.uint64(32), a, rare[firsts] | _RARE))
+    second = np.concatenate((both & np.uint64((1 << 32) - 1), rare[seconds] | _RARE, b.astype(np.uint64)))
+    return first, second, counts
+
+
 def route(docs: DataFrame, unigrams, shards: int, batch_tokens: int) -> DataFrame:
     """The n-grams of all documents, packed by (shard, batch of documents).
 
@@ -250,14 +260,18 @@ def score_shard(u: Unigrams, left: pa.Table, right: pa.Table) -> pa.Table:
     The shard's trie is built from the pairs that occur in training documents, over word
     numbers of its own, laid into a memory map and queried for the pairs of every batch.
     """
-    grams = [_unpack(x.as_py(), "<u8", "<u8", "<u4") for x in left["grams"]]
+    rares = [_unpack(x.as_py(), "<u8")[0] for x in left["rare"]]
+    grams = [_grams(x.as_py(), rare) for x, rare in zip(left["grams"], rares)]
     none = np.zeros(0, np.uint64)
-    seen = [(a[c > 0], b[c > 0], c[c > 0]) for a, b, c in grams]
-    codes = np.unique(np.concatenate([x for a, b, _ in seen for x in (a, b)] or [none]))
-    span = len(codes) + 1
-    keys = [np.searchsorted(codes, a) * span + np.searchsorted(codes, b) for a, b, _ in seen]
-    distinct, place = np.unique(np.concatenate(keys or [none.astype(np.int64)]), return_inverse=True)
-    pair_counts = np.bincount(place, weights=np.concatenate([c for *_, c in seen] or [none]), minlength=len(distinct))
+    codes = np.unique(np.concatenate([x[c > 0] for a, b, c in grams for x in (a, b)] or [none]))
+    span, numbered = len(codes) + 1, []
+    for a, b, c in grams:
+        at_a, at_b = (np.minimum(np.searchsorted(codes, x), max(0, len(codes) - 1)) for x in (a, b))
+        there = (codes[at_a] == a) & (codes[at_b] == b) if len(codes) else np.zeros(len(a), dtype=bool)
+        numbered.append((at_a * span + at_b, there, c))
+    del grams
+    distinct, place = np.unique(np.concatenate([k[c > 0] for k, _, c in numbered] or [none.astype(np.int64)]), return_inverse=True)
+    pair_counts = np.bincount(place, weights=np.concatenate([c[c > 0] for *_, c in numbered] or [none]), minlength=len(distinct))
     order = np.argsort(right["h"].to_numpy())
     hashes, counts = right["h"].to_numpy()[order], right["c"].to_numpy()[order]
 
@@ -273,14 +287,16 @@ def score_shard(u: Unigrams, left: pa.Table, right: pa.Table) -> pa.Table:
     levels = mmap.mmap(-1, len(packed))
     levels.write(packed)
     trie = Trie.view(levels)
-    gains, found = [], []
-    for (a, b, _), rare in zip(grams, left["rare"]):
-        at_a, at_b = (np.minimum(np.searchsorted(codes, x), max(0, len(codes) - 1)) for x in (a, b))
-        there = (codes[at_a] == a) & (codes[at_b] == b) if len(codes) else np.zeros(len(a), dtype=bool)
-        own = np.zeros(len(a), dtype=np.uint8)
-        own[there] = trie.found(at_a[there], at_b[there])
+    # What batches learned alike is asked for once.
+    known, at, gains = trie.found(distinct // span, distinct % span), 0, []
+    for keys, there, c in numbered:
+        own, new = np.zeros(len(keys), dtype=np.uint8), there & (c == 0)
+        n = int((c > 0).sum())
+        own[c > 0] = known[place[at : at + n]]
+        own[new] = trie.found(keys[new] // span, keys[new] % span)
+        at += n
         gains.append(_pack(own))
-        found.append(_pack(rare_counts(_unpack(rare.as_py(), "<u8")[0].astype(np.int64)).astype("<i8")))
+    found = [_pack(rare_counts(rare.astype(np.int64)).astype("<i8")) for rare in rares]
     return pa.table(
         {
             "batch": left["batch"], "shard": left["shard"], "gains": pa.array(gains, pa.binary()), "counts": pa.array(found, pa.binary()),
@@ -295,13 +311,13 @@ def _scored(u: Unigrams, shards: int, table: pa.Table) -> tuple[np.ndarray, np.n
     codes, tokens, lengths, held = _unpack(table["facts"][own].as_py(), "<u8", "<u4", "<i8", "u1")
     batch = Batch(codes, tokens.astype(np.int64), lengths)
     first, second, of = batch.pairs(u.start)
-    place = batch.places(first, second, u.start, shards)
+    order, ends = batch.dealt(first, second, u.start, shards)
     is_rare = codes >= _RARE
     counts = u.known(codes).astype(np.int64)
     rare_place = np.where(is_rare, ((codes & ~_RARE) % np.uint64(shards)).astype(np.int64), -1)
     gains = np.zeros(len(first))
     for shard, own_gains, own_counts in zip(table["shard"].to_pylist(), table["gains"], table["counts"]):
-        gains[place == shard] = _unpack(own_gains.as_py(), "u1")[0] / u.scale
+        gains[order[ends[3 * shard] : ends[3 * shard + 3]]] = _unpack(own_gains.as_py(), "u1")[0] / u.scale
         counts[rare_place == shard] = _unpack(own_counts.as_py(), "<i8")[0]
     base = u.log_p(counts[second])
     score = base + gains + u.backoff(np.append(counts, u.ends)[first])
