@@ -203,10 +203,10 @@ x AS (SELECT doc_id, item_id, len(a) > 0 AND len(t) > 0 AND {R.overlap('a', 't')
 SELECT * FROM x WHERE terms_match OR subject_match"""
 
 
-@query(_matches(2))
+@query(_matches(1))
 def term_matches(spark, d):
-    """All pairs of a document and an item of which the terms or the subject match, by two shared terms."""
-    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
+    """All pairs of a document and an item of which the terms or the subject match, by one shared term."""
+    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id", least=1)
 
 
 @query(
@@ -219,10 +219,10 @@ def relevant_documents(spark, d):
     return matching.relevant_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-@query(_matches(1))
+@query(_matches(2))
 def matched_documents(spark, d):
-    """All matching pairs of documents and benchmark items, by one shared term."""
-    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id", least=1)
+    """All matching pairs of documents and benchmark items, by two shared terms."""
+    return matching.matching_pairs(X.load(spark, d, "documents"), X.load(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 _CELL = "embedding[({r} * 9 + {c}) % 64 + 1]"
