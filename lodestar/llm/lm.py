@@ -123,17 +123,20 @@ class Unigrams:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays compressed together, of each all first bytes, then all second bytes and so on: most high bytes are zero."""
     sizes = np.array([len(arrays), *(len(a) for a in arrays)], dtype="<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *(a.tobytes() for a in arrays)]))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
 
 
 def _unpack(buffer: bytes, *types: str) -> list[np.ndarray]:
-    raw = memoryview(zstandard.ZstdDecompressor().decompress(buffer))
-    sizes = np.frombuffer(raw[8 : 8 * (len(types) + 1)], dtype="<i8").tolist()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(buffer), dtype=np.uint8)
+    sizes = raw[8 : 8 * (len(types) + 1)].view("<i8").tolist()
     out, at = [], 8 * (len(types) + 1)
     for n, t in zip(sizes, types):
-        out.append(np.frombuffer(raw[at : at + n * np.dtype(t).itemsize], dtype=t))
-        at += n * np.dtype(t).itemsize
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(t).reshape(-1))
+        at += n * width
     return out
 
 
