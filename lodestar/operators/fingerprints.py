@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -42,15 +42,26 @@ def near_dup_pairs(fp: DataFrame, key: str = "vec_id", h: str = "h") -> DataFram
 
 
 def near_dup_clips(fp: DataFrame, clip: str = "clip", frame: str = "frame", h: str = "h") -> DataFrame:
-    """(a_clip, b_clip, share): clips a of whose frames at least half lie within 6 bits of some frame of b."""
-    frames = fp.select(F.col(clip).alias("clip"), F.col(frame).alias("frame"), F.col(h).alias("h")).filter("h is not null")
+    """(a_clip, b_clip, share): clips a of whose frames at least half lie within 6 bits of some frame of b.
+
+    Of n frames at least half hit only if one does among any n - n / 2 + 1; those that the
+    fewest clips have are taken. Clips meet on them, so a frame that very many clips share
+    pairs nothing by itself; all frames of the pairs found are then counted.
+    """
+    frames = fp.select(F.col(clip).alias("clip"), F.col(frame).alias("frame"), F.col(h).alias("h")).filter("h is not null").distinct()
     near = near_hashes(fp, h)
     links = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     same = frames.select(F.col("h").alias("a"), F.col("h").alias("b")).distinct()
     owners = frames.select(F.col("h").alias("b"), F.col("clip").alias("b_clip")).distinct()
-    met = links.union(same).join(owners, "b").select("a", "b_clip").distinct()
-    hit = frames.join(met, frames.h == met.a).filter("clip <> b_clip").select("clip", "frame", "b_clip").distinct()
-    hit = hit.groupBy("clip", "b_clip").agg(F.count("*").alias("hits"))
+    met = links.union(same).join(owners, "b").select(F.col("a").alias("h"), "b_clip").distinct()
     total = frames.groupBy("clip").agg(F.countDistinct("frame").alias("n"))
+    times = owners.groupBy(F.col("b").alias("h")).agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("clip").orderBy("times", "frame")
+    ranked = frames.join(times, "h").groupBy("clip", "frame").agg(F.sum("times").alias("times")).withColumn("place", F.row_number().over(rarest))
+    needed = F.ceil(F.col("n") * C.NEAR_SHARE)
+    rare = ranked.join(total, "clip").filter(F.col("place") <= F.col("n") - needed + 1).select("clip", "frame")
+    pairs = frames.join(rare, ["clip", "frame"]).join(met, "h").filter("clip <> b_clip").select("clip", "b_clip").distinct()
+    hit = frames.join(pairs, "clip").join(met, ["h", "b_clip"]).select("clip", "frame", "b_clip").distinct()
+    hit = hit.groupBy("clip", "b_clip").agg(F.count("*").alias("hits"))
     found = hit.join(total, "clip").withColumn("share", F.col("hits") / F.col("n")).filter(F.col("share") >= C.NEAR_SHARE)
     return found.select(F.col("clip").alias("a_clip"), "b_clip", "share")

@@ -1,4 +1,4 @@
-"""Similar topics: a theta join done as token equi-joins with a prefix filter."""
+"""Similar topics: a theta join done as one equi-join on what similar texts must share."""
 
 from __future__ import annotations
 
@@ -7,48 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Kinds of keys: two tokens that both sets hold, the only token of a right set, the only token of a left set.
+_TWO, _RIGHT, _LEFT = range(3)
 
-def _tokens(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    tokens = T.topic_tokens(F.col(text))
-    return df.select(F.col(key).alias(name), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+
+def _keys(df: DataFrame, key: str, text: str, name: str, each: int, alone: int) -> DataFrame:
+    """(name, kind, x, y): every two tokens of a text; every token as `each`, the token of a set of one as `alone` too.
+
+    A set of n tokens gives about n * n / 2 rows (8 words of a title: 36), made one token at a time.
+    """
+    sets = df.select(F.col(key).alias(name), F.array_sort(T.topic_tokens(F.col(text))).alias("s"))
+    tokens = sets.select(name, "s", F.posexplode("s").alias("i", "x"))
+    single = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit("").alias("y"))
+    later = F.transform(F.slice("s", F.col("i") + 2, F.size("s")), lambda y: F.struct(F.lit(_TWO).alias("kind"), y.alias("y")))
+    singles = F.when(F.size("s") == 1, F.array(single(each), single(alone))).otherwise(F.array(single(each)))
+    return tokens.select(name, "x", F.explode(F.concat(singles, later)).alias("k")).select(name, "k.kind", "x", "k.y")
+
+
+def _both(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> tuple[DataFrame, DataFrame]:
+    return _keys(left, left_key, left_text, "left_id", _RIGHT, _LEFT), _keys(right, right_key, right_text, "right_id", _LEFT, _RIGHT)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:
     """(left_id, right_id) of all rows with similar texts.
 
     Two token sets are similar if they share at least two tokens, or all of one that has
-    only one. If both have two or more, each side may leave out its most frequent token and
-    the pair still meets on another; a set of one token meets all tokens of the other side.
-    Both branches are equi-joins; the predicate is verified on the pairs found.
+    only one. So they are if and only if they share a key of _keys(): no candidate needs to
+    be verified, and common words meet only where the result holds the pair.
     """
-    a, b = _tokens(left, left_key, left_text, "left_id"), _tokens(right, right_key, right_text, "right_id")
-    each = lambda df, key: df.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ea, eb = each(a, "left_id"), each(b, "right_id")
-    times = ea.select("token").union(eb.select("token")).groupBy("token").agg(F.count("*").alias("times"))
-
-    def prefix(e: DataFrame, key: str) -> DataFrame:
-        counted = e.filter("n >= 2").join(times, "token")
-        # The tokens of one set: a few words of a title.
-        sets = counted.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("times", "token"))).alias("s"))
-        return sets.select(key, F.explode(F.slice("s", 1, F.size("s") - 1)).alias("s")).select(key, "s.token")
-
-    both = prefix(ea, "left_id").join(prefix(eb, "right_id"), "token").select("left_id", "right_id")
-    one = ea.filter("n = 1").join(eb, "token").select("left_id", "right_id")
-    other = ea.join(eb.filter("n = 1"), "token").select("left_id", "right_id")
-    found = both.union(one).union(other).distinct()
-    ta, tb = a.withColumnRenamed("tokens", "ta"), b.withColumnRenamed("tokens", "tb")
-    met = found.join(ta.distinct(), "left_id").join(tb.distinct(), "right_id")
-    shared = F.size(F.array_intersect("ta", "tb")) >= F.least(F.lit(2), F.size("ta"), F.size("tb"))
-    return met.filter(shared).select("left_id", "right_id").distinct()
+    a, b = _both(left, right, left_key, left_text, right_key, right_text)
+    return a.join(b, ["kind", "x", "y"]).select("left_id", "right_id").distinct()
+
+
+def _similar_ids(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:
+    """left_id of the rows similar to any on the right: a semi-join on distinct keys, without pairs."""
+    a, b = _both(left, right, left_key, left_text, right_key, right_text)
+    return a.join(b.select("kind", "x", "y").distinct(), ["kind", "x", "y"], "left_semi").select("left_id").distinct()
 
 
 def anti_similar(cands: DataFrame, history: DataFrame, key: str, text: str, used_key: str, used_text: str) -> DataFrame:
     """Candidates whose text is similar to no used one."""
-    found = similar_pairs(cands, history, key, text, used_key, used_text).select("left_id").distinct()
+    found = _similar_ids(cands, history, key, text, used_key, used_text)
     return cands.join(found, F.col(key) == F.col("left_id"), "left_anti")
 
 
 def semi_similar(cands: DataFrame, history: DataFrame, key: str, text: str, used_key: str, used_text: str) -> DataFrame:
     """Candidates whose text is similar to some used one."""
-    found = similar_pairs(cands, history, key, text, used_key, used_text).select("left_id").distinct()
+    found = _similar_ids(cands, history, key, text, used_key, used_text)
     return cands.join(found, F.col(key) == F.col("left_id"), "left_semi")
