@@ -18,10 +18,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir, also set as the context's checkpoint folder.
 
-    A temporary folder is made only where the session names none (local tests).
+    A temporary folder is made only where a local session names none (tests); on a cluster,
+    whose executors would not share it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     now = spark.sparkContext.getCheckpointDir()
+    if not (named or now or spark.sparkContext.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not now:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or now or spark.sparkContext.getCheckpointDir()
