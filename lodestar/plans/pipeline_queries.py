@@ -29,9 +29,11 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY trend_score DESC, views DESC, v
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder, or a temporary one where none is set (tests)."""
+    """A new folder in the session's shared checkpoint folder, or a temporary one in a local session without it (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
