@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,6 +214,16 @@ def shingles_of(docs: DataFrame, id_type: T.DataType, bits: np.ndarray, shingle:
     return docs.mapInArrow(read, T.StructType([T.StructField(*f) for f in fields]))
 
 
+def _in_bitmap(slots: Column, shared: Broadcast) -> Column:
+    """Whether a broadcast bitmap holds the slots."""
+
+    @F.arrow_udf("boolean")
+    def held(values: pa.Array) -> pa.Array:
+        return pa.array(has(shared.value, values.to_numpy()))
+
+    return held(slots)
+
+
 def _alike(x: str, y: str) -> Column:
     """Sizes and sketches of two sets allow a similarity of 0.8; x and y are suffixes of columns."""
     least, most = F.least(f"size{x}", f"size{y}"), F.greatest(f"size{x}", f"size{y}")
@@ -281,11 +292,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     Groups are what near_links() connects: texts whose sets of shingles have a Jaccard
     similarity of 0.8 or more. All columns are kept. Null, empty and blank texts are one
     group. Of repeated rows with the smallest id one stays; of a group without ids, one
-    row. An empty table gives no rows. Texts are shuffled once, at the end.
+    row. An empty table gives no rows. Only texts that a bitmap of those that may go holds
+    are shuffled; the others stay where they are read.
     """
-    mark, row, kept_id, kept_mark = (free_name(docs, x) for x in ("mark", "row_of_group", "kept_id", "kept_mark"))
+    mark, row, kept_id, kept_mark, place = (free_name(docs, x) for x in ("mark", "row_of_group", "kept_id", "kept_mark", "slot"))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(f"`{text}`").alias("text"))
-    slim = own.select("doc_id", "mark", _banded(F.col("text"), shingle).alias("s")).select("doc_id", "mark", "s.*")
+    slim = checkpointed(own.select("doc_id", "mark", _banded(F.col("text"), shingle).alias("s")).select("doc_id", "mark", "s.*"))
     # A set's documents become one row: a large group of copies is no large key.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
     first_of = [F.first(c).alias(c) for c in ("size", "keys", "sketch")]
@@ -304,9 +316,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     roots = components(near_links(prints, sets))
     firsts = prints.select("id", "least").join(roots, F.col("id") == F.col("node"), "left")
     first = firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
-    first = first.select(F.col("least.doc_id").alias(kept_id), F.col("least.mark").alias(kept_mark))
-    marked = docs.withColumn(mark, F.xxhash64(text))
+    first = checkpointed(first.select(F.col("least.doc_id").alias(kept_id), F.col("least.mark").alias(kept_mark)))
+    times = slim.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    stays = (F.col("mark") == F.col(kept_mark)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    # What is not the first of its group, or is repeated, is decided by joining; every other row stays.
+    unsure = times.filter("n > 1").select("doc_id", "mark").union(times.select("doc_id", "mark").join(first, stays, "left_anti"))
+    maybe = _in_bitmap(F.col(place), docs.sparkSession.sparkContext.broadcast(bitmap(unsure.select(slot.alias("slot")))))
+    marked = docs.withColumn(mark, F.xxhash64(text)).withColumn(place, F.xxhash64(F.col(f"`{doc_id}`"), mark))
     same = (F.col(mark) == F.col(kept_mark)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(kept_id))
-    stay = marked.join(first, same)
+    stay = marked.filter(maybe).join(first, same)
     order = Window.partitionBy(f"`{doc_id}`", mark).orderBy(F.lit(0))
-    return stay.withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
+    joined = stay.withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1)
+    return marked.filter(~maybe).select(*docs.columns).union(joined.select(*docs.columns))
