@@ -219,11 +219,11 @@ def _grams(packed: bytes, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def route(docs: DataFrame, unigrams, shards: int, batch_tokens: int) -> DataFrame:
     """The n-grams of all documents, packed by (shard, batch of documents).
 
-    docs: doc_id, held_out, text. unigrams: a broadcast Unigrams.
+    docs: doc_id, held_out, text. unigrams: the fields of a Unigrams, broadcast.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u: Unigrams = unigrams.value
+        u = Unigrams(*unigrams.value)
         numbers = dict(zip(u.hashes.tolist(), range(len(u.hashes))))
         code_of: dict[bytes, int] = {}
         number = TaskContext.get().partitionId() << 32
@@ -358,20 +358,20 @@ def language_scores(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, fre
     ends = F.coalesce(F.max(F.when(F.col("h") == END, F.col("c"))), F.lit(0))
     tokens, distinct, n_ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), ends).first()
     top = frequent(counts, frequent_words)
-    unigrams = Unigrams(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct, n_ends)
-    shared = spark.sparkContext.broadcast(unigrams)
+    # Plain arrays and numbers: what is broadcast is pickled by reference, and executors have no copy of the class.
+    shared = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct, n_ends))
     shards = max(1, ceil(tokens / SHARD_TOKENS))
     batch_tokens = min(max(BATCH_TOKENS, ceil(tokens / BATCHES)), max(BATCH_TOKENS, MOST_TOKENS))
     routed = route(slim, shared, shards, batch_tokens).groupBy("shard")
     words = counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard")
-    answers = routed.cogroup(words).applyInArrow(lambda left, right: score_shard(shared.value, left, right), _PARTS)
+    answers = routed.cogroup(words).applyInArrow(lambda left, right: score_shard(Unigrams(*shared.value), left, right), _PARTS)
     id_type = docs.schema["doc_id"].dataType
     fields = [("held_out", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_known")), *((c, T.DoubleType()) for c in ("base_score", "score"))]
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(*f) for f in fields)])
     id_schema = pa.schema([("doc_id", to_arrow_type(id_type))])
 
     def scored(table: pa.Table) -> pa.Table:
-        lengths, is_held, known, base, score, ids = _scored(shared.value, shards, table)
+        lengths, is_held, known, base, score, ids = _scored(Unigrams(*shared.value), shards, table)
         ids = pa.ipc.read_record_batch(pa.py_buffer(ids), id_schema)["doc_id"]
         return pa.table(
             {

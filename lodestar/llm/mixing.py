@@ -102,9 +102,18 @@ def mix(
     same = (F.col("part") == F.col("at_part")) & F.col("source").eqNullSafe(F.col("at_source"))
     placed = ranked.join(starts, same)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(_ONE))
-    crossed = lambda k: F.shiftright(k * F.col("rate") + offset, 28)
     k = F.col("start") + F.col("rank")
-    return placed.select("doc_id", "source", "size", "source_size", "target", (crossed(k) - crossed(k - 1)).alias("copies"), "mark")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (crossed(k, F.col("rate"), offset) - crossed(k - 1, F.col("rate"), offset)).alias("copies"), "mark")
+
+
+def crossed(k: Column, rate: Column, offset: Column) -> Column:
+    """Whole numbers that the sum of k steps of `rate` and the offset, both in units of 2**-28, reaches.
+
+    The high and the low part of k are multiplied apart, so nothing overflows however many
+    documents a source has.
+    """
+    high, low = F.shiftright(k, 28), k.bitwiseAND(F.lit(_ONE - 1))
+    return high * rate + F.shiftright(low * rate + offset, 28)
 
 
 def emit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", copy: str = "copy", seed: int = 42, **mixing) -> DataFrame:

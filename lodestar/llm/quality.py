@@ -124,11 +124,12 @@ def fit(texts: list[tuple[int, bytes]], sizes: dict[int, int]) -> Model:
 
 def scores(text: Column, model: Model, spark) -> Column:
     """Scores of whole texts; null counts as empty, and an empty text is scored like any other."""
-    shared = spark.sparkContext.broadcast(model)
+    # Plain arrays: what is broadcast is pickled by reference, and executors have no copy of the class.
+    shared = spark.sparkContext.broadcast((model.idf, model.axes, model.vectors, model.labels, model.weights, model.prior))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores([v.as_py() or b"" for v in texts.cast(pa.large_binary())]), pa.float64())
+        return pa.array(Model(*shared.value).scores([v.as_py() or b"" for v in texts.cast(pa.large_binary())]), pa.float64())
 
     return score(text)
 

@@ -20,12 +20,14 @@ def accuracy(found, truth, column):
     return np.mean(got), len(got)
 
 
-def test_toxicity_on_held_out_labels(spark, medium):
-    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
-    found = queries.op3_toxicity(spark, medium).collect()
+def test_toxicity_on_held_out_labels(spark, large):
+    """Of the toxic labels held out at least 0.75 are found, of the others at most 0.03 wrongly; a constant does neither."""
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    found = queries.op3_toxicity(spark, large).collect()
     assert all(r["held_out"] == held_out(r["doc_id"], 5, 0) and 0 <= r["score"] <= 1 for r in found)
-    got, n = accuracy(found, truth, "predicted")
-    assert n > 50 and got >= 0.9
+    said = {y: [r["predicted"] for r in found if r["held_out"] and truth.get(r["doc_id"]) == y] for y in (0, 1)}
+    assert len(said[1]) >= 50 and np.mean(said[1]) >= 0.75
+    assert len(said[0]) >= 300 and np.mean(said[0]) <= 0.03
 
 
 def test_quality_on_held_out_labels(spark, medium):

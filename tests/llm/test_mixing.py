@@ -48,3 +48,12 @@ def test_crossings_never_exceed_the_cap(rate):
     offset = (1 << 28) - 1
     steps = [(k * rate + offset >> 28) - ((k - 1) * rate + offset >> 28) for k in range(1, 5000)]
     assert max(steps) <= -(-rate // (1 << 28))
+
+
+def test_sources_of_very_many_documents(spark):
+    """Steps beyond 2**63 / 2**29 documents, where the plain product overflows, against Python's integers."""
+    ks, offset = [1, 5, (1 << 28) - 1, 1 << 28, (1 << 28) + 1, 2 * 10**10, 9 * 10**14 + 7], (1 << 28) - 3
+    for rate in (1, 12345, (1 << 28) - 1, 1 << 28, 2 << 28):
+        df = spark.createDataFrame([(k, rate, offset) for k in ks], "k long, rate long, o long")
+        got = df.select(mixing.crossed(F.col("k"), F.col("rate"), F.col("o"))).collect()
+        assert [r[0] for r in got] == [k * rate + offset >> 28 for k in ks]
