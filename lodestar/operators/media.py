@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import urls as U
-from .fingerprints import near_dup_clips
+from .fingerprints import near_dup_clips, near_stored_clips
 from .gates import limit_reason
 
 
@@ -23,7 +23,7 @@ def upsert_history(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.unionByName(new).dropDuplicates(["media_type", "key_kind", "key_value"])
 
 
-def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """Each item with the first reason that speaks against it; null means accepted.
 
     Cheap checks stand before dear ones: used address, blocked domain, limits, used
@@ -31,6 +31,10 @@ def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None
     frames (media_id, frame, h), one that at least half of the frames are near to. Earlier
     means a smaller id among items that pass all checks before. Items without an address
     or hash are no repeats of each other by it.
+
+    With index, the path of an index of stored fingerprints, items near to one of those are
+    refused as well ("used fingerprint"); they still count as earlier items, since whatever
+    was looked at counts, accepted or not.
     """
     m = media.withColumn("canonical", U.canonical_url(F.col("url")))
     urls = history.filter("key_kind = 'url'").select(F.col("key_value").alias("canonical"), F.lit(True).alias("url_used")).distinct()
@@ -55,7 +59,12 @@ def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None
     seen = frames.join(looked_at, F.col("media_id") == F.col("_seen"), "left_semi")
     near = near_dup_clips(seen, "media_id", "frame", "h").filter("b_clip < a_clip").select(F.col("a_clip").alias("_near")).distinct()
     m = m.join(near, F.col("media_id") == F.col("_near"), "left")
-    return m.withColumn("reason", F.when(F.col("_near").isNotNull(), "near duplicate").otherwise(F.col("reason"))).drop("_near")
+    m = m.withColumn("reason", F.when(F.col("_near").isNotNull(), "near duplicate").otherwise(F.col("reason"))).drop("_near")
+    if index is None:
+        return m
+    used = near_stored_clips(seen, index, "media_id", "frame", "h").select(F.col("a_clip").alias("_used")).distinct()
+    m = m.join(used, F.col("media_id") == F.col("_used"), "left")
+    return m.withColumn("reason", F.when(F.col("_used").isNotNull(), "used fingerprint").otherwise(F.col("reason"))).drop("_used")
 
 
 def select_best_file(files: DataFrame, key: str, portrait: int = C.TARGET_AREA, landscape: int = C.TARGET_AREA) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..operators import fingerprints as H
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -215,6 +216,15 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return fp(spark, d).select(F.when(clip < 1_000_000_000, clip).otherwise(clip - 999_000_000).alias("media_id"), "frame", "h")
 
 
+def used_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """History entries of the fingerprints of every sixth clip, their frames 0 to 8 bits away."""
+    flips = (3 * F.col("frame") + F.col("clip") % 5) % 9
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), flips.cast("int")) - 1
+    moved = fp(spark, d).filter("clip < 1000000000 and clip % 6 = 1").withColumn("h", F.col("h").bitwiseXOR(mask))
+    clips = moved.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", "h"))).alias("x"))
+    return clips.select(F.lit("video").alias("media_type"), F.lit("perceptual").alias("key_kind"), H.fingerprint(F.col("x.h")).alias("key_value"))
+
+
 #: The same tables as SQL; each needs those it names before it.
 SQL = {
     "base": """base AS (
@@ -322,6 +332,9 @@ SQL["headers"] = """headers AS (
   SELECT script_id, CASE script_id % 4 WHEN 0 THEN topic WHEN 1 THEN 'of a' WHEN 2 THEN 'quite another subject' END AS own_topic,
          CASE WHEN script_id % 3 = 0 THEN hook_question END AS own_trend, CASE WHEN script_id % 6 = 1 THEN 'Sports ' END AS own_domain
   FROM research WHERE script_id % 10 <> 9)"""
+SQL["used"] = """used AS (
+  SELECT clip AS used_clip, frame, xor(h, (CAST(1 AS BIGINT) << CAST((3 * frame + clip % 5) % 9 AS INTEGER)) - 1) AS h
+  FROM fp WHERE clip < 1000000000 AND clip % 6 = 1)"""
 SQL["frames"] = "frames AS (SELECT CASE WHEN clip < 1000000000 THEN clip ELSE clip - 999000000 END AS media_id, frame, h FROM fp)"
 
 

@@ -13,6 +13,7 @@ from ..operators import fingerprints as H
 from ..operators import gates as G
 from ..operators import media as M
 from ..operators import similarity as S
+from ..sources.folders import shared_folder
 from . import fixtures as X
 from . import pipelines as E
 from . import registry as R
@@ -64,6 +65,18 @@ def near_clips(spark, d):
     return H.near_dup_clips(X.fp(spark, d))
 
 
+@query(X.with_("fp used", """, hit AS (SELECT DISTINCT a.clip, a.frame, b.used_clip FROM fp a JOIN used b ON bit_count(xor(a.h, b.h)) <= 6),
+n AS (SELECT clip, count(DISTINCT frame) AS n FROM fp GROUP BY clip),
+named AS (SELECT used_clip, string_agg(lpad(lower(to_hex(h)), 16, '0'), ',' ORDER BY frame) AS used FROM used GROUP BY used_clip)
+SELECT DISTINCT clip AS a_clip, used, share FROM (SELECT clip, used_clip, count(*) / CAST(any_value(n) AS DOUBLE) AS share FROM hit JOIN n USING (clip) GROUP BY clip, used_clip) JOIN named USING (used_clip)
+WHERE share >= 0.5""").replace("\n,", ","))
+def near_used_clips(spark, d):
+    """Clips near to a stored fingerprint, by the stored index."""
+    index = shared_folder(spark, "fingerprints")
+    H.index_fingerprints(H.stored_frames(X.used_fingerprints(spark, d)), index)
+    return H.near_stored_clips(X.fp(spark, d), index)
+
+
 @query(X.with_("base verdicts", """SELECT video_id, content_domain, false AS unknown FROM base JOIN verdicts ON video_id = candidate_id
 UNION ALL SELECT candidate_id, content_domain, true FROM verdicts WHERE candidate_id NOT IN (SELECT video_id FROM base)"""))
 def joined_verdicts(spark, d):

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import sql_udfs
 from ..operators import captions as K
 from ..operators import gates as G
+from ..operators import fingerprints as H
 from ..operators import media as M
 from ..sources import readers as I
+from ..sources.folders import shared_folder
 from ..streaming import streams as W
 from . import fixtures as X
 from . import pipelines as E
@@ -28,18 +28,6 @@ fresh AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE len(a) > 0 AND
 ranked AS (SELECT *, row_number() OVER (ORDER BY trend_score DESC, views DESC, video_id) AS rank FROM fresh QUALIFY rank <= 120)"""
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder, or a temporary one in a local session without it (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query(X.with_("base cand history", _RANKED + " SELECT video_id, title, views, trend_score, rank FROM ranked WHERE rank <= 20").replace("\n,", ","))
 def best_trends(spark, d):
     """The 20 best recent, safe, unused candidates."""
@@ -85,6 +73,21 @@ def deduped_clips(spark, d):
     return M.dedupe_media(_some_media(spark, d), X.media_history(spark, d), X.frames(spark, d)).select("media_id", "reason")
 
 
+@query(X.with_("media media_history fp used frames", _DEDUPED.rstrip() + """, f AS (SELECT frames.* FROM frames JOIN c USING (media_id) WHERE reason IS NULL),
+hit AS (SELECT DISTINCT x.media_id, x.frame, y.media_id AS other FROM f x JOIN f y ON x.media_id <> y.media_id AND bit_count(xor(x.h, y.h)) <= 6),
+n AS (SELECT media_id, count(DISTINCT frame) AS n FROM f GROUP BY media_id),
+near AS (SELECT hit.media_id, other FROM hit JOIN n USING (media_id) GROUP BY hit.media_id, other HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.5),
+old AS (SELECT DISTINCT x.media_id, x.frame, y.used_clip FROM f x JOIN used y ON bit_count(xor(x.h, y.h)) <= 6),
+was AS (SELECT old.media_id FROM old JOIN n USING (media_id) GROUP BY old.media_id, used_clip HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.5)
+SELECT media_id, CASE WHEN media_id IN (SELECT media_id FROM was) THEN 'used fingerprint'
+  WHEN media_id IN (SELECT media_id FROM near WHERE other < media_id) THEN 'near duplicate' ELSE reason END AS reason FROM c""").replace("\n,", ","))
+def refused_clips(spark, d):
+    """Media with the near-duplicate check of their frames, also against stored fingerprints."""
+    index = shared_folder(spark, "fingerprints")
+    H.index_fingerprints(H.stored_frames(X.used_fingerprints(spark, d)), index)
+    return M.dedupe_media(_some_media(spark, d), X.media_history(spark, d), X.frames(spark, d), index).select("media_id", "reason")
+
+
 @query(X.with_("sections quota_cands", """, first_ AS (SELECT * FROM quota_cands QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, turn, pos) = 1),
 q AS (SELECT *, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, turn, pos, item) AS place FROM first_ QUALIFY place <= 4),
 own AS (SELECT script_id, section_id, place AS pos, CAST(item AS VARCHAR) AS path, CASE WHEN item % 2 = 0 THEN 'video' ELSE 'image' END AS kind FROM q),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,70 @@ def test_sections_without_media_are_an_error(spark):
     media = spark.createDataFrame([(7, "https://a.org/x", 3.0, 5, None), (8, "https://a.org/y", 3.0, 5, None)], "media_id long, url string, duration double, size long, sha string")
     used = spark.createDataFrame([("image", "url", "https://a.org/x")], "media_type string, key_kind string, key_value string")
     assert E.allocate_media(cands, sections, 2, media, used, strict=False).count() == 0
+
+
+def brute_near(a, b):
+    return {(x, y) for x in a for y in b if bin((x ^ y) & (1 << 64) - 1).count("1") <= 6}
+
+
+def test_full_bands_are_cut(spark, monkeypatch):
+    """Very many hashes that share a band's bits meet by further bits: all near pairs, and few candidates."""
+    rng = random.Random(4)
+    base = 0x0123_4567_89AB_CDEF
+    shared = [base & 0x3F_FFFF | rng.getrandbits(41) << 22 for _ in range(10_000)]
+    near = [h ^ (1 << rng.randrange(22, 63)) ^ (1 << rng.randrange(22, 63)) for h in shared[:50]]
+    df = spark.createDataFrame([(h,) for h in shared + near], "h long")
+    got = {(r["a"], r["b"]) for r in H.near_hashes(df).collect()}
+    own = sorted(set(shared + near))
+    chosen = set(near) | set(shared[:50])
+    assert {p for p in got if chosen & set(p)} == {(min(p), max(p)) for p in brute_near(chosen, own) if p[0] != p[1]}
+    mask = H._mask([H._BANDS[i] for i in range(3)])
+    keyed = H._keyed(df.distinct(), [mask])
+    assert H._met(keyed, keyed).count() < 10_000 * 400  # of 10**8
+
+
+def test_near_stored_hashes(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    stored = [rng.getrandbits(64) for _ in range(300)] + [0xFFFF_0000_0000_0000 | rng.getrandbits(12) for _ in range(300)]
+    flip = lambda h, n: h ^ sum(1 << i for i in rng.sample(range(64), n))
+    batch = [flip(h, n) for n in range(9) for h in rng.sample(stored, 12)]
+    path = str(tmp_path / "index")
+    frames = [(f"c{i // 3}", i % 3, signed(h)) for i, h in enumerate(stored)]
+    H.index_fingerprints(spark.createDataFrame(frames[:200], "clip string, frame int, h long"), path)
+    H.index_fingerprints(spark.createDataFrame(frames[100:], "clip string, frame int, h long"), path)
+    for full in (64, 2):
+        monkeypatch.setattr(H, "FULL", full)
+        got = {(r["h"], r["other"]) for r in H.near_stored(spark.createDataFrame([(signed(h),) for h in batch], "h long"), path).collect()}
+        assert got == {(signed(a), signed(b)) for a, b in brute_near(batch, stored)}
+
+
+def test_few_folders_of_the_index_are_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    frames = spark.range(3000).select(F.lit("c").alias("clip"), F.lit(0).alias("frame"), F.xxhash64("id").alias("h"))
+    H.index_fingerprints(frames, path)
+    H._touched(spark.read.parquet(f"{path}/bands"), frames.limit(1).select(F.lit(2).alias("band"), F.lit(7).alias("cell"))).count()
+    one = H._touched(spark.read.parquet(f"{path}/bands"), spark.createDataFrame([(2, 7), (2, 9), (0, 1)], "band int, cell int"))
+    files = {f.split("bands/")[1].rsplit("/", 1)[0] for f in one.select(F.col("_metadata.file_path")).distinct().toPandas()["file_path"]}
+    assert files == {"band=2/cell=7", "band=2/cell=9", "band=0/cell=1"}
+    assert "PartitionFilters: [((" in one._jdf.queryExecution().toString()
+    assert H._touched(spark.read.parquet(f"{path}/bands"), spark.createDataFrame([], "band int, cell int")).count() == 0
+
+
+def test_clips_near_to_stored_ones(spark, tmp_path):
+    """Planted: three of four frames near, two, one, none, a frame that every stored clip has, and unreadable entries."""
+    rng = random.Random(2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    black = 0
+    clips = {f"s{i}": [black] + [rng.getrandbits(64) for _ in range(3)] for i in range(40)}
+    text = lambda hs: ",".join(f"{h:016x}" for h in hs)
+    entries = [("video", "perceptual", text(hs)) for hs in clips.values()] + [("video", "perceptual", "zz,,12"), ("image", "perceptual", text([1, 2])), ("video", "hash", text([3]))]
+    stored = H.stored_frames(spark.createDataFrame(entries, "media_type string, key_kind string, key_value string"))
+    H.index_fingerprints(stored, str(tmp_path / "i"))
+    far = lambda: rng.getrandbits(64)
+    s0, s1 = clips["s0"], clips["s1"]
+    batch = {1: [s0[1] ^ 0b111, s0[2], s0[3] ^ 0b111111, far()], 2: [s1[1], black, far(), far()], 3: [s1[1] ^ 1, far(), far(), far()], 4: [far()] * 4, 5: [black], 6: [s1[1] ^ 0x7F, s1[2] ^ 0x7F, far(), far()]}
+    rows = [(c, k, signed(h)) for c, hs in batch.items() for k, h in enumerate(hs)]
+    got = {(r["a_clip"], r["used"], r["share"]) for r in H.near_stored_clips(spark.createDataFrame(rows, "clip long, frame int, h long"), str(tmp_path / "i")).collect()}
+    assert got == {(1, text(s0), 0.75), (2, text(s1), 0.5)} | {(5, text(hs), 1.0) for hs in clips.values()}
+    assert spark.range(1).select(H.fingerprint(F.array(*(F.lit(signed(h)) for h in s0)))).first()[0] == text(s0)
