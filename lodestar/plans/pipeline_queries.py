@@ -12,6 +12,7 @@ from ..operators import fingerprints as H
 from ..operators import media as M
 from ..sources import readers as I
 from ..sources.folders import shared_folder
+from ..sources.snapshots import read_snapshot, write_snapshot
 from ..streaming import streams as W
 from . import fixtures as X
 from . import pipelines as E
@@ -157,8 +158,12 @@ def search_items(spark, d):
 
 @query(X.with_("media media_history", "SELECT * FROM media_history UNION SELECT 'video', 'hash', sha FROM media"))
 def upserted_history(spark, d):
+    """The history with the hashes of all media, each step a committed snapshot."""
     new = X.media(spark, d).select(F.lit("video").alias("media_type"), F.lit("hash").alias("key_kind"), F.col("sha").alias("key_value"))
-    return M.upsert_history(X.media_history(spark, d), new)
+    path = shared_folder(spark, "media-history")
+    write_snapshot(X.media_history(spark, d), path)
+    write_snapshot(M.upsert_history(read_snapshot(spark, path), new), path)
+    return read_snapshot(spark, path)
 
 
 @query("SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS sha FROM documents WHERE octet_length(encode(text)) >= 500")

@@ -110,27 +110,46 @@ def read_media_history(spark: SparkSession, path: str) -> DataFrame:
     return history_rows(spark.read.schema(MEDIA_HISTORY).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
+def _recovered(fs, target, aside) -> None:
+    """Put a table that was set aside back in its place, if a failure left none there."""
+    if fs.exists(aside) and not fs.exists(target) and not fs.rename(aside, target):
+        raise OSError(f"{aside} cannot be put back in the place of {target}")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write df beside path, then put it in path's place.
 
-    The old table is set aside before and deleted after, so a failure in between loses
-    neither, and what was set aside is found again by the next call.
+    The old table is set aside before and deleted after. A failure in between leaves it set
+    aside, and the next call, or recover_table(), puts it back before anything else. For
+    readers that must never find a moment without a table, see snapshots.write_snapshot().
     """
     spark = df.sparkSession
+    recover_table(spark, path)
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = target.getFileSystem(conf)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before")
+    fs, target, aside, new = _places(spark, path, staged)
     if fs.exists(target):
         fs.delete(aside, True)
-        fs.rename(target, aside)
+        if not fs.rename(target, aside):
+            raise OSError(f"{path} cannot be set aside")
     if not fs.rename(new, target):
+        _recovered(fs, target, aside)
         raise OSError(f"{staged} cannot be put in the place of {path}")
     fs.delete(aside, True)
 
 
+def _places(spark: SparkSession, path: str, staged: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    target = at(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, at(f"{path.rstrip('/')}.before"), at(staged)
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Undo a replace_table() that failed after it had set the old table aside."""
+    fs, target, aside, _ = _places(spark, path, path)
+    _recovered(fs, target, aside)
+
+
 def inventory_media(spark: SparkSession, path: str, least_bytes: int, most_bytes: int = C.MAX_BYTES) -> DataFrame:
     """(path, size, sha) of the files within the limits; the others' bytes are not hashed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
