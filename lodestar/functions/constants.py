@@ -81,3 +81,7 @@ TEMPLATE_OPENINGS = ("Start with", "Deep explanation", "Open with")
 # File endings of images and of clips.
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
 CLIP_ENDINGS = (".mp4",)
+
+# Seconds of the shortest even segment, of a still and of an opening; rounds of even segments, and pieces of whole clips at most.
+LEAST_SEGMENT, STILL_SECONDS, OPENING_SECONDS = 1.5, 2.5, 3.0
+CYCLES, MOST_PIECES = 20, 201

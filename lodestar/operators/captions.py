@@ -124,6 +124,72 @@ def loop_playlist(tracks: DataFrame, target: Column, playlist: str, order: str,
     return placed.withColumn("played", F.least(F.col("duration"), F.col("_target") - F.col("start"))).drop("_target")
 
 
+#: Rules by which a section's media fill its length: the least rest that is still filled, and the most pieces for n items.
+RULES = {"even": (0.05, lambda n: n * C.CYCLES + 1), "whole": (0.0, lambda n: F.lit(C.MOST_PIECES)), "stills": (0.01, None)}
+
+
+def fill_segments(media: DataFrame, sections: DataFrame, rule: str, openings: DataFrame | None = None, script: str = "script_id", section: str = "section_id") -> DataFrame:
+    """The segments that fill each section with its media in turn: script, section, segment (from 0), path, start, length.
+
+    media: script, section, pos, path, kind, seconds (of a clip). sections: script, section,
+    seconds. Items come round in order of pos until the section is full; the last segment is
+    cut. By rule:
+
+    * even: every item plays as long, an equal share of the section but 1.5 seconds at least.
+      openings (script, section, path) play before for 3 seconds, and such an item comes
+      round only where there is no other.
+    * whole: clips play whole; images and clips without a length take no part.
+    * stills: images play 2.5 seconds, clips whole and 0.1 seconds at least.
+
+    Where an item's turns start follows from its place in the round and the round's length,
+    so only the segments themselves are made. Sections without usable media or without a
+    length have none.
+    """
+    key, (rest, most) = [script, section], RULES[rule]
+    image = F.coalesce(F.col("kind") == "image", F.lit(False))
+    m = media.select(*key, "pos", "path", image.alias("_image"), F.col("seconds").cast("double").alias("_own"))
+    target = sections.select(*key, F.col("seconds").cast("double").alias("_target")).filter("_target > 0")
+    first = None
+    if openings is not None:
+        first = openings.select(*key, F.col("path").alias("_opening"))
+        target = target.join(first, key, "left")
+        target = target.withColumn("_base", F.when(F.col("_opening").isNotNull(), F.least(F.lit(C.OPENING_SECONDS), F.greatest("_target", F.lit(0.1)))).otherwise(0.0))
+        # Without another item the opening comes round.
+        m = m.join(first, key, "left").withColumn("_again", F.coalesce(F.col("path") == F.col("_opening"), F.lit(False)))
+        m = m.withColumn("_others", F.min("_again").over(Window.partitionBy(*key))).filter(~F.col("_again") | F.col("_others")).drop("_opening", "_again", "_others")
+    else:
+        target = target.withColumn("_base", F.lit(0.0))
+    if rule == "whole":
+        m = m.filter(~F.col("_image") & (F.col("_own") > 0))
+    m = m.join(target, key)
+    n, i = F.count("*").over(Window.partitionBy(*key)), F.row_number().over(Window.partitionBy(*key).orderBy("pos", "path")) - 1
+    m = m.withColumn("_n", n).withColumn("_i", i)
+    step = {
+        "even": F.greatest((F.col("_target") - F.col("_base")) / F.col("_n"), F.lit(C.LEAST_SEGMENT)),
+        "whole": F.col("_own"),
+        "stills": F.when(F.col("_image"), F.lit(C.STILL_SECONDS)).otherwise(F.greatest(F.coalesce("_own", F.lit(0.0)), F.lit(0.1))),
+    }[rule]
+    m = m.withColumn("_step", step).withColumn("_round", F.sum("_step").over(Window.partitionBy(*key)))
+    m = m.withColumn("_first", F.col("_base") + F.coalesce(F.sum("_step").over(_before(key, "_i")), F.lit(0.0)))
+    room = F.col("_target") - F.lit(rest)
+    turns = F.ceil((room - F.col("_first")) / F.col("_round")).cast("int")
+    if most is not None:
+        turns = F.least(turns, F.floor((most(F.col("_n")) - 1 - F.col("_i")) / F.col("_n")).cast("int") + 1)
+    each = m.filter(F.col("_first") < room).select("*", F.explode(F.sequence(F.lit(0), turns)).alias("_turn"))
+    start = F.col("_first") + F.col("_turn") * F.col("_round")
+    number = F.col("_turn") * F.col("_n") + F.col("_i")
+    each = each.withColumn("start", start).withColumn("segment", number.cast("long")).filter(F.col("start") < room)
+    if most is not None:
+        each = each.filter(F.col("segment") < most(F.col("_n")))
+    out = each.select(*key, "segment", "path", "start", F.least("_step", F.col("_target") - F.col("start")).alias("length"))
+    if first is None:
+        return out
+    opened = target.filter("_opening is not null")
+    before = opened.select(*key, F.lit(0).cast("long").alias("segment"), F.col("_opening").alias("path"), F.lit(0.0).alias("start"), F.col("_base").alias("length"))
+    later = out.join(opened.select(*key, F.lit(1).alias("_one")), key, "left").withColumn("segment", F.col("segment") + F.coalesce("_one", F.lit(0)))
+    return before.unionByName(later.drop("_one"))
+
+
 def clean_narration(sections: DataFrame, script: str, section: str, text: str) -> DataFrame:
     """One narration for each script: sections in order, without blank ones and template openings."""
     t = F.trim(F.coalesce(F.col(text), F.lit("")))

@@ -155,6 +155,24 @@ def script_media(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def segment_media(spark: SparkSession, d: str) -> DataFrame:
+    """Media of sections with the seconds of clips, some unknown or 0."""
+    m = script_media(spark, d)
+    k = F.col("script_id") * 7 + F.col("section_id") * 3 + F.col("pos")
+    return m.withColumn("seconds", F.when((F.col("kind") == "video") & (k % 9 != 4), k % 7 * 0.5))
+
+
+def segment_sections(spark: SparkSession, d: str) -> DataFrame:
+    return sections(spark, d).select("script_id", "section_id", (F.col("n") % 23 * 1.5).alias("seconds"))
+
+
+def openings(spark: SparkSession, d: str) -> DataFrame:
+    """For every other script the first item of its first section with media."""
+    m = script_media(spark, d).filter("script_id % 2 = 0")
+    first = m.groupBy("script_id").agg(F.min_by(F.struct("section_id", "path"), F.struct("section_id", "pos", "path")).alias("f"))
+    return first.select("script_id", "f.section_id", "f.path")
+
+
 def quota_cands(spark: SparkSession, d: str) -> DataFrame:
     """Listed items for each section: 4 tiers of 3 results, with ids that come again in a script."""
     s = sections(spark, d).select("script_id", "section_id", "n", F.explode(F.expr("sequence(1, 4)")).alias("tier"))
@@ -332,6 +350,32 @@ SQL["headers"] = """headers AS (
   SELECT script_id, CASE script_id % 4 WHEN 0 THEN topic WHEN 1 THEN 'of a' WHEN 2 THEN 'quite another subject' END AS own_topic,
          CASE WHEN script_id % 3 = 0 THEN hook_question END AS own_trend, CASE WHEN script_id % 6 = 1 THEN 'Sports ' END AS own_domain
   FROM research WHERE script_id % 10 <> 9)"""
+SQL["segments"] = """segment_items AS (
+  SELECT m.script_id, m.section_id, m.pos, m.path, m.kind, s.n % 23 * CAST(1.5 AS DOUBLE) AS target,
+         CASE WHEN m.kind = 'video' AND (s.n + m.pos) % 9 <> 4 THEN (s.n + m.pos) % 7 * CAST(0.5 AS DOUBLE) END AS own
+  FROM script_media m JOIN sections s USING (script_id, section_id) WHERE s.n % 23 > 0),
+firsts AS (
+  SELECT script_id, section_id, path AS opening FROM script_media WHERE script_id % 2 = 0
+  QUALIFY row_number() OVER (PARTITION BY script_id ORDER BY section_id, pos, path) = 1),
+ruled AS (
+  SELECT 'even' AS rule, i.*, opening, CASE WHEN opening IS NULL THEN 0.0 ELSE least(3.0, greatest(target, 0.1)) END AS base
+  FROM segment_items i LEFT JOIN firsts USING (script_id, section_id)
+  QUALIFY opening IS NULL OR path <> opening OR min(CAST(path = opening AS INTEGER)) OVER (PARTITION BY script_id, section_id) = 1
+  UNION ALL SELECT 'whole', *, NULL, 0.0 FROM segment_items WHERE kind <> 'image' AND own > 0
+  UNION ALL SELECT 'stills', *, NULL, 0.0 FROM segment_items),
+numbered AS (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY rule, script_id, section_id) AS n FROM ruled
+  WINDOW w AS (PARTITION BY rule, script_id, section_id ORDER BY pos, path)),
+stepped AS (
+  SELECT *, CAST(CASE rule WHEN 'even' THEN greatest((target - base) / n, 1.5) WHEN 'whole' THEN own ELSE CASE WHEN kind = 'image' THEN 2.5 ELSE greatest(coalesce(own, 0), 0.1) END END AS DOUBLE) AS step,
+         CASE rule WHEN 'even' THEN 0.05 WHEN 'whole' THEN 0 ELSE 0.01 END AS rest, CASE rule WHEN 'even' THEN 20 * n + 1 WHEN 'whole' THEN 201 ELSE 1000000 END AS most
+  FROM numbered),
+turns AS (
+  SELECT rule, script_id, section_id, CAST(0 AS BIGINT) AS k, CAST(base AS DOUBLE) AS start FROM stepped WHERE i = 0 AND base < target - rest
+  UNION ALL
+  SELECT t.rule, t.script_id, t.section_id, k + 1, start + least(step, target - start)
+  FROM turns t JOIN stepped s ON t.rule = s.rule AND t.script_id = s.script_id AND t.section_id = s.section_id AND s.i = k % s.n
+  WHERE start + least(step, target - start) < target - rest AND k + 1 < most)"""
 SQL["used"] = """used AS (
   SELECT clip AS used_clip, frame, xor(h, (CAST(1 AS BIGINT) << CAST((3 * frame + clip % 5) % 9 AS INTEGER)) - 1) AS h
   FROM fp WHERE clip < 1000000000 AND clip % 6 = 1)"""

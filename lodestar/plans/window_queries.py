@@ -275,3 +275,16 @@ def stamped_scripts(spark, d):
 || repeat('─', 29) || chr(10) || coalesce(array_to_string(list_transform(tags, lambda t: '#' || t), ' '), '') AS description FROM research"""))
 def upload_descriptions(spark, d):
     return X.research(spark, d).select("script_id", S.upload_description(F.col("hook_question"), F.col("tags")).alias("description"))
+
+
+@query("WITH RECURSIVE " + X.with_("sections script_media segments", """SELECT t.rule, t.script_id, t.section_id, k + CAST(opening IS NOT NULL AS BIGINT) AS segment, path, start, least(step, target - start) AS length
+FROM turns t JOIN stepped s ON t.rule = s.rule AND t.script_id = s.script_id AND t.section_id = s.section_id AND s.i = k % s.n
+UNION ALL SELECT DISTINCT rule, script_id, section_id, CAST(0 AS BIGINT), opening, CAST(0 AS DOUBLE), CAST(base AS DOUBLE) FROM stepped WHERE opening IS NOT NULL""").removeprefix("WITH "))
+def section_segments(spark, d):
+    """Sections filled with their media by each rule; the SQL goes on from segment to segment."""
+    m, s, o = X.segment_media(spark, d), X.segment_sections(spark, d), X.openings(spark, d)
+    out = None
+    for rule in K.RULES:
+        one = K.fill_segments(m, s, rule, o if rule == "even" else None).withColumn("rule", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out
