@@ -261,7 +261,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     order = ["length", "spread", "mark", "doc_id", "piece"]
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Alike pieces of one length are in no order of their own: any of them can stand in any of their places.
-    laid = cut.withColumn("spread", F.xxhash64("doc_id", "mark", "piece")).repartitionByRange(parts, *order)
+    # Written first: range partitions are laid out from a sample of their input, which would encode all texts twice.
+    laid = checkpointed(cut.withColumn("spread", F.xxhash64("doc_id", "mark", "piece"))).repartitionByRange(parts, *order)
     laid = checkpointed(laid.withColumn("part", F.spark_partition_id()))
     counts = laid.groupBy("part", "length").agg(F.count("*").alias("n"))
     # One row for each partition and length that meet: partitions plus lengths at most.
