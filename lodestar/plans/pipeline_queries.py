@@ -245,6 +245,19 @@ def streamed_media(spark, d):
     return spark.read.parquet(out).select("sha")
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id * 5 + CAST(round(value) AS BIGINT) % 5 AS sha, ts FROM events UNION SELECT user_id * 5, TIMESTAMP '2023-12-31 12:00:00' FROM events WHERE user_id % 3 = 0),
+r AS (SELECT sha, min(ts) AS ts FROM e GROUP BY sha
+  UNION ALL SELECT sha, next AS ts FROM (SELECT r.sha, min(e.ts) AS next FROM r JOIN e ON e.sha = r.sha AND e.ts >= r.ts + INTERVAL 72 HOUR GROUP BY r.sha, r.ts))
+SELECT sha, ts FROM r WHERE ts >= TIMESTAMP '2024-01-01'""")
+def streamed_expiring(spark, d):
+    """Contents that a stream lets through once in 72 hours, by state that a history began and that expires."""
+    rows = X.load(spark, d, "events")
+    sha = (F.col("user_id") * 5 + F.round("value").cast("long") % 5).alias("sha")
+    before = rows.filter("user_id % 3 = 0").select((F.col("user_id") * 5).alias("sha"), F.lit("2023-12-31 12:00:00").cast("timestamp").alias("ts")).distinct()
+    with W.rocksdb(spark):
+        return _streamed(spark, d, "events", lambda s: W.stream_seen(s.select(sha, "ts"), "sha", "ts", 72, before)).select("sha", "ts")
+
+
 @query(X.with_("base cand", "SELECT video_id, CAST(ceil(rank / 20.0) AS BIGINT) AS batch FROM (SELECT video_id, views, row_number() OVER (ORDER BY trend_score DESC, views DESC, video_id) AS rank FROM cand WHERE source = 'A') WHERE views % 2 = 1 AND ceil(rank / 20.0) <= 4 ORDER BY rank LIMIT 1"))
 def first_accepted(spark, d):
     """The first acceptable row of the first batch that has one."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
 from ..operators.similarity import anti_similar
@@ -64,3 +68,81 @@ def stream_seen_media(media: DataFrame, history_path: str, out_path: str, checkp
         done.select("sha").write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
     return media.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Seen(StatefulProcessor):
+    """Lets a key's row through if none was let through in the time to live before it; the state goes when that has passed."""
+
+    def __init__(self, live: int) -> None:
+        self.live = live
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def _put(self, us: int) -> None:
+        self.last.update((us,))
+        self.handle.registerTimer((us + self.live) // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._put(int(initialState["micros"].max()))
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [r for r in rows if len(r)]
+        if not parts:  # a key that has begun with its state alone
+            return
+        last = self.last.get()[0] if self.last.exists() else None
+        now, kept = last, []
+        batch = pd.concat(parts).sort_values("micros", kind="stable")
+        for at, us in enumerate(batch["micros"].tolist()):
+            if now is None or us >= now + self.live:
+                now = us
+                kept.append(at)
+        if now != last:
+            self._put(now)
+        if kept:
+            yield batch.iloc[kept]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # A later row may have set the time anew, with a timer of its own.
+        if self.last.exists() and self.last.get()[0] + self.live <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_seen(rows: DataFrame, key: str, ts: str, hours: int = C.WINDOW_HOURS, seen: DataFrame | None = None) -> DataFrame:
+    """The rows of a stream whose key was not let through in the `hours` before, by state that expires.
+
+    Each key's state is the time of the row last let through. A row at least `hours` later
+    is let through again; when the watermark (as long again) has passed that point, the
+    state goes, so it holds the keys of the last days and no history is read in a batch.
+    `seen` (key, ts) are rows of before: they are the state of the first batch.
+
+    Rows of one key in a batch are taken in order of time; those older than the watermark
+    are dropped. Rows without a time are dropped; null keys are one key. The state store
+    must be RocksDB's (see rocksdb()).
+    """
+    names = rows.columns
+    # The operator's rows come with names that must be plain words.
+    plain = [f"c{i}" for i in range(len(names))]
+    micros = lambda df, k: df.withColumn("micros", F.unix_micros(k)).filter("micros is not null")
+    at = plain[names.index(ts)]
+    marked = micros(_timed(rows, ts).toDF(*plain), at).withWatermark(at, f"{hours} hours")
+    before = None if seen is None else micros(_timed(seen.select(F.col(key).alias("key"), F.col(ts).alias("at")), "at"), "at").groupBy("key")
+    processor = _Seen(hours * 3_600_000_000)
+    found = marked.groupBy(plain[names.index(key)]).transformWithStateInPandas(processor, marked.schema, "Append", "EventTime", before)
+    return found.drop("micros").toDF(*names)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams started within keep their state in RocksDB, as operators with state of their own need."""
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
