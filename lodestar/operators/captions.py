@@ -83,13 +83,39 @@ def merge_cues(cues: DataFrame, parts: DataFrame, script: str, part: str) -> Dat
     return met.withColumn("start_ms", F.col("start_ms") + F.col("offset_ms")).withColumn("end_ms", F.col("end_ms") + F.col("offset_ms"))
 
 
+#: Ticks of a second in which intervals are laid on grids.
+_TICKS = 1000
+
+
+def _met(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, script: str) -> DataFrame:
+    """points joined with the intervals of their script that hold them up to a tick, without a product within a script.
+
+    An interval lies on a grid with cells of about its own length, in three of them at
+    most. A point is looked up on every grid that its script has, so it meets the
+    intervals next to it and no others, however many there are.
+    """
+    tick = lambda c: F.floor(F.col(c) * _TICKS).cast("long")
+    placed = intervals.filter(F.col(end) >= F.col(start)).withColumns({"_a": tick(start), "_b": tick(end)})
+    placed = placed.withColumn("_grid", F.ceil(F.log2(F.col("_b") - F.col("_a") + 1)).cast("int"))
+    cell = lambda c: F.expr(f"shiftright({c}, _grid)")
+    placed = placed.withColumn("_cell", F.explode(F.sequence(cell("_a"), cell("_b"))))
+    grids = placed.select(F.col(script).alias("_gs"), "_grid").distinct()
+    asked = points.withColumn("_at", tick(at)).join(grids, F.col(script) == F.col("_gs")).drop("_gs").withColumn("_cell", cell("_at")).drop("_at")
+    return asked.join(placed.drop("_a", "_b"), [script, "_grid", "_cell"]).drop("_grid", "_cell")
+
+
 def clip_cues(cues: DataFrame, sections: DataFrame, script: str) -> DataFrame:
     """Cues of each section they overlap, in the section's own time and numbered anew.
 
-    cues: script, start, end, text. sections: script, section_id, start, duration.
+    cues: script, start, end, text. sections: script, section_id, start, duration. A cue
+    overlaps a section if it begins in it or the section begins in the cue: two joins of
+    points with intervals.
     """
     s = sections.select(script, "section_id", F.col("start").alias("s0"), (F.col("start") + F.col("duration")).alias("s1"), "duration")
-    met = cues.join(s, script).filter((F.col("end") > F.col("s0")) & (F.col("start") < F.col("s1")))
+    c = cues.select(script, "start", "end", "text")
+    begins = _met(c, "start", s, "s0", "s1", script).filter((F.col("s0") <= F.col("start")) & (F.col("start") < F.col("s1")))
+    holds = _met(s, "s0", c, "start", "end", script).filter((F.col("start") < F.col("s0")) & (F.col("s0") < F.col("end")))
+    met = begins.unionByName(holds)
     local = met.withColumn("local_start", F.greatest(F.lit(0.0), F.col("start") - F.col("s0")))
     local = local.withColumn("local_end", F.least(F.col("duration"), F.col("end") - F.col("s0")))
     local = local.filter((F.col("local_end") > F.col("local_start")) & (F.trim("text") != ""))
@@ -97,22 +123,38 @@ def clip_cues(cues: DataFrame, sections: DataFrame, script: str) -> DataFrame:
     return local.select(script, "section_id", number.alias("number"), "local_start", "local_end", F.trim("text").alias("text"))
 
 
+def _first_holding(points: DataFrame, point: str, intervals: DataFrame, script: str, order: list[str], value: str) -> DataFrame:
+    """(script, point, value) of the first interval, in the given order, with start <= point < end; null if there is none.
+
+    intervals: script, start, end, value. In that order, which must begin with the start,
+    the first interval that ends after the point is the first at which the latest end so far
+    exceeds it. So only intervals that raise it count, and each point takes the one with
+    the least such end beyond it: one sort of points and ends, and a last value.
+    """
+    so_far = F.max("end").over(_before([script], *order))
+    rising = intervals.withColumn("_so_far", so_far).filter(F.col("_so_far").isNull() | (F.col("end") > F.col("_so_far")))
+    ends = rising.select(script, F.col("end").cast("double").alias("_v"), F.lit(1).alias("_k"), F.struct("start", value).alias("_i"))
+    asked = points.select(script, F.col(point).alias("_p")).distinct()
+    asked = asked.select(script, F.col("_p").cast("double").alias("_v"), F.lit(0).alias("_k"), "_p")
+    w = Window.partitionBy(script).orderBy(F.desc("_v"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.unionByName(asked, allowMissingColumns=True).withColumn("_i", F.last("_i", ignorenulls=True).over(w)).filter("_k = 0")
+    found = F.when(F.col("_i.start") <= F.col("_p"), F.col(f"_i.{value}"))
+    return met.select(script, F.col("_p").alias(point), found.alias(value))
+
+
 def caption_at(points: DataFrame, cues: DataFrame, script: str, point: str) -> DataFrame:
     """The text of the first cue with start <= point < end, '' if there is none."""
-    c = cues.select(F.col(script).alias("_s"), F.col("start").alias("c0"), F.col("end").alias("c1"), F.col("text").alias("_t"))
-    at = F.col(point)
-    met = points.join(c, (F.col(script) == F.col("_s")) & (F.col("c0") <= at) & (at < F.col("c1")), "left")
-    first = met.groupBy(script, point).agg(F.min_by("_t", F.struct("c0", "c1", "_t")).alias("caption"))
-    return first.withColumn("caption", F.coalesce("caption", F.lit("")))
+    c = cues.filter("start is not null and end is not null").select(script, "start", "end", F.col("text").alias("caption"))
+    found = _first_holding(points, point, c, script, ["start", "end", "caption"], "caption")
+    return found.withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
 def section_at(points: DataFrame, sections: DataFrame, script: str, point: str) -> DataFrame:
     """The section whose interval holds the point, else the script's last."""
-    s = sections.select(F.col(script).alias("_s"), "section_id", F.col("start").alias("s0"), (F.col("start") + F.col("duration")).alias("s1"))
-    last = s.groupBy("_s").agg(F.max_by("section_id", F.struct("s0", "section_id")).alias("last"))
-    at = F.col(point)
-    met = points.join(s, (F.col(script) == F.col("_s")) & (F.col("s0") <= at) & (at < F.col("s1")), "left").drop("_s")
-    first = met.groupBy(script, point).agg(F.min_by("section_id", F.struct("s0", "section_id")).alias("found"))
+    s = sections.select(script, "section_id", "start", (F.col("start") + F.col("duration")).alias("end"))
+    last = s.groupBy(F.col(script).alias("_s")).agg(F.max_by("section_id", F.struct("start", "section_id")).alias("last"))
+    known = s.filter("start is not null and end is not null")
+    first = _first_holding(points, point, known, script, ["start", "section_id"], "section_id").withColumnRenamed("section_id", "found")
     return first.join(last, F.col(script) == F.col("_s"), "left").select(script, point, F.coalesce("found", "last").alias("section_id"))
 
 
