@@ -44,8 +44,13 @@ def _shard(lang: str, numbers: defaultdict, parts: list[np.ndarray], longest: in
     symbols = symbols[word | np.roll(word, 1)]  # one end after each piece
     if not word.any():
         return None
-    vocabulary = b" ".join(w for w, n in numbers.items() if n > 0)
-    packed = zstandard.ZstdCompressor(level=1).compress(vocabulary)
+    # From now on words are numbered in byte order, so phrases in the order of their numbers share their beginnings.
+    vocabulary = [w for w, n in numbers.items() if n > 0]
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    place = np.zeros(len(vocabulary) + 1, dtype=np.int32)
+    place[np.array(order, dtype=np.int64) + 1] = np.arange(1, len(vocabulary) + 1)
+    symbols = place[symbols]
+    packed = zstandard.ZstdCompressor(level=1).compress(b" ".join(map(vocabulary.__getitem__, order)))
     return (lang, int(word.sum()), packed, *Index.of(symbols, longest).pack())
 
 
@@ -96,8 +101,10 @@ class Shard:
         return np.fromiter(chain([0], of), dtype=np.uint64, count=1 + len(self.words)).view(np.int64)
 
     def rows(self, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase, n) of phrases by their words' numbers."""
+        """(lang, phrase, n) of phrases by their words' numbers, in order."""
         own = pa.array(self.words, pa.binary())
+        order = np.lexsort(words.T[::-1])
+        words, n = words[order], n[order]
         for at in range(0, len(n), ROWS):
             part = words[at : at + ROWS]
             phrase = pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in part.T), b" ").cast(pa.string())
@@ -113,7 +120,8 @@ def _summed(shards: DataFrame, of, least: int) -> DataFrame:
             for at in range(batch.num_rows):
                 yield from of(Shard(batch.slice(at, 1).to_pylist()[0]))
 
-    rows = shards.mapInArrow(each, "lang string, phrase string, n long")
+    # A shard's rows are distinct: nothing is gained by summing them up before they are dealt out, and their order is kept.
+    rows = shards.mapInArrow(each, "lang string, phrase string, n long").repartition("lang", "phrase")
     return checkpointed(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
 
 
