@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -26,10 +27,13 @@ KEPT = 1_000_000
 _WHITE = "\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Before a space that follows no white space a text may be cut without changing its tokens.
 _CUT = re.compile(rf"(?<=[^{_WHITE} ])(?= )")
-#: A space between white space: there the cut at every space would differ.
-_BETWEEN = re.compile(rf"[{_WHITE}] [{_WHITE}]")
-#: Letters and the punctuation at their end, which no merge crosses.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
+#: White space before a space: between white space a cut at every space would differ.
+_ENDING = [chr(c) + " " for c in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Byte to the character that stands for it in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
+#: Letters, and the punctuation at their end, to which no merge crosses.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 
 
 class Encoder:
@@ -46,6 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids of stretches at the start of a text, and of those after the first, without the space they begin with.
         self.kept, self.first, self.later = kept, {}, {}
@@ -60,47 +65,63 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        new = list(parts.difference(known))
-        known.update(zip(new, self._ids([before + p for p in new])))
-
-    def _learn_later(self, parts: set[str]) -> None:
-        plain, marked = set(), []
-        for p in parts.difference(self.later):
-            if m := _MARKED.fullmatch(p):
-                marked.append((p, *m.groups()))
-                plain.add(m[1])
-            else:
+        return [_bytes(e.ids) for e in found]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters: one stretch for the merges, whatever stands around it."""
+        if word not in self.later:
+            letters = " " + word
+            self.later[word] = _bytes([t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, letters.encode())))])
+        return self.later[word]
+
+    def _learn_first(self, parts: list[str]) -> None:
+        new = list(set(parts).difference(self.first))
+        self.first.update(zip(new, self._ids(new)))
+
+    def _learn_later(self, parts: list[str]) -> None:
+        plain, marked = set(), set()
+        for p in parts:
+            if not (m := _MARKED.fullmatch(p)):
                 plain.add(p)
-        self._learn(self.later, plain, " ")
-        self._learn(self.first, {m for *_, m in marked}, "")
+            elif m[2]:
+                marked.add((p, *m.groups()))
+            else:
+                self._word(p)
+        new = list(plain.difference(self.later))
+        self.later.update(zip(new, self._ids([" " + p for p in new])))
+        self._learn_first([marks for *_, marks in marked])
         for p, letters, marks in marked:
-            self.later[p] = self.later[letters] + self.first[marks]
+            self.later[p] = self._word(letters) + self.first[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > self.kept:
             self.first, self.later = {}, {}
-        cut: list[tuple[list[str], list[str]] | None] = []
-        first: set[str] = set()
-        later: set[str] = set()
+        out: list[list] = []
+        gaps: list[tuple[int, int, str]] = []
         for text in texts:
             if any(s in text for s in self.special):
-                cut.append(None)
+                out.append(self._ids([text]))
                 continue
             parts = text.split(" ")
-            if "" in parts or _BETWEEN.search(text):
-                cut.append((_CUT.split(text), []))
-            else:
-                # The parts after the first begin with the space before them.
-                cut.append((parts[:1], parts[1:]))
-            first.update(cut[-1][0])
-            later.update(cut[-1][1])
-        self._learn(self.first, first, "")
-        self._learn_later(later)
-        at_first, at_later = self.first.__getitem__, self.later.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join([*map(at_first, c[0]), *map(at_later, c[1])]) for t, c in zip(texts, cut)]
+            if "" in parts or any(map(text.__contains__, _ENDING if not text.isascii() else _ENDING[:9])):
+                parts = _CUT.split(text)
+                self._learn_first(parts)
+                out.append(list(map(self.first.__getitem__, parts)))
+                continue
+            # The parts after the first begin with the space before them.
+            self._learn_first(parts[:1])
+            found = [self.first[parts[0]], *map(self.later.get, parts[1:])]
+            if None in found:
+                gaps += [(len(out), at, parts[at]) for at, ids in enumerate(found) if ids is None]
+            out.append(found)
+        self._learn_later([p for *_, p in gaps])
+        for of, at, p in gaps:
+            out[of][at] = self.later[p]
+        return list(map(b"".join, out))
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
