@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from . import gates as G
 
 
 def _terms(df: DataFrame, key: str, text: str, kinds: dict[str, Column]) -> DataFrame:
@@ -58,3 +59,56 @@ def matching_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: st
     enough = lambda k, few: (F.col(f"n_{k}") > 0) & (F.col(k) >= F.least(F.lit(few), F.col(f"n_{k}")))
     found = met.select(doc_key, item_key, enough("topic", least).alias("terms_match"), (enough("subject", 2) | (F.col("anchor") > 0)).alias("subject_match"))
     return found.filter("terms_match or subject_match")
+
+
+def _weighted(items: DataFrame, query_weight: float, topic_weight: float) -> DataFrame:
+    """One row of each term of each item (item, q, t): item, term and what the term adds to a score."""
+    share = lambda of, x, w: F.when(F.array_contains(of, x), w / F.size(of)).otherwise(0.0)
+    each = items.select("item", "q", "t", F.explode(F.array_union("q", "t")).alias("term"))
+    return each.select("item", "term", (share(F.col("q"), F.col("term"), query_weight) + share(F.col("t"), F.col("term"), topic_weight)).alias("w"))
+
+
+def pairs_to_score(docs: DataFrame, items: DataFrame, cutoff: float, query_weight: float, topic_weight: float) -> DataFrame:
+    """(doc, item): the pairs that can reach the cutoff. docs: doc, m; items: item, q, t (arrays of terms).
+
+    A weighted prefix filter: an item's terms stand in order of how many documents have
+    them, the same order for all items. Its commonest terms that weigh less than the cutoff
+    together cannot reach it alone, so a document that does has one of the others, and
+    only those are looked up. So the commonest terms, which pair everything with
+    everything, meet nothing; what remains hot is left to AQE to split.
+    """
+    each = _weighted(items, query_weight, topic_weight)
+    held = docs.select("doc", F.explode("m").alias("term"))
+    times = held.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("times"))
+    commonest = Window.partitionBy("item").orderBy(F.desc("times"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    # Scores are rounded to six digits before they are compared; terms that no document has meet nothing.
+    needed = each.join(times, "term").withColumn("together", F.sum("w").over(commonest)).filter(F.col("together") >= cutoff - 2e-6)
+    return held.join(needed.select("item", "term"), "term").select("doc", "item").distinct()
+
+
+def shown_pairs(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_key: str,
+    item_key: str,
+    text: str = "text",
+    topic: str = "topic",
+    cutoff: float = 0.3,
+    query_weight: float = 0.7,
+    topic_weight: float = 0.3,
+) -> DataFrame:
+    """(doc_key, item_key, score) of all pairs that pass relevance_gate() with a relevance_score() of `cutoff` or more.
+
+    items have a text whose terms are the query and a topic of their own; docs a text. Pairs
+    that can reach the cutoff are found by pairs_to_score() and then scored. Rows with one
+    key and one text (and topic) are one entry. The cutoff must be above 0.
+    """
+    d = docs.select(F.col(doc_key).alias("key"), F.col(text).alias("text")).distinct()
+    d = d.select(F.struct("key", F.xxhash64("text").alias("mark")).alias("doc"), T.query_terms(F.col("text")).alias("m"))
+    i = items.select(F.col(item_key).alias("key"), F.col(text).alias("text"), F.col(topic).alias("topic")).distinct()
+    mark = F.xxhash64("text", F.col("text").isNull(), "topic", F.col("topic").isNull()).alias("mark")
+    i = i.select(F.struct("key", mark).alias("item"), T.query_terms(F.col("text")).alias("q"), T.topic_terms(F.col("topic")).alias("t"))
+    met = pairs_to_score(d, i, cutoff, query_weight, topic_weight).join(i, "item").join(d, "doc")
+    q, t, m = F.col("q"), F.col("t"), F.col("m")
+    scored = met.filter(G.relevance_gate(q, t, m)).withColumn("score", N.rounded(G.relevance_score(q, t, m, query_weight, topic_weight), 6))
+    return scored.filter(F.col("score") >= cutoff).select(F.col("doc.key").alias(doc_key), F.col("item.key").alias(item_key), "score")

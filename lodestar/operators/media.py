@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +138,7 @@ def quota_first_n(cands: DataFrame, k: int) -> DataFrame:
 def allocate_exact(cands: DataFrame, k: int) -> DataFrame:
     """As quota_first_n, but an item that a section left for its quota can go to a later one.
 
-    Each script is folded on its own. Earlier sections take at most k items each, so of the
+    Each script is folded on its own, section by section over its list. Earlier sections take at most k items each, so of the
     s-th section only the first k * s distinct items can matter; the others do not reach the
     fold, and a group is bounded by the sections of its script.
     """
@@ -149,20 +148,17 @@ def allocate_exact(cands: DataFrame, k: int) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("script_id").orderBy("section_id")).alias("_s")
     numbers = cands.select("script_id", "section_id").distinct().select("script_id", "section_id", number)
     needed = once.join(numbers, ["script_id", "section_id"]).filter(F.col("_place") <= k * F.col("_s"))
-    needed = needed.select("script_id", "section_id", "tier", "query", "pos", "item", "turn")
-    schema = "script_id long, section_id long, tier int, query int, pos int, item long, place int"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, count, out = rows.sort_values(["section_id", "tier", "turn", "pos", "item"]), set(), {}, []
-        for r in rows.itertuples(index=False):
-            n = count.get(r.section_id, 0)
-            if n < k and r.item not in used:
-                used.add(r.item)
-                count[r.section_id] = n + 1
-                out.append((r.script_id, r.section_id, r.tier, r.query, r.pos, r.item, n + 1))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return needed.groupBy("script_id").applyInPandas(fold, schema)
+    listed = needed.groupBy("script_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("tier", "turn", "pos", "item"))).alias("x"))
+    listed = listed.select("script_id", F.struct("section_id", F.transform("x", lambda x: x["item"]).alias("items")).alias("s"))
+    scripts = listed.groupBy("script_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    kinds = dict(cands.dtypes)
+    none = f"named_struct('used', cast(array() as array<{kinds['item']}>), 'taken', cast(array() as array<struct<section_id: {kinds['section_id']}, item: {kinds['item']}, place: int>>))"
+    # A section takes its first k items that no earlier one took; `own` stands for them.
+    step = f"""transform(array(slice(filter(x.items, i -> not array_contains(acc.used, i)), 1, {int(k)})), own -> named_struct('used', concat(acc.used, own),
+      'taken', concat(acc.taken, transform(own, (i, p) -> named_struct('section_id', x.section_id, 'item', i, 'place', p + 1)))))[0]"""
+    taken = scripts.select("script_id", F.explode(F.expr(f"aggregate(s, {none}, (acc, x) -> {step}, acc -> acc.taken)")).alias("t"))
+    taken = taken.select("script_id", "t.section_id", "t.item", "t.place")
+    return taken.join(needed, ["script_id", "section_id", "item"]).select("script_id", "section_id", "tier", "query", "pos", "item", "place")
 
 
 def fill_from_pool(media: DataFrame, sections: DataFrame, images_only: bool = True) -> DataFrame:

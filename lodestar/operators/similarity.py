@@ -55,3 +55,35 @@ def semi_similar(cands: DataFrame, history: DataFrame, key: str, text: str, used
     """Candidates whose text is similar to some used one."""
     found = _similar_ids(cands, history, key, text, used_key, used_text)
     return cands.join(found, F.col(key) == F.col("left_id"), "left_semi")
+
+
+#: Folders that the keys of used topics are kept in.
+CELLS = 64
+
+
+def _celled(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("cell", F.pmod(F.xxhash64("kind", "x", "y"), F.lit(CELLS)).cast("int"))
+
+
+def index_topics(topics: DataFrame, path: str, batch: int, topic: str = "topic") -> None:
+    """Keep the keys of used topics at path, under the batch's number and in folders by their hash; a batch written again replaces itself."""
+    keys = _keys(topics, topic, topic, "right_id", _LEFT, _RIGHT).select("kind", "x", "y").distinct()
+    _celled(keys).hint("rebalance", "cell").write.partitionBy("cell").mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def used_keys(cands: DataFrame, path: str, before: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(keys of the candidates, keys of the topics used before that batch): of the index only the folders that the candidates' keys fall into.
+
+    The list of folders that the driver gets is bounded by their number.
+    """
+    own = _celled(_keys(cands, key, text, "left_id", _RIGHT, _LEFT))
+    cells = sorted(r["cell"] for r in own.select("cell").distinct().collect())
+    kept = cands.sparkSession.read.schema("kind int, x string, y string, batch long, cell int").parquet(path)
+    return own, kept.filter((F.col("batch") < before) & F.col("cell").isin(cells))
+
+
+def anti_indexed(cands: DataFrame, path: str, before: int, key: str, text: str) -> DataFrame:
+    """As anti_similar(), against the index of the topics used before a batch."""
+    own, used = used_keys(cands, path, before, key, text)
+    found = own.join(used.select("kind", "x", "y").distinct(), ["kind", "x", "y"], "left_semi").select("left_id").distinct()
+    return cands.join(found, F.col(key) == F.col("left_id"), "left_anti")

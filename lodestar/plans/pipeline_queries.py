@@ -10,6 +10,7 @@ from ..operators import captions as K
 from ..operators import gates as G
 from ..operators import fingerprints as H
 from ..operators import media as M
+from ..operators import similarity as S
 from ..sources import readers as I
 from ..sources.folders import shared_folder
 from ..sources.snapshots import read_snapshot, write_snapshot
@@ -117,7 +118,7 @@ _API = """SELECT CAST(doc_id AS VARCHAR) AS video_id, source AS title, left(text
 CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS views, 'popular' AS source FROM documents WHERE doc_id % 5 <> 0"""
 
 
-def _pages(spark, d):
+def _pages(spark, d, numbered=False):
     """API pages of documents: counts are text, some not a number; some items lack a title or category."""
     i = F.col("doc_id")
     snippet = F.struct(
@@ -128,7 +129,7 @@ def _pages(spark, d):
     item = F.struct(i.cast("string").alias("id"), snippet.alias("snippet"), counts.alias("statistics"))
     # Pages of about fifty items.
     pages = X.load(spark, d, "documents").groupBy(F.floor(i / 50).alias("page")).agg(F.collect_list(item).alias("items"))
-    return pages.select(F.to_json(F.struct("items")).alias("value"))
+    return pages.select(*(["page"] if numbered else []), F.to_json(F.struct("items")).alias("value"))
 
 
 @query(_API)
@@ -140,6 +141,23 @@ def api_items(spark, d):
     return rows.select("video_id", "title", "description", "category_id", "views", "source")
 
 
+@query("""SELECT source, CAST(pages AS BIGINT) AS pages, CAST(failed AS BIGINT) AS failed, CAST(n_read AS BIGINT) AS n_read, CAST(n_refused AS BIGINT) AS n_refused, status, CASE WHEN status = 'read' THEN CAST(n_read AS BIGINT) ELSE 0 END AS n_rows FROM (
+SELECT 'popular' AS source, count(DISTINCT doc_id // 50) AS pages, 0 AS failed, count(*) FILTER (doc_id % 5 <> 0) AS n_read, count(*) FILTER (doc_id % 5 = 0) AS n_refused, 'read' AS status FROM documents
+UNION ALL SELECT 'search', count(DISTINCT doc_id // 50), count(DISTINCT doc_id // 50) FILTER (doc_id // 50 % 4 = 1), count(*) FILTER (doc_id % 5 <> 0 AND doc_id // 50 % 4 <> 1),
+  count(*) FILTER (doc_id % 5 = 0 AND doc_id // 50 % 4 <> 1), 'failed' FROM documents
+UNION ALL SELECT 'gone', 0, 0, 0, 0, 'missing')""")
+def source_report(spark, d):
+    """What was read, refused and failed of three sources: a whole one, one with pages cut off in the middle, one that is not there."""
+    good, cut = shared_folder(spark, "popular"), shared_folder(spark, "search")
+    pages = _pages(spark, d, numbered=True)
+    pages.select("value").write.text(good)
+    half = F.expr("left(value, cast(length(value) / 2 as int))")
+    pages.select(F.when(F.col("page") % 4 == 1, half).otherwise(F.col("value")).alias("value")).write.text(cut)
+    rows, report = I.checked_sources(spark, {"popular": (good, "28"), "search": (cut, "1"), "gone": (f"{good}-none", "2")})
+    n = rows.groupBy("source").agg(F.count("*").alias("n_rows"))
+    return report.join(n, "source", "left").na.fill(0, ["n_rows"])
+
+
 @query(X.with_("base", "SELECT video_id, title, 'A' AS source, views, CAST(NULL AS BIGINT) AS likes FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT video_id, title, 'B', NULL, likes FROM base WHERE doc_id % 2 = 1"))
 def united_sources(spark, d):
     c = X.cand(spark, d, scored=False).filter("source = 'A'")
@@ -235,6 +253,37 @@ def streamed_unused(spark, d):
     return spark.read.parquet(out).select("video_id")
 
 
+@query(X.with_("base history", f""", c AS (SELECT video_id, {_TOK('title')} AS a FROM base), h AS (SELECT {_TOK('topic')} AS b FROM history)
+SELECT video_id FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) >= least(2, len(a), len(b)))""").replace("\n,", ","))
+def streamed_indexed(spark, d):
+    """Unused candidates of a stream against the index of the topics used before."""
+    used, out, state = (shared_folder(spark, n) for n in ("topic-keys", "unused", "state"))
+    S.index_topics(X.history(spark, d), used, -1)
+    docs = W.stream_candidates(spark, f"{d}/documents.parque[t]", X.load(spark, d, "documents").schema, files=100_000)
+    cands = docs.select(F.col("doc_id").cast("string").alias("video_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"))
+    W.stream_unused_indexed(cands, used, out, state).awaitTermination()
+    return spark.read.parquet(out).select("video_id")
+
+
+@query("""SELECT start, channel, n, views, likes, comments, floor(least(100, least(45, greatest(0, 10 * log10(greatest(greatest(views, 1) / CAST(8 AS DOUBLE), 1)))) + least(20, (likes + comments) / CAST(greatest(views, 1) AS DOUBLE) * 1000)
+  + greatest(0, 20 - CAST(8 AS DOUBLE) / CAST(72 AS DOUBLE) * 20)) * 100 + 0.5) / 100 AS score
+FROM (SELECT time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '2000-01-01') AS start, event_type AS channel, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS views,
+  CAST(sum(user_id % 7) AS BIGINT) AS likes, CAST(sum(user_id % 3) AS BIGINT) AS comments FROM events GROUP BY 1, 2)
+WHERE start + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR""")
+def streamed_scores(spark, d):
+    """Trend scores of eight-hour windows of a stream in which every third event comes twice."""
+
+    def change(s):
+        times = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        cands = s.withColumn("again", F.explode(times)).select(
+            F.col("event_id").alias("video_id"), F.col("ts").alias("published_at"), F.col("event_type").alias("channel"),
+            F.round(F.col("value") * 100).cast("long").alias("views"), (F.col("user_id") % 7).alias("likes"), (F.col("user_id") % 3).alias("comments"),
+        )
+        return W.stream_scores(cands)
+
+    return _streamed(spark, d, "events", change)
+
+
 @query("SELECT sha256(html) AS sha FROM pages EXCEPT SELECT sha256(html) FROM pages WHERE page_id % 10 = 7")
 def streamed_media(spark, d):
     """Contents of a stream that neither the history nor the stream had before."""

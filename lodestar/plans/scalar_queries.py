@@ -187,6 +187,18 @@ def relevance(spark, d):
     return x.withColumn("shown", F.col("score") >= 0.3)
 
 
+@query(
+    f"""WITH q AS MATERIALIZED (SELECT item_id, {_Q} AS q, {R.terms("array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')", C.GENERIC_WORDS)} AS t FROM benchmark b), m AS MATERIALIZED (SELECT doc_id, {_M} AS m FROM documents d),
+x AS (SELECT doc_id, item_id, q, t, len(list_intersect(q, m)) AS qm, len(list_intersect(t, m)) AS tm FROM m, q),
+g AS (SELECT * FROM x WHERE CASE WHEN len(q) > 0 THEN qm > 0 AND (len(t) = 0 OR tm >= 1 OR qm >= 2) WHEN len(t) > 0 THEN tm >= 1 ELSE false END)
+SELECT * FROM (SELECT doc_id, item_id, floor(least(1, qm / CAST(greatest(len(q), 1) AS DOUBLE) * 0.6 + tm / CAST(greatest(len(t), 1) AS DOUBLE) * 0.4) * 1000000 + 0.5) / 1000000 AS score FROM g) WHERE score >= 0.4"""
+)
+def shown_documents(spark, d):
+    """The pairs of documents and items at the web score's cutoff of 0.4, each item with a topic of its own; found by their rarer terms."""
+    items = X.load(spark, d, "benchmark").withColumn("topic", F.array_join(F.slice(F.split("text", " "), 1, 6), " "))
+    return matching.shown_pairs(X.load(spark, d, "documents"), items, "doc_id", "item_id", cutoff=0.4, query_weight=0.6, topic_weight=0.4)
+
+
 @query(X.with_("verdicts", f"SELECT candidate_id, ok, CASE WHEN upper(trim(content_type)) IN ({', '.join(repr(t) for t in C.CONTENT_TYPES)}) THEN upper(trim(content_type)) ELSE 'EXPLAINER' END AS content_type FROM verdict_ok"))
 def verdict_gate(spark, d):
     v = X.verdicts(spark, d)

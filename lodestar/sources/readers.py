@@ -68,6 +68,39 @@ def read_sources(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> Da
     return union_sources(*read)
 
 
+def _usable(i: Column) -> Column:
+    """Whether an item has an id, a title and a time."""
+    said = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return said(i["id"]) & said(i["snippet"]["title"]) & said(i["snippet"]["publishedAt"])
+
+
+def checked_sources(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, report) of sources given by label as (path, category).
+
+    report: source, pages, failed (pages that are no JSON), n_read and n_refused (items with
+    and without an id, a title and a time), status: `read`, `failed` if any page failed, or
+    `missing`. A source that failed gives no rows, the others all of theirs; rows is None
+    if none was read. Each source is a row of the report, which reaches the driver.
+    """
+    found = []
+    for label, (path, category) in sources.items():
+        try:
+            pages = spark.read.schema(f"{API_PAGE}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        except AnalysisException:  # its path is not there
+            found.append((label, 0, 0, 0, 0, "missing"))
+            continue
+        items = F.coalesce(F.size("items"), F.lit(0))
+        items = F.when(items < 0, 0).otherwise(items)
+        good = F.when(F.col("items").isNotNull(), F.size(F.filter("items", _usable))).otherwise(0)
+        sums = pages.select(F.col("_corrupt").isNotNull().alias("bad"), items.alias("items"), good.alias("good"))
+        r = sums.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.sum("items").alias("items"), F.sum("good").alias("good")).first()
+        n_read = r["good"] or 0
+        found.append((label, r["n"], r["bad"], n_read, (r["items"] or 0) - n_read, "failed" if r["bad"] else "read"))
+    report = spark.createDataFrame(found, "source string, pages long, failed long, n_read long, n_refused long, status string")
+    read = [read_api_pages(spark, sources[s][0], s, sources[s][1]) for s, *_, status in found if status == "read"]
+    return (union_sources(*read) if read else None), report
+
+
 def search_rows(pages: DataFrame, results: Column) -> DataFrame:
     """(title, snippet, source, link, pos) of an array of JSON texts, each an address or an object."""
     one = pages.select("*", F.posexplode(results).alias("pos", "raw"))

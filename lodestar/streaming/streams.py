@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
-from ..operators.similarity import anti_similar
+from ..functions import numbers as N
+from ..operators.similarity import anti_indexed, anti_similar, index_topics
 
 
 def stream_candidates(spark: SparkSession, path: str, schema, files: int = 10, form: str = "parquet") -> DataFrame:
@@ -56,6 +57,32 @@ def stream_unused(cands: DataFrame, history_path: str, out_path: str, checkpoint
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_unused_indexed(cands: DataFrame, index_path: str, out_path: str, checkpoint: str, available_now: bool = True):
+    """As stream_unused(), with the history as an index of keys (see index_topics()): a batch reads only the folders it touches."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        anti_indexed(batch, index_path, number, "video_id", "title").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        done = batch.sparkSession.read.parquet(f"{out_path}/batch={number}")
+        index_topics(done.select(F.col("title").alias("topic")), index_path, number)
+
+    writer = cands.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_scores(cands: DataFrame, key: str = "video_id", ts: str = "published_at", by: str = "channel", hours: int = 8) -> DataFrame:
+    """(start, by, n, views, likes, comments, score): the trend score of each window's sums, of candidates counted once.
+
+    Three steps in one stream: rows whose id has come before are dropped, the others summed
+    up over windows of `hours`, and each closed window scored with its width as the age.
+    cands: key, ts, by, views, likes, comments.
+    """
+    once = stream_dedupe(cands, key, ts)
+    sums = [F.sum(c).alias(c) for c in ("views", "likes", "comments")]
+    summed = once.groupBy(F.window(ts, f"{hours} hours").alias("w"), by).agg(F.count("*").alias("n"), *sums)
+    score = N.trend_score(F.col("views"), F.col("likes"), F.col("comments"), F.lit(float(hours)))
+    return summed.select(F.col("w.start").alias("start"), by, "n", "views", "likes", "comments", score.alias("score"))
+
+
 def stream_seen_media(media: DataFrame, history_path: str, out_path: str, checkpoint: str):
     """Write the media of each batch whose hash neither the history nor an earlier item of the batch has."""
 
