@@ -53,3 +53,37 @@ def test_queries_against_all_combinations(spark, small):
     found = of("relevant_documents")
     assert found == relevant(docs, items) and any(d % 40 != i % 40 for d, i, _ in found)
     assert of("matched_documents") == matched(docs, items)
+
+
+def shown(docs, items, cutoff, query_weight, topic_weight):
+    q, t, m = T.query_terms(F.col("i")), T.topic_terms(F.col("topic")), T.query_terms(F.col("d"))
+    d, i = docs.select("doc_id", F.col("text").alias("d")).distinct(), items.select("item_id", F.col("text").alias("i"), "topic").distinct()
+    x = d.crossJoin(i).filter(G.relevance_gate(q, t, m)).withColumn("score", N.rounded(G.relevance_score(q, t, m, query_weight, topic_weight), 6))
+    return rows(x.filter(F.col("score") >= cutoff).select("doc_id", "item_id", "score"))
+
+
+def test_pairs_at_a_cutoff(spark, small):
+    from lodestar.operators import matching
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    items = spark.createDataFrame([(*x, t) for x, t in zip(ITEMS, ["solar kepler", "", None, "station winds over", "zebra"])], "item_id long, text string, topic string")
+    for cutoff, a, b in ((0.3, 0.7, 0.3), (0.05, 0.6, 0.4), (0.999999, 0.5, 0.5), (0.6, 0.6, 0.4)):
+        got = rows(matching.shown_pairs(docs, items, "doc_id", "item_id", cutoff=cutoff, query_weight=a, topic_weight=b))
+        assert got == shown(docs, items, cutoff, a, b)
+    assert rows(matching.shown_pairs(docs.limit(0), items, "doc_id", "item_id")) == []
+    assert rows(matching.shown_pairs(docs, items.limit(0), "doc_id", "item_id")) == []
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(80)
+    items = spark.read.parquet(f"{small}/benchmark.parquet").withColumn("topic", F.substring("text", 1, 60))
+    got = rows(matching.shown_pairs(docs, items, "doc_id", "item_id", cutoff=0.5))
+    assert got == shown(docs, items, 0.5, 0.7, 0.3) and got
+
+
+def test_common_terms_make_no_candidates(spark):
+    """Words that all texts share pair nothing: candidates are the pairs with a rarer term in common."""
+    from lodestar.operators import matching
+
+    common = [f"common{k}" for k in range(20)]
+    d = spark.range(2000).select(F.col("id").alias("doc"), F.concat(F.array(*map(F.lit, common)), F.array(F.concat(F.lit("own"), F.col("id")))).alias("m"))
+    i = spark.range(500).select(F.col("id").alias("item"), F.concat(F.array(*map(F.lit, common[:4])), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("own"), F.col("id") + k))).alias("q"))
+    i = i.withColumn("t", F.array().cast("array<string>"))
+    assert matching.pairs_to_score(d, i, 0.41, 1.0, 0.0).count() == 500 * 6  # of 1,000,000

@@ -121,3 +121,19 @@ def test_a_source_that_cannot_be_read_is_skipped(spark, tmp_path):
     assert [(r["video_id"], r["source"]) for r in found.collect()] == [("1", "here")]
     with pytest.raises(ValueError):
         R.read_sources(spark, {"gone": (str(tmp_path / "none.json"), "2")})
+
+
+def test_sources_are_checked(spark, tmp_path):
+    """A source with a page that is no JSON gives no rows and says so; the others count without it."""
+    item = lambda i, title="t": {"id": i, "snippet": {"title": title, "publishedAt": "2024-01-31T00:00:00Z"}}
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good/a.json").write_text(page(item("1"), item("2", " "), {"id": None}) + "\n" + json.dumps({"nextPageToken": "x"}) + "\n")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/a.json").write_text(page(item("3")) + "\n" + page(item("4"))[:30] + "\n")
+    paths = {k: (str(tmp_path / k), "1") for k in ("good", "bad", "gone")}
+    rows, report = R.checked_sources(spark, paths)
+    assert [(r["video_id"], r["source"]) for r in rows.collect()] == [("1", "good")]
+    found = {r["source"]: tuple(r)[1:] for r in report.collect()}
+    assert found == {"good": (2, 0, 1, 2, "read"), "bad": (2, 1, 1, 0, "failed"), "gone": (0, 0, 0, 0, "missing")}
+    rows, report = R.checked_sources(spark, {"gone": paths["gone"]})
+    assert rows is None and report.count() == 1

@@ -67,3 +67,40 @@ def test_stream_equals_batch(spark, tmp_path, seed):
     got = sorted((tuple(r) for r in out.collect()), key=repr)
     assert got == let_through(rows, 24)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none").endswith(("HDFSBackedStateStoreProvider", "none"))
+
+
+def test_scores_of_windows(spark, tmp_path):
+    """Batch by batch: repeats are dropped, windows close, and each is scored from its sums."""
+    from lodestar.functions import numbers as N
+
+    rng = random.Random(5)
+    rows = [(f"v{k}", START + timedelta(minutes=17 * k), rng.choice("xy"), rng.randrange(5000), rng.randrange(50), rng.randrange(9)) for k in range(600)]
+    schema = "video_id string, published_at timestamp, channel string, views long, likes long, comments long"
+    batches = [rows[i : i + 120] + rng.sample(rows[max(0, i - 60) : i + 120], 30) for i in range(0, 600, 120)]
+    _, out = ran(W.stream_scores(land(spark, tmp_path / "in", batches, schema)), tmp_path)
+    got = {(r["start"], r["channel"]): (r["n"], r["views"], r["likes"], r["comments"], r["score"]) for r in out.collect()}
+    whole = spark.createDataFrame(rows, schema).groupBy(F.window("published_at", "8 hours").alias("w"), "channel")
+    whole = whole.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("views", "likes", "comments")))
+    whole = whole.withColumn("score", N.trend_score(F.col("views"), F.col("likes"), F.col("comments"), F.lit(8.0)))
+    want = {(r["w"]["start"], r["channel"]): (r["n"], r["views"], r["likes"], r["comments"], r["score"]) for r in whole.collect()}
+    closed = rows[-1][1] - timedelta(hours=72 + 8)
+    assert got == {k: v for k, v in want.items() if k in got} and {k for k in want if k[0] < closed - timedelta(hours=8)} <= set(got)
+
+
+def test_indexed_history(spark, tmp_path):
+    """Batches read only the folders of the index that their keys fall into, and what they let through counts from then on."""
+    from lodestar.operators import similarity as S
+
+    used, out = str(tmp_path / "used"), str(tmp_path / "out")
+    S.index_topics(spark.createDataFrame([("old topic words",), ("solo",), ("",), (None,)], "topic string"), used, -1)
+    batches = [[("1", "old topic again"), ("2", "fresh subject here")], [("3", "fresh subject returns"), ("4", "other thing entirely"), ("5", "solo piece"), ("6", None)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "video_id string, title string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        cands = W.stream_candidates(spark, str(tmp_path / "in"), "video_id string, title string", files=1)
+        W.stream_unused_indexed(cands, used, out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["video_id"] for r in spark.read.parquet(out).select("video_id").collect()) == ["2", "4", "6"]
+    own, kept = S.used_keys(spark.createDataFrame([("7", "solo")], "video_id string, title string"), used, 1, "video_id", "title")
+    cells = {r["cell"] for r in own.collect()}
+    files = {f.split("cell=")[1].split("/")[0] for f in kept.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert files <= {str(c) for c in cells} and len(cells) <= 2
+    assert "PartitionFilters: [isnotnull(batch" in kept._jdf.queryExecution().toString() or "cell" in kept._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
