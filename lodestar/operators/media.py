@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import urls as U
+from ..sources.folders import settled
 from .fingerprints import near_dup_clips, near_stored_clips
 from .gates import limit_reason
 
@@ -54,8 +55,10 @@ def dedupe_media(media: DataFrame, history: DataFrame, frames: DataFrame | None
     m = m.drop("url_used", "hash_used")
     if frames is None:
         return m
+    # Both are read several times below.
+    m = settled(m)
     looked_at = m.filter("reason is null").select(F.col("media_id").alias("_seen"))
-    seen = frames.join(looked_at, F.col("media_id") == F.col("_seen"), "left_semi")
+    seen = settled(frames.join(looked_at, F.col("media_id") == F.col("_seen"), "left_semi"))
     near = near_dup_clips(seen, "media_id", "frame", "h").filter("b_clip < a_clip").select(F.col("a_clip").alias("_near")).distinct()
     m = m.join(near, F.col("media_id") == F.col("_near"), "left")
     m = m.withColumn("reason", F.when(F.col("_near").isNotNull(), "near duplicate").otherwise(F.col("reason"))).drop("_near")

@@ -103,6 +103,44 @@ def allocated_media(spark, d):
     return a.withColumn("pos", F.col("pos").cast("long"))
 
 
+_REFUSED = """, f AS (SELECT frames.* FROM frames JOIN c USING (media_id) WHERE reason IS NULL),
+hit AS (SELECT DISTINCT x.media_id, x.frame, y.media_id AS other FROM f x JOIN f y ON x.media_id <> y.media_id AND bit_count(xor(x.h, y.h)) <= 6),
+nf AS (SELECT media_id, count(DISTINCT frame) AS n FROM f GROUP BY media_id),
+near AS (SELECT hit.media_id, other FROM hit JOIN nf USING (media_id) GROUP BY hit.media_id, other HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.5),
+old AS (SELECT DISTINCT x.media_id, x.frame, y.used_clip FROM f x JOIN used y ON bit_count(xor(x.h, y.h)) <= 6),
+was AS (SELECT old.media_id FROM old JOIN nf USING (media_id) GROUP BY old.media_id, used_clip HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.5),
+clean AS (SELECT media_id FROM c WHERE reason IS NULL AND media_id NOT IN (SELECT media_id FROM was) AND media_id NOT IN (SELECT media_id FROM near WHERE other < media_id)),
+"""
+
+
+@query(X.with_("media media_history fp used frames sections quota_cands", _DEDUPED.rstrip() + _REFUSED + """first_ AS (SELECT * FROM quota_cands WHERE item IN (SELECT media_id FROM clean) QUALIFY row_number() OVER (PARTITION BY script_id, item ORDER BY section_id, tier, turn, pos) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY script_id, section_id ORDER BY tier, turn, pos, item) AS place FROM first_ QUALIFY place <= 4),
+own AS (SELECT script_id, section_id, place AS pos, CAST(item AS VARCHAR) AS path, CASE WHEN item % 2 = 0 THEN 'video' ELSE 'image' END AS kind FROM q),
+pool AS (SELECT script_id, path, kind, row_number() OVER (PARTITION BY script_id ORDER BY section_id, pos, path) - 1 AS slot, count(*) OVER (PARTITION BY script_id) AS n FROM own WHERE kind = 'image'),
+empty_ AS (SELECT script_id, section_id, row_number() OVER (PARTITION BY script_id ORDER BY section_id) - 1 AS k FROM sections s
+  WHERE NOT EXISTS (SELECT 1 FROM own m WHERE m.script_id = s.script_id AND m.section_id = s.section_id))
+SELECT script_id, section_id, pos, path, kind FROM own UNION ALL
+SELECT e.script_id, e.section_id, 1, p.path, p.kind FROM empty_ e JOIN pool p ON p.script_id = e.script_id AND p.slot = e.k % p.n""").replace("\n,", ","))
+def allocated_clean_media(spark, d):
+    """Media of every section from what neither history, stored fingerprints nor earlier items speak against."""
+    index = shared_folder(spark, "fingerprints")
+    H.index_fingerprints(H.stored_frames(X.used_fingerprints(spark, d)), index)
+    a = E.allocate_media(X.quota_cands(spark, d), X.sections(spark, d), 4, _some_media(spark, d), X.media_history(spark, d), X.frames(spark, d), False, index)
+    return a.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT 0 AS pos, '' AS title, '' AS snippet, 'S' || page_id % 3 AS source, url AS link FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 0, '', '', '', url FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT 1, 'T' || page_id, left(html, 20), '', url || '#o' FROM pages")
+def landed_results(spark, d):
+    """Search results read from landed files: pages of addresses and of objects with either name for the link."""
+    p = X.load(spark, d, "pages")
+    first = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct("url", F.concat(F.lit("S"), F.col("page_id") % 3).alias("source")))).otherwise(F.to_json(F.struct("url")))
+    one = F.when(F.col("page_id") % 2 == 0, first).otherwise(F.regexp_extract(first, r'^\{"url":(.*)\}$', 1))
+    two = F.to_json(F.struct(F.concat(F.lit("T"), "page_id").alias("title"), F.left("html", F.lit(20)).alias("snippet"), F.concat("url", F.lit("#o")).alias("link")))
+    path = shared_folder(spark, "results")
+    p.select(F.concat(F.lit('{"results":['), one, F.lit(","), two, F.lit("]}")).alias("value")).write.text(path)
+    return I.read_search_results(spark, path).select("pos", "title", "snippet", "source", "link")
+
+
 @query()
 def built_captions(spark, d):
     """Caption files of whole scripts with their coverage; the parts have SQL of their own."""

@@ -48,19 +48,21 @@ def best_trend(
 
 def allocate_media(
     cands: DataFrame, sections: DataFrame, quota: int, media: DataFrame | None = None, history: DataFrame | None = None,
-    frames: DataFrame | None = None, strict: bool = True,
+    frames: DataFrame | None = None, strict: bool = True, index: str | None = None,
 ) -> DataFrame:
     """Media of every section: its quota of accepted items, what it borrows if it has none, repeats dropped.
 
     cands: as for quota_first_n, with the item's kind. With media (media_id is the item),
-    history and perhaps frames, only items that dedupe_media accepts take part. With strict,
-    a section that stays empty is an error.
+    history and perhaps frames and the index of stored fingerprints, only items that
+    dedupe_media accepts take part, and clips with the content of an earlier section's are
+    repeats. With strict, a section that stays empty is an error.
     """
+    sha = F.lit(None).cast("string").alias("sha")
     if media is not None:
-        accepted = M.dedupe_media(media, history, frames).filter("reason is null").select(F.col("media_id").alias("_item"))
-        cands = cands.join(accepted, F.col("item") == F.col("_item"), "left_semi")
+        accepted = M.dedupe_media(media, history, frames, index).filter("reason is null").select(F.col("media_id").alias("_item"), sha if "sha" not in media.columns else "sha")
+        cands, sha = cands.join(accepted, F.col("item") == F.col("_item")).drop("_item"), F.col("sha")
     own = M.quota_first_n(cands, quota)
-    own = own.select("script_id", "section_id", F.col("place").alias("pos"), F.col("item").cast("string").alias("path"), "kind", F.lit(None).cast("string").alias("sha"))
+    own = own.select("script_id", "section_id", F.col("place").alias("pos"), F.col("item").cast("string").alias("path"), "kind", sha)
     lent = M.fill_from_pool(own, sections).select("script_id", "section_id", F.lit(1).alias("pos"), "path", "kind", F.lit(None).cast("string").alias("sha"))
     filled = own.unionByName(lent)
     if strict:
