@@ -194,7 +194,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gon
     Only text changes; every row stays, with an empty text if all its chunks go. Null and
     empty texts stay as they are. Repeated rows (equal id and text) are one document and
     lose nothing to each other. An empty table gives no rows. Lines end at "\\n"; the lines
-    that stay keep their bytes and order.
+    that stay keep their bytes and order. Very long texts are read whole. Extra columns keep
+    their names and values, whatever they are called; the column of numbers takes a free
+    name like `gone`. Chunks have LEAST_WORDS words at least, so a repeated text of fewer
+    words stays.
     """
     mark = free_name(docs, "mark")
     lost = removals(docs, doc_id, text).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), F.col("gone").alias("g_gone"))

@@ -80,7 +80,9 @@ def mix(
     rows is spread over many of them; a running sum over (partition, source) counts gives
     each partition its start. Reruns agree. Null texts have size 0, null sources are one
     source, null or repeated ids and repeated rows are documents of their own. An empty
-    table gives no rows. Sources without words have target 0.
+    table gives no rows. Sources without words have target 0. Very long texts count whole.
+    Extra columns are ignored, whatever their names. The list of sources reaches the driver:
+    a row for each distinct value of the column.
     """
     spark = docs.sparkSession
     mark = _mark(seed, doc_id, source, text).alias("mark")

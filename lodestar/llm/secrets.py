@@ -149,7 +149,9 @@ def scan(text: Column) -> Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and the fields of scan().
 
-    Every row is scanned whole and on its own, so repeated rows, ties and null ids need no
-    rule; an empty table gives no rows; extra columns are ignored.
+    Every row is scanned whole, however long, and on its own, so repeated rows, ties and null
+    ids need no rule; null and empty texts have no spans; an empty table gives no rows; extra
+    columns are ignored. Windows of letters alone have no threshold: a key without a digit is
+    found only by the base patterns.
     """
     return docs.select("doc_id", scan(F.col("text")).alias("found")).select("doc_id", "found.*")

@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per document: doc_id, fp (long), component_id.
 
     Null, empty and blank texts have the fingerprint 0 and are linked like any other.
-    Repeated rows and repeated ids each keep their row. An empty table gives no rows.
-    Extra columns are ignored, whatever their names.
+    Repeated rows and repeated ids each keep their row; ties go to the smallest id. Very long
+    texts are read whole. An empty table gives no rows. Extra columns are ignored, whatever
+    their names.
     """
     prints = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
     return prints.join(groups(prints), "fp").select("doc_id", "fp", "component_id")

@@ -224,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold:
 
     Labels of documents whose crc32(doc_id as text) mod `folds` is `held_out_fold` are
     never read (a null id counts as the empty text). Texts are scored whole, window by
-    window. Null, empty, repeated and very long texts each get a score; an empty table
+    window; of fits that are as good the one with the smaller gain is taken. Null, empty, repeated and very long texts each get a score; an empty table
     gives no rows; labels without a document, with nulls or other values than 0 and 1 are
     left out. Extra columns are ignored.
     """
