@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -57,6 +57,37 @@ def semi_similar(cands: DataFrame, history: DataFrame, key: str, text: str, used
     return cands.join(found, F.col(key) == F.col("left_id"), "left_semi")
 
 
+def similar_long_pairs(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:
+    """As similar_pairs(), with as many keys as a text has tokens: for texts, where two at a time would be too many.
+
+    Sets of which one has a single token meet on it. Others are similar if they share two
+    tokens. All tokens stand in one order, by how many texts have them; of two that both
+    sets hold the rarer is in neither the last, so sets meet on all tokens but their
+    commonest, and the pairs found are compared. A token that very many texts have is
+    hardly ever looked up by a short text, and is left to AQE to split where it is.
+    """
+    named = lambda df, key, text, name: df.select(F.col(key).alias(name), F.array_distinct(T.topic_tokens(F.col(text))).alias("s")).filter(F.size("s") > 0)
+    a, b = named(left, left_key, left_text, "left_id").distinct(), named(right, right_key, right_text, "right_id").distinct()
+    tokens = lambda df, name: df.select(name, F.xxhash64("s").alias("of"), F.size("s").alias("n"), F.explode("s").alias("x"))
+    each_a, each_b = tokens(a, "left_id"), tokens(b, "right_id")
+    times = each_a.select("x").union(each_b.select("x")).groupBy("x").agg(F.count("*").alias("times"))
+
+    def prefix(each: DataFrame, name: str) -> DataFrame:
+        """Keys: single tokens as such, of the others all but the commonest."""
+        commonest = Window.partitionBy(name, "of").orderBy(F.desc("times"), F.desc("x"))
+        ranked = each.join(times, "x").withColumn("place", F.row_number().over(commonest))
+        return ranked.filter((F.col("n") == 1) | (F.col("place") > 1)).select(name, "n", "x")
+
+    few = lambda each: each.filter("n = 1")
+    short = few(each_a).select("left_id", "x").join(each_b.select("right_id", "x"), "x").select("left_id", "right_id")
+    short = short.union(each_a.select("left_id", "x").join(few(each_b).select("right_id", "x"), "x").select("left_id", "right_id"))
+    long_a, long_b = (prefix(e.filter("n > 1"), name).select(name, "x") for e, name in ((each_a, "left_id"), (each_b, "right_id")))
+    met = long_a.join(long_b, "x").select("left_id", "right_id").distinct()
+    whole = met.join(a.withColumnRenamed("s", "s_a"), "left_id").join(b.withColumnRenamed("s", "s_b"), "right_id")
+    alike = whole.filter(F.size(F.array_intersect("s_a", "s_b")) >= 2).select("left_id", "right_id")
+    return short.union(alike).distinct()
+
+
 #: Folders that the keys of used topics are kept in.
 CELLS = 64
 

@@ -43,6 +43,13 @@ def used_topics(spark, d):
     return S.semi_similar(_cands(spark, d), X.history(spark, d), "video_id", "title", "item_id", "topic").select("video_id", "title")
 
 
+@query(X.with_("history", f"""c AS (SELECT doc_id, {_TOK('text')} AS a FROM documents), h AS (SELECT item_id, {_TOK('topic')} AS b FROM history)
+SELECT DISTINCT doc_id AS left_id, item_id AS right_id FROM c JOIN h ON len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) >= least(2, len(a), len(b))""").replace("FROM benchmark)\nc AS", "FROM benchmark),\nc AS"))
+def similar_texts(spark, d):
+    """Whole texts similar to used topics, with as many keys as a text has tokens."""
+    return S.similar_long_pairs(X.load(spark, d, "documents"), X.history(spark, d), "doc_id", "text", "item_id", "topic")
+
+
 @query(X.with_("media media_history", """SELECT media_id, 'url' AS kind FROM canon WHERE canonical NOT IN (SELECT key_value FROM media_history WHERE key_kind = 'url')
 UNION ALL SELECT media_id, 'hash' FROM media WHERE sha NOT IN (SELECT key_value FROM media_history WHERE key_kind = 'hash')"""))
 def unused_media(spark, d):

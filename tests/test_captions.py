@@ -54,3 +54,46 @@ def test_one_large_script(spark):
     assert sections == 0 and K.clip_cues(c, s, "script_id").count() == n
     met = K._met(c, "start", s.withColumn("s1", F.col("start") + 1).withColumnsRenamed({"start": "s0"}), "s0", "s1", "script_id").count()
     assert met <= 5 * n
+
+
+def filled(rule, duration, items, opening=None):
+    """Segments one after the other. items: (path, seconds or None for an image)."""
+    out, at = [], 0.0
+    if opening and duration > 0:
+        at = min(3.0, max(duration, 0.1))
+        out.append((opening, 0.0, at))
+        items = [i for i in items if i[0] != opening] or items
+    if rule == "whole":
+        items = [i for i in items if i[1]]
+    rest, most = {"even": (0.05, 20 * len(items) + 1), "whole": (0.0, 201), "stills": (0.01, 10**9)}[rule]
+    k, base = 0, at
+    while items and at < duration - rest and k < most:
+        path, own = items[k % len(items)]
+        step = {"even": max((duration - base) / len(items), 1.5), "whole": own, "stills": 2.5 if own is None else max(own, 0.1)}[rule]
+        take = min(step, duration - at)
+        out.append((path, at, take))
+        at, k = at + take, k + 1
+    return out
+
+
+def test_segments_against_a_loop(spark):
+    rng = random.Random(8)
+    sections = [(s, k, rng.choice([0.0, 0.25, 3.0, 7.5, 30.0, 61.0])) for s in range(4) for k in range(6)] + [(9, 0, 5000.0), (9, 1, 300.0)]
+    media = {key: [(f"p{rng.randrange(4)}-{i}", rng.choice([None, 0.5, 2.0, 4.0])) for i in range(rng.choice([0, 1, 2, 4]))] for key in [x[:2] for x in sections]}
+    media[9, 0], media[9, 1] = [("a", 0.5), ("b", None)], [("c", 0.0), ("d", None)]
+    openings = {(s, 0): media[s, 0][0][0] for s in range(4) if media[s, 0]} | {(9, 1): "c"}
+    s = spark.createDataFrame(sections, "script_id int, section_id int, seconds double")
+    rows = [(*key, i, p, "image" if x is None else "video", x) for key, items in media.items() for i, (p, x) in enumerate(items)]
+    m = spark.createDataFrame(rows, "script_id int, section_id int, pos int, path string, kind string, seconds double")
+    o = spark.createDataFrame([(*k, p) for k, p in openings.items()], "script_id int, section_id int, path string")
+    for rule in K.RULES:
+        for opened in (None, o) if rule == "even" else (None,):
+            got = {}
+            for r in K.fill_segments(m, s, rule, opened).collect():
+                got.setdefault((r["script_id"], r["section_id"]), []).append((r["segment"], r["path"], r["start"], r["length"]))
+            for a, b, duration in sections:
+                # Where items last 0.1 seconds, sums in another order differ in the last bits.
+                want = filled(rule, duration, media[a, b], openings.get((a, b)) if opened is not None else None)
+                own = sorted(got.get((a, b), []))
+                assert [x[0] for x in own] == list(range(len(want))) and [x[1] for x in own] == [x[0] for x in want]
+                assert all(abs(x[2] - y[1]) < 1e-6 and abs(x[3] - y[2]) < 1e-6 for x, y in zip(own, want))
