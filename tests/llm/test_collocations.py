@@ -94,6 +94,15 @@ def test_against_brute_force(spark, longest, least, most, inside, shard):
     assert rows(found) == want and want
 
 
+def test_hot_words_are_dealt_out_in_parts(spark, monkeypatch):
+    """Phrases of words above any of the thresholds meet in the part that their last word tells, in every shard."""
+    monkeypatch.setattr(collocations, "PARTS", ((40, 3), (400, 7)))
+    monkeypatch.setattr(collocations, "ROWS", 5)
+    docs = corpus(spark)
+    found = collocations.collocations(docs.repartition(3), least=3, shard_words=700)
+    assert rows(found) == by_hand([tuple(r) for r in docs.collect()], 4, 3, 2000, 80)
+
+
 def test_the_query_against_its_sql(spark, medium):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
