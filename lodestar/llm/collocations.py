@@ -25,6 +25,8 @@ LONGEST, LEAST, MOST, INSIDE = 4, 30, 2000, 80
 SHARD_WORDS, ROWS = 4_000_000, 100_000
 #: Lists of a language that are cut before they meet.
 SALTS = 64
+#: Occurrences from which the phrases that begin with a word are dealt out in so many parts.
+PARTS = ((1 << 17, 64), (1 << 24, 8192))
 
 _ENDS = b".,;:!?\n\v\f\r"
 #: Byte to byte: A-Z in lower case, what ends a piece is a line feed, a tab is a space.
@@ -100,29 +102,57 @@ class Shard:
         of = (xxhash.xxh64_intdigest(w, seed) for w in self.words)
         return np.fromiter(chain([0], of), dtype=np.uint64, count=1 + len(self.words)).view(np.int64)
 
-    def rows(self, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase, n) of phrases by their words' numbers, in order."""
-        own = pa.array(self.words, pa.binary())
-        order = np.lexsort(words.T[::-1])
-        words, n = words[order], n[order]
+    def singles(self) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n) of the words."""
+        own, n = pa.array(self.words, pa.string()), self.index.counts[1:]
         for at in range(0, len(n), ROWS):
-            part = words[at : at + ROWS]
-            phrase = pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in part.T), b" ").cast(pa.string())
+            part = own.slice(at, ROWS)
             lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32)))
-            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n[at : at + ROWS].astype(np.int64))], names=["lang", "phrase", "n"])
-
-
-def _summed(shards: DataFrame, of, least: int) -> DataFrame:
-    """(lang, phrase, f) of what `of` gives for each shard, summed up, from `least` occurrences on."""
-
+            yield pa.RecordBatch.from_arrays([lang, part, pa.array(n[at : at + ROWS])], names=["lang", "phrase", "n"])
+
+    def rows(self, words: np.ndarray, n: np.ndarray, parts: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(lang, first, part, tails, n): phrases by their words' numbers, those with one first word and part together.
+
+        parts: for each word into how many parts its phrases are dealt, by the hash in h of their last word.
+        """
+        part = h[words[:, -1]] % parts[words[:, 0]]
+        order = np.lexsort((*words.T[:0:-1], part, words[:, 0]))
+        words, n, part = words[order], n[order].astype(np.int32), part[order].astype(np.int32)
+        new = np.flatnonzero(np.append(True, (np.diff(words[:, 0]) != 0) | (np.diff(part) != 0))) if len(n) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(n))
+        own = pa.array(self.words, pa.string())
+        # Batches of whole lists, of about ROWS phrases or one list.
+        cuts = np.flatnonzero(np.append(True, np.diff(ends // ROWS) > 0)) if len(new) else new
+        for low, high in zip(cuts, np.append(cuts[1:], len(new))):
+            begin, end = new[low], ends[high - 1]
+            offsets = pa.array(np.append(new[low:high], end) - begin, pa.int32())
+            tails = pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in words[begin:end, 1:].T), " ")
+            lists = pc.binary_join(pa.ListArray.from_arrays(offsets, tails), "\n")
+            lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(high - low, np.int32)))
+            first = own.take(pa.array(words[new[low:high], 0] - 1))
+            yield pa.RecordBatch.from_arrays([lang, first, pa.array(part[new[low:high]]), lists, pa.ListArray.from_arrays(offsets, pa.array(n[begin:end]))], names=["lang", "first", "part", "tails", "n"])
+
+
+def _each(shards: DataFrame, of, schema: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 yield from of(Shard(batch.slice(at, 1).to_pylist()[0]))
 
-    # A shard's rows are distinct: nothing is gained by summing them up before they are dealt out, and their order is kept.
-    rows = shards.mapInArrow(each, "lang string, phrase string, n long").repartition("lang", "phrase")
-    return checkpointed(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+    return shards.mapInArrow(each, schema)
+
+
+def _summed(shards: DataFrame, of, least: int) -> DataFrame:
+    """(lang, phrase, f) of the lists that `of` gives for each shard, summed up, from `least` occurrences on.
+
+    Lists travel whole and are taken apart where all of one word and part have met; a
+    shard's phrases are distinct, so nothing is gained by summing them up before.
+    """
+    lists = _each(shards, of, "lang string, first string, part int, tails string, n array<int>").repartition("lang", "first", "part")
+    zipped = F.explode(F.arrays_zip(F.split("tails", "\n").alias("tail"), F.col("n").alias("n")))
+    rows = lists.select("lang", "first", "part", zipped.alias("x")).select("lang", "first", "part", "x.tail", "x.n")
+    summed = rows.groupBy("lang", "first", "part", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return checkpointed(summed.select("lang", F.concat_ws(" ", "first", "tail").alias("phrase"), "f"))
 
 
 def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
@@ -134,19 +164,32 @@ def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
     shares a place in it by chance is counted too and falls short in the sum.
     """
     spark = shards.sparkSession
-    singles = _summed(shards, lambda s: s.rows(np.arange(1, len(s.words) + 1)[:, None], s.index.counts[1:]), least)
-    frequent = spark.sparkContext.broadcast(bitmap(singles.select(F.xxhash64("lang", "phrase")), slots_for(singles.count())))
+    counted = _each(shards, lambda s: s.singles(), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    singles = checkpointed(counted.filter(F.col("f") >= least))
+
+    def marked(df: DataFrame, key: Column):
+        return spark.sparkContext.broadcast(bitmap(df.select(key), slots_for(df.count())))
+
+    word = lambda k: F.xxhash64("lang", F.substring_index("phrase", " ", k))
+    frequent = marked(singles, word(1))
+    hot = [(n, marked(singles.filter(F.col("f") >= f), word(1))) for f, n in PARTS]
+
+    def parts(h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=np.int64)
+        for n, words in hot:
+            out[has(words.value, h)] = n
+        return out
 
     def pairs(s: Shard) -> Iterator[pa.RecordBatch]:
-        known = has(frequent.value, s.hashes())
+        h = s.hashes()
+        known = has(frequent.value, h)
         first, second, n = s.index.pairs(lambda a, b: known[a] & known[b])
-        return s.rows(np.stack([first, second], axis=1), n)
+        return s.rows(np.stack([first, second], axis=1), n, parts(h), h)
 
     found = [singles, _summed(shards, pairs, least)]
     if longest > 2:
-        word = lambda k: F.xxhash64("lang", F.substring_index("phrase", " ", k))
         mixed = word(1).bitwiseXOR(F.shiftleft(word(-1), 1).bitwiseOR(F.shiftrightunsigned(word(-1), 63)))
-        beside = spark.sparkContext.broadcast(bitmap(found[1].select(mixed), slots_for(found[1].count())))
+        beside = marked(found[1], mixed)
 
         def longer(s: Shard) -> Iterator[pa.RecordBatch]:
             h = s.hashes()
@@ -155,7 +198,7 @@ def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
             phrases = s.index.phrases(allowed)
             for size in range(3, longest + 1):
                 phrases = s.index.extended(phrases, size % 2 == 1, allowed)
-                yield from s.rows(phrases.words, phrases.n)
+                yield from s.rows(phrases.words, phrases.n, parts(h), h)
 
         found.append(_summed(shards, longer, least))
     grams = found[0]
