@@ -55,12 +55,15 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     again: what differs in at most 6 of the free bits meets at every step. It is cut only
     where that at least halves the pairs. So the steps end; what is not cut any more, like
     hashes that are all near to each other, makes about the pairs that are to be found.
+
+    Sides are merged, never broadcast: Spark takes a table for as large as it was before its
+    rows were given dozens of keys each, and the driver would hold them all.
     """
     keys, own, out = ["mask", "value"], ["of_mask", "of_value"], None
 
     def products(x: DataFrame, y: DataFrame, *by: str) -> DataFrame:
         n = [rows.groupBy(*by).agg(F.count("*").alias(name)) for rows, name in ((x, "n_a"), (y, "n_b"))]
-        return n[0].join(n[1], [*by]).withColumn("pairs", F.col("n_a") * F.col("n_b"))
+        return n[0].join(n[1].hint("merge"), [*by]).withColumn("pairs", F.col("n_a") * F.col("n_b"))
 
     while True:
         full = settled(products(a, b, *keys).filter(F.col("pairs") > FULL * (F.col("n_a") + F.col("n_b"))).select(*keys, "pairs"))
@@ -72,7 +75,7 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
             cut = settled(full.join(made, keys, "left").filter(F.coalesce("made", F.lit(0)) * 2 <= F.col("pairs")).select(*keys))
             left, right = (x.join(cut, keys, "left_anti") for x in (a, b))
             ended = cut.isEmpty()
-        met = left.join(right.withColumnRenamed("h", "other"), keys).select("h", "other")
+        met = left.join(right.withColumnRenamed("h", "other").hint("merge"), keys).select("h", "other")
         out = met if out is None else out.union(met)
         if ended:
             return out
@@ -115,7 +118,8 @@ def _near_clips(frames: DataFrame, links: DataFrame, owners: DataFrame, same_tab
     frames: clip, frame, h. links: h, b, hashes that are near or equal. owners: b, b_clip.
     Of n frames at least half hit only if one does among any n - n / 2 + 1; those whose
     near hashes the fewest clips have are taken. Clips meet on them, so a frame that very
-    many clips share pairs nothing by itself; all frames of the pairs found are then counted.
+    many clips share pairs nothing by itself; all frames of the pairs found are then counted,
+    each looked up once by its hash and the other clip, however many near hashes it has.
     """
     total = frames.groupBy("clip").agg(F.countDistinct("frame").alias("n"))
     times = links.join(owners.groupBy("b").agg(F.count("*").alias("times")), "b").groupBy("h").agg(F.sum("times").alias("times"))
@@ -123,9 +127,10 @@ def _near_clips(frames: DataFrame, links: DataFrame, owners: DataFrame, same_tab
     ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("clip").orderBy("times", "frame")))
     needed = F.ceil(F.col("n") * C.NEAR_SHARE)
     rare = ranked.join(total, "clip").filter(F.col("place") <= F.col("n") - needed + 1).select("clip", "frame")
+    reach = links.join(owners, "b").select("h", "b_clip").distinct()
     pairs = frames.join(rare, ["clip", "frame"]).join(links, "h").join(owners, "b")
     pairs = (pairs.filter("clip <> b_clip") if same_table else pairs).select("clip", "b_clip").distinct()
-    hit = frames.join(pairs, "clip").join(links, "h").join(owners, ["b", "b_clip"]).select("clip", "frame", "b_clip").distinct()
+    hit = frames.join(pairs, "clip").join(reach, ["h", "b_clip"]).select("clip", "frame", "b_clip").distinct()
     hit = hit.groupBy("clip", "b_clip").agg(F.count("*").alias("hits"))
     found = hit.join(total, "clip").withColumn("share", F.col("hits") / F.col("n")).filter(F.col("share") >= C.NEAR_SHARE)
     return found.select(F.col("clip").alias("a_clip"), "b_clip", "share")

@@ -235,3 +235,24 @@ def test_clips_near_to_stored_ones(spark, tmp_path):
     got = {(r["a_clip"], r["used"], r["share"]) for r in H.near_stored_clips(spark.createDataFrame(rows, "clip long, frame int, h long"), str(tmp_path / "i")).collect()}
     assert got == {(1, text(s0), 0.75), (2, text(s1), 0.5)} | {(5, text(hs), 1.0) for hs in clips.values()}
     assert spark.range(1).select(H.fingerprint(F.array(*(F.lit(signed(h)) for h in s0)))).first()[0] == text(s0)
+
+
+def test_keyed_hashes_are_never_broadcast(spark):
+    """Each hash has 84 keys, for which Spark's estimate of a table's size does not allow."""
+    hashes = spark.range(300).select(F.xxhash64("id").alias("h"))
+    keyed = H._keyed(hashes, [H._mask([H._BANDS[i] for i in three]) for three in H.combinations(range(9), 3)])
+    assert "Broadcast" not in H._met(keyed, keyed)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clips_of_frames_with_many_near_hashes(spark):
+    """60 clips whose first frames are all near to each other, and whose others are near in pairs."""
+    rows = [(k, 0, 1 << (k % 3) | 1 << (3 + k % 3)) for k in range(60)] + [(k, 1, (k // 2 + 1) * 0x5DEECE66D12F | 1 << (k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "clip long, frame int, h long")
+    want = set()
+    for a in range(60):
+        for b in range(60):
+            mine, other = ([h for c, _, h in rows if c == x] for x in (a, b))
+            share = sum(any((h ^ o).bit_count() <= 6 for o in other) for h in mine) / 2
+            if a != b and share >= 0.5:
+                want.add((a, b, share))
+    assert {tuple(r) for r in H.near_dup_clips(df).collect()} == want
