@@ -82,7 +82,7 @@ _MS = "CAST(floor(value * 100000) AS BIGINT)"
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN value - 50 > 0 THEN value - 50 ELSE value END AS positive, {R.srt(_MS)} AS stamp,
+    f"""SELECT event_id, CASE WHEN value - 50 > 0 THEN value - 50 WHEN value > 0 THEN value END AS positive, {R.srt(_MS)} AS stamp,
        {R.srt('floor(value * 100 * 1000 + 0.5)')} AS rounded, {_MS} AS parsed, {R.chapter('CAST(floor(value * 100) AS BIGINT)')} AS chapter,
        greatest(8, user_id / CAST(110 AS DOUBLE) * 60) AS seconds, CAST(greatest(8, floor(user_id / CAST(110 AS DOUBLE) * 60)) AS BIGINT) AS whole,
        {', '.join(f'floor((least(0.3, value * 0.1) + greatest(value - least(0.3, value * 0.1) * 2, 0.1) * {i} / 4) * 1000 + 0.5) / 1000 AS {name}' for i, name in ((1, 'early'), (2, 'middle'), (3, 'late')))},

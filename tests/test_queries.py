@@ -40,3 +40,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(catalogue.queries()) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_number_functions_of_values_at_and_below_zero(spark, small, tmp_path):
+    """No value above 0 gives null, in the query as in its SQL."""
+    events = spark.read.parquet(f"{small}/events.parquet").limit(4)
+    values = "CASE event_id % 4 WHEN 0 THEN 0.0D WHEN 1 THEN 0.5D WHEN 2 THEN 50.0D ELSE 51.0D END"
+    events.selectExpr("* except (value, event_id)", "monotonically_increasing_id() AS event_id").selectExpr("*", f"{values} AS value").write.parquet(f"{tmp_path}/events.parquet")
+    df = catalogue.queries()["number_functions"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(ORACLES["number_functions"])
+    assert canonical(df.columns, df.collect()) == canonical([c[0] for c in found.description], found.fetchall())
+    assert {r["positive"] for r in df.collect()} == {None, 0.5, 50.0, 1.0}
