@@ -183,9 +183,23 @@ def recover_table(spark: SparkSession, path: str) -> None:
     _recovered(fs, target, aside)
 
 
-def inventory_media(spark: SparkSession, path: str, least_bytes: int, most_bytes: int = C.MAX_BYTES) -> DataFrame:
-    """(path, size, sha) of the files within the limits; the others' bytes are not hashed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def pack_files(files: DataFrame, path: str) -> None:
+    """Write small files (path string, content binary) as rows of a bounded number of Parquet files, with their lengths.
+
+    A folder or file for each of very many would cost the driver, which lists and commits
+    them, more than reading them costs the cluster.
+    """
+    files.select("path", F.length("content").cast("long").alias("length"), "content").write.mode("overwrite").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of files that pack_files() wrote, as the reader of single binary files names them."""
+    return spark.read.schema("path string, length long, content binary").parquet(path)
+
+
+def inventory_media(spark: SparkSession, path: str, least_bytes: int, most_bytes: int = C.MAX_BYTES, packed: bool = False) -> DataFrame:
+    """(path, size, sha) of the files, single or packed, within the limits; the others' bytes are not hashed."""
+    files = read_packed(spark, path) if packed else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     fit = files.filter((F.col("length") >= least_bytes) & (F.col("length") <= most_bytes))
     return fit.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
 
@@ -200,13 +214,21 @@ def cue_rows(files: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select("path", "at", N.parse_srt_time(part(1)).alias("start_ms"), N.parse_srt_time(part(2)).alias("end_ms"), F.trim(part(3)).alias("text"))
 
 
-def read_srt(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def read_srt(spark: SparkSession, path: str, strict: bool = False, packed: bool = False) -> DataFrame:
+    """Cues of caption files, single or packed."""
+    if packed:
+        files = read_packed(spark, path).select("path", F.decode("content", "UTF-8").alias("value"))
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return cue_rows(files, strict)
 
 
-def write_srt(texts: DataFrame, path: str, script: str) -> None:
-    """One folder for each script with its caption text."""
+def write_srt(texts: DataFrame, path: str, script: str, packed: bool = False) -> None:
+    """One folder for each script with its caption text; packed, those files as rows of a bounded number of files."""
+    if packed:
+        name = F.concat(F.lit(f"{script}="), F.col(script).cast("string"), F.lit(".srt"))
+        pack_files(texts.select(name.alias("path"), F.encode("srt", "UTF-8").alias("content")), path)
+        return
     texts.select(script, F.col("srt").alias("value")).write.partitionBy(script).mode("overwrite").text(path)
 
 

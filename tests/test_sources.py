@@ -137,3 +137,33 @@ def test_sources_are_checked(spark, tmp_path):
     assert found == {"good": (2, 0, 1, 2, "read"), "bad": (2, 1, 1, 0, "failed"), "gone": (0, 0, 0, 0, "missing")}
     rows, report = R.checked_sources(spark, {"gone": paths["gone"]})
     assert rows is None and report.count() == 1
+
+
+@pytest.mark.parametrize("name,prefix", [("file_inventory", "files"), ("read_cues", "srt")])
+def test_small_files_are_packed(spark, small, name, prefix):
+    """A query over very many small files writes a bounded number of files, not a folder for each."""
+    import glob
+
+    from lodestar.plans import catalogue
+    from lodestar.sources.folders import shared_base
+
+    base = shared_base(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/{prefix}-*"))
+    catalogue.queries()[name](spark, small).count()
+    (made,) = set(glob.glob(f"{base}/{prefix}-*")) - before
+    assert 0 < len(glob.glob(f"{made}/**/part-*", recursive=True)) <= 8
+
+
+def test_packed_files_equal_single_ones(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,500\nü –\n\n"), (2, "1\n00:00:00,000 --> 00:00:01,000\na\nb\n\n2\n00:00:01,000 --> 00:00:03,000\nc\n\n"), (3, "")], "s int, srt string")
+    for form in (False, True):
+        R.write_srt(texts, str(tmp_path / f"srt{form}"), "s", packed=form)
+    one, many = R.read_srt(spark, str(tmp_path / "srtTrue"), True, packed=True), R.read_srt(spark, f"{tmp_path}/srtFalse/*", True)
+    rows = lambda df: sorted(tuple(r) for r in df.select(F.regexp_extract("path", r"s=(\d+)", 1), "at", "start_ms", "end_ms", "text").collect())
+    assert rows(one) == rows(many) and len(rows(one)) == 3
+    (tmp_path / "files").mkdir()
+    for n in (10, 100, 1000):
+        (tmp_path / "files" / f"f{n}").write_bytes(b"\xff" * n)
+    R.pack_files(spark.read.format("binaryFile").load(str(tmp_path / "files")), str(tmp_path / "packed"))
+    got = [R.inventory_media(spark, str(tmp_path / p), 50, 500, packed=p == "packed") for p in ("files", "packed")]
+    assert got[0].select("path", "size", "sha").collect() == got[1].select("path", "size", "sha").collect() != []
