@@ -178,17 +178,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _banded(text: Column, shingle: int) -> Column:
-    """A struct of a text's set of shingles: id (a hash of the set), size, keys of its bands and sketch."""
-    kind = pa.struct([("id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """A struct of a text: its SimHash fp, and of its set of shingles id (a hash of the set), size, keys of its bands and sketch."""
+    kind = pa.struct([("fp", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<id: long, size: long, keys: array<long>, sketch: array<long>>")
+    @F.arrow_udf("struct<fp: long, id: long, size: long, keys: array<long>, sketch: array<long>>")
     def banded(texts: pa.Array) -> pa.Array:
         out = []
         for v in texts.cast(pa.large_binary()):
-            hashes = shingle_set(v.as_py(), shingle)
+            every = _hashes(v.as_py(), shingle)
+            hashes = np.unique(every)
             own = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
             least = minima(hashes)
-            out.append({"id": own, "size": len(hashes), "keys": bands_of(least) if len(hashes) else [], "sketch": sketch_of(least)})
+            fp = int(np.uint64(_majority(every)).view(np.int64))
+            out.append({"fp": fp, "id": own, "size": len(hashes), "keys": bands_of(least) if len(hashes) else [], "sketch": sketch_of(least)})
         return pa.array(out, kind)
 
     return banded(text)
@@ -238,13 +240,30 @@ def _as(df: DataFrame, end: str, *keep: str) -> DataFrame:
     return df.select(*(F.col(c) if c in keep else F.col(c).alias(c + end) for c in df.columns))
 
 
-def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
+def fingerprint_pairs(held: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets whose SimHash fingerprints are equal or link (see links()).
+
+    held: fp, id; a set has a fingerprint for each way its shingles are repeated. Of the
+    sets under one fingerprint that with the smallest id meets the others and those of
+    fingerprints linked to it, so a fingerprint that very many sets have costs their number.
+    """
+    held = checkpointed(held.distinct())
+    heads = checkpointed(held.groupBy("fp").agg(F.min("id").alias("head")))
+    same = held.join(heads, "fp").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    a, b = (heads.select(F.col("fp").alias(k), F.col("head").alias(f"head_{k}")) for k in "ab")
+    linked = links(heads.select("fp")).join(a, "a").join(b, "b")
+    linked = linked.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    return same.union(linked).filter("a < b").distinct()
+
+
+def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], by_fingerprint: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between sets of shingles whose Jaccard similarity is 0.8 or more.
 
     prints: one row for each distinct set: id, size, keys of its bands, sketch. sets(ids)
-    gives (id, hashes) for the ids asked for. Sets that share a band are candidates if
-    their sizes and sketches allow it (0.996 of the pairs at 0.8, more above); an edge
-    stands only if the sets themselves are that similar.
+    gives (id, hashes) for the ids asked for. by_fingerprint (a, b): candidates whose
+    SimHash fingerprints link. Sets that share a band are candidates as well, for pairs that
+    fingerprints tell apart, if their sizes and sketches allow it (0.996 of the pairs at
+    0.8, more above); an edge stands only if the sets themselves are that similar.
 
     Bands that over `bucket` sets share are first compared with one set alone, that which
     shares most bands with others, so a group of near copies costs its size. Sets that
@@ -270,7 +289,7 @@ def near_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], bucket
     known = full.groupBy("id").agg(F.sum("n").alias("known"))
     heads = full.select("id", "key").join(known, "id").groupBy("key").agg(F.max(F.struct("known", "id"))["id"].alias("head"))
     led = full.join(heads, "key").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-    edges = similar(pairs.union(led))
+    edges = similar(by_fingerprint.union(pairs).union(led))
     if full.isEmpty():
         return edges
     roots = components(edges)
@@ -291,7 +310,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     """The documents without near-duplicates: of each group the row with the smallest doc_id stays.
 
     Groups are what near_links() connects: texts whose sets of shingles have a Jaccard
-    similarity of 0.8 or more. All columns are kept. Null, empty and blank texts are one
+    similarity of 0.8 or more, found by multi-index hashing of their SimHash fingerprints
+    and, where those differ in more than 2 bits, by bands of minima. All columns are kept. Null, empty and blank texts are one
     group. Of repeated rows with the smallest id one stays; of a group without ids, one
     row. An empty table gives no rows. Only texts that a bitmap of those that may go holds
     are shuffled; the others stay where they are read.
@@ -314,7 +334,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
         met = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
         return met.groupBy("id").agg(F.first("hashes").alias("hashes"))
 
-    roots = components(near_links(prints, sets))
+    roots = components(near_links(prints, sets, fingerprint_pairs(slim.select("fp", "id"))))
     firsts = prints.select("id", "least").join(roots, F.col("id") == F.col("node"), "left")
     first = firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
     first = checkpointed(first.select(F.col("least.doc_id").alias(kept_id), F.col("least.mark").alias(kept_mark)))

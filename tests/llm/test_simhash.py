@@ -164,3 +164,34 @@ def test_query_against_brute_force(spark, small):
                 groups.join(a, b)
     got = rows(queries.op1_simhash(spark, small).select("doc_id", "fingerprint", "component_id"))
     assert got == sorted(((d, f"{p:016x}", groups.find(d)) for d, p in prints.items()), key=repr)
+
+
+def _groups(pairs):
+    found = []
+    for pair in pairs:
+        touched = [g for g in found if g & set(pair)]
+        found = [g for g in found if g not in touched] + [set(pair).union(*touched)]
+    return found
+
+
+def test_near_copies_are_found_by_their_fingerprints_alone(spark):
+    """Without any band, sets whose fingerprints link are candidates, and stay linked only where the sets are alike."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    texts = []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"other{k}"]), " ".join(words + words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = docs.select("doc_id", simhash._banded(F.col("text"), 5).alias("s")).select("doc_id", "s.*")
+    rows = made.collect()
+    found = {(r["a"], r["b"]) for r in simhash.fingerprint_pairs(made.select("fp", "id")).collect()}
+    want = {(x["id"], y["id"]) for x in rows for y in rows if x["id"] < y["id"] and ((x["fp"] ^ y["fp"]) & (2**64 - 1)).bit_count() <= 2}
+    joined = lambda pairs: {frozenset(g) for g in _groups(pairs)}
+    assert found <= want and joined(found) == joined(want) and want
+    prints = made.dropDuplicates(["id"]).withColumn("keys", F.array().cast("array<long>"))
+    of = {r["id"]: sorted({int(x) for x in simhash.shingle_set(texts[r["doc_id"]].encode(), 5)}) for r in rows}
+    hashed = spark.createDataFrame([(k, [(x & 0xFFFFFFFF) - (1 << 31) for x in v]) for k, v in of.items()], "id long, hashes array<int>")
+    edges = simhash.near_links(prints, lambda ids: hashed.join(ids, "id"), simhash.fingerprint_pairs(made.select("fp", "id"))).collect()
+    assert {(r["a"], r["b"]) for r in edges} == {p for p in found if len(set(of[p[0]]) & set(of[p[1]])) * 9 >= 4 * (len(of[p[0]]) + len(of[p[1]]))}
