@@ -45,15 +45,24 @@ def limit_reason(duration: Column, size: Column, preview: Column | None = None)
 
 def relevance_gate(q: Column, t: Column, m: Column) -> Column:
     """Term arrays of query, topic and metadata: whether the metadata is about them at all."""
-    qm, tm = T.overlap(q, m), T.overlap(t, m)
-    with_query = (qm > 0) & ((F.size(t) == 0) | (tm >= 1) | (qm >= 2))
-    return F.when(F.size(q) > 0, with_query).when(F.size(t) > 0, tm >= 1).otherwise(False)
+    return counted_gate(T.overlap(q, m), T.overlap(t, m), F.size(q), F.size(t))
+
+
+def counted_gate(qm: Column, tm: Column, nq: Column, nt: Column) -> Column:
+    """relevance_gate() from how many of the nq query and nt topic terms the metadata has."""
+    with_query = (qm > 0) & ((nt == 0) | (tm >= 1) | (qm >= 2))
+    return F.when(nq > 0, with_query).when(nt > 0, tm >= 1).otherwise(False)
 
 
 def relevance_score(q: Column, t: Column, m: Column, query_weight: float = 0.6, topic_weight: float = 0.4) -> Column:
     """Weighted shares of query and topic terms that the metadata has, 1 at most."""
-    share = lambda x: T.overlap(x, m) / F.greatest(F.size(x), F.lit(1))
-    return F.least(F.lit(1.0), share(q) * query_weight + share(t) * topic_weight)
+    return counted_score(T.overlap(q, m), T.overlap(t, m), F.size(q), F.size(t), query_weight, topic_weight)
+
+
+def counted_score(qm: Column, tm: Column, nq: Column, nt: Column, query_weight: float = 0.6, topic_weight: float = 0.4) -> Column:
+    """relevance_score() from the same numbers as counted_gate()."""
+    share = lambda k, n: k / F.greatest(n, F.lit(1))
+    return F.least(F.lit(1.0), share(qm, nq) * query_weight + share(tm, nt) * topic_weight)
 
 
 def _said(c: Column) -> Column:

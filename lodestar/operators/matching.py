@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..sources.folders import settled
 from . import gates as G
 
 
@@ -38,6 +39,23 @@ def relevant_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: st
     return met.select(doc_key, item_key, N.rounded(F.least(F.lit(1.0), share * 0.6 + share * 0.4), 6).alias("score"))
 
 
+def scored_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, query_weight: float, topic_weight: float) -> DataFrame:
+    """(doc_key, item_key, score) of all pairs that pass relevance_gate(). docs: doc_key, m; items: item_key, q, t (arrays of distinct terms).
+
+    Pairs meet on every term of either kind, and how often they meet are the overlaps: no
+    array is carried along with a pair or compared. Each row is an entry of its own.
+    """
+    row = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
+    held = row(docs, "_doc").select("_doc", doc_key, F.explode("m").alias("term"))
+    has = lambda kind: F.array_contains(kind, F.col("term")).cast("int").alias(f"in_{kind}")
+    each = row(items, "_item").select("_item", item_key, "q", "t", F.explode(F.array_union("q", "t")).alias("term"))
+    each = each.select("_item", item_key, "term", F.size("q").alias("nq"), F.size("t").alias("nt"), has("q"), has("t"))
+    keys = ["_doc", doc_key, "_item", item_key, "nq", "nt"]
+    met = held.join(each, "term").groupBy(*keys).agg(F.sum("in_q").alias("qm"), F.sum("in_t").alias("tm"))
+    n = [F.col(c) for c in ("qm", "tm", "nq", "nt")]
+    return met.filter(G.counted_gate(*n)).select(doc_key, item_key, N.rounded(G.counted_score(*n, query_weight, topic_weight), 6).alias("score"))
+
+
 def matching_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, least: int = 2, text: str = "text") -> DataFrame:
     """(doc_key, item_key, terms_match, subject_match) of all pairs for which either holds.
 
@@ -108,7 +126,12 @@ def shown_pairs(
     i = items.select(F.col(item_key).alias("key"), F.col(text).alias("text"), F.col(topic).alias("topic")).distinct()
     mark = F.xxhash64("text", F.col("text").isNull(), "topic", F.col("topic").isNull()).alias("mark")
     i = i.select(F.struct("key", mark).alias("item"), T.query_terms(F.col("text")).alias("q"), T.topic_terms(F.col("topic")).alias("t"))
+    # Texts are read and split once, and each pair's overlaps are taken once: conditions do not move below explode().
+    d = settled(d)
     met = pairs_to_score(d, i, cutoff, query_weight, topic_weight).join(i, "item").join(d, "doc")
     q, t, m = F.col("q"), F.col("t"), F.col("m")
-    scored = met.filter(G.relevance_gate(q, t, m)).withColumn("score", N.rounded(G.relevance_score(q, t, m, query_weight, topic_weight), 6))
+    counted = F.struct(T.overlap(q, m).alias("qm"), T.overlap(t, m).alias("tm"), F.size(q).alias("nq"), F.size(t).alias("nt"))
+    met = met.select("doc", "item", F.explode(F.array(counted)).alias("n"))
+    n = [F.col(f"n.{c}") for c in ("qm", "tm", "nq", "nt")]
+    scored = met.filter(G.counted_gate(*n)).withColumn("score", N.rounded(G.counted_score(*n, query_weight, topic_weight), 6))
     return scored.filter(F.col("score") >= cutoff).select(F.col("doc.key").alias(doc_key), F.col("item.key").alias(item_key), "score")

@@ -176,14 +176,10 @@ g AS (SELECT * FROM x WHERE CASE WHEN len(q) > 0 THEN qm > 0 AND (len(t) = 0 OR
     floor(least(1, qm / CAST(greatest(len(q), 1) AS DOUBLE) * 0.7 + tm / CAST(greatest(len(t), 1) AS DOUBLE) * 0.3) * 1000000 + 0.5) / 1000000 AS score FROM g)"""
 )
 def relevance(spark, d):
-    """All pairs of a document and an item that pass the gate, with the stock score and its cutoff; pairs meet on shared terms."""
+    """All pairs of a document and an item that pass the gate, with the stock score and its cutoff; how often pairs meet on shared terms are their overlaps."""
     b = X.load(spark, d, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("q"), T.topic_terms(F.col("text")).alias("t"))
     m = X.load(spark, d, "documents").select("doc_id", T.query_terms(F.col("text")).alias("m"))
-    terms = b.select("item_id", F.explode(F.array_union("q", "t")).alias("term"))
-    met = m.select("doc_id", F.explode("m").alias("term")).join(terms, "term").select("doc_id", "item_id").distinct()
-    q, t, m_ = F.col("q"), F.col("t"), F.col("m")
-    x = met.join(b, "item_id").join(m, "doc_id").filter(G.relevance_gate(q, t, m_))
-    x = x.select("doc_id", "item_id", N.rounded(G.relevance_score(q, t, m_, 0.7, 0.3), 6).alias("score"))
+    x = matching.scored_pairs(m, b, "doc_id", "item_id", 0.7, 0.3)
     return x.withColumn("shown", F.col("score") >= 0.3)
 
 

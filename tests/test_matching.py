@@ -87,3 +87,16 @@ def test_common_terms_make_no_candidates(spark):
     i = spark.range(500).select(F.col("id").alias("item"), F.concat(F.array(*map(F.lit, common[:4])), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("own"), F.col("id") + k))).alias("q"))
     i = i.withColumn("t", F.array().cast("array<string>"))
     assert matching.pairs_to_score(d, i, 0.41, 1.0, 0.0).count() == 500 * 6  # of 1,000,000
+
+
+def test_scored_pairs_carry_no_arrays(spark):
+    """The overlaps are counted, by row and not by key; no array of terms is joined to a pair."""
+    from lodestar.operators import matching as M
+
+    docs = spark.createDataFrame([(1, ["aaa", "bbb"]), (1, ["ccc"]), (2, []), (3, ["aaa", "ccc", "ddd"]), (3, ["aaa", "ccc", "ddd"])], "d long, m array<string>")
+    items = spark.createDataFrame([(7, ["aaa", "bbb"], ["ccc"]), (8, [], ["ccc"]), (9, [], []), (10, ["ddd", "eee"], []), (7, ["bbb"], ["aaa"])], "i long, q array<string>, t array<string>")
+    got = M.scored_pairs(docs, items, "d", "i", 0.7, 0.3)
+    q, t, m = F.col("q"), F.col("t"), F.col("m")
+    want = docs.crossJoin(items).filter(G.relevance_gate(q, t, m)).select("d", "i", M.N.rounded(G.relevance_score(q, t, m, 0.7, 0.3), 6))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect()) != []
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
