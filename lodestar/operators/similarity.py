@@ -64,12 +64,15 @@ def similar_long_pairs(left: DataFrame, right: DataFrame, left_key: str, left_te
     tokens. All tokens stand in one order, by how many texts have them; of two that both
     sets hold the rarer is in neither the last, so sets meet on all tokens but their
     commonest, and the pairs found are compared. A token that very many texts have is
-    hardly ever looked up by a short text, and is left to AQE to split where it is.
+    hardly ever looked up by a short text, and is left to AQE to split where it is. Tokens
+    that the other side lacks link nothing and go before anything is ranked.
     """
     named = lambda df, key, text, name: df.select(F.col(key).alias(name), F.array_distinct(T.topic_tokens(F.col(text))).alias("s")).filter(F.size("s") > 0)
     a, b = named(left, left_key, left_text, "left_id").distinct(), named(right, right_key, right_text, "right_id").distinct()
     tokens = lambda df, name: df.select(name, F.xxhash64("s").alias("of"), F.size("s").alias("n"), F.explode("s").alias("x"))
     each_a, each_b = tokens(a, "left_id"), tokens(b, "right_id")
+    held = lambda each, other: each.join(other.select("x").distinct(), "x", "left_semi")
+    each_a, each_b = held(each_a, each_b), held(each_b, each_a)
     times = each_a.select("x").union(each_b.select("x")).groupBy("x").agg(F.count("*").alias("times"))
 
     def prefix(each: DataFrame, name: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_long_texts_that_all_share_one_word(spark):
     left = spark.range(20).select(F.col("id").alias("l"), F.concat(F.lit("same "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("w"), F.col("id") * n + k)), " ")).alias("lt"))
     right = spark.range(20).select(F.col("id").alias("r"), F.concat(F.lit("same w"), F.col("id") * n + 5, F.lit(" other"), F.col("id")).alias("rt"))
     assert {tuple(r) for r in S.similar_long_pairs(left, right, "l", "lt", "r", "rt").collect()} == {(k, k) for k in range(20)}
+
+
+def test_tokens_of_one_side_alone_are_not_ranked(spark):
+    """Long texts against short ones: what only one side holds goes before the tokens are put in order."""
+    left = spark.createDataFrame([(1, "qa qb qc qd"), (2, "qx qy"), (3, "qa")], "l long, lt string")
+    right = spark.createDataFrame([(1, "qa qb other"), (2, "none")], "r long, rt string")
+    found = S.similar_long_pairs(left, right, "l", "lt", "r", "rt")
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (3, 1)]
