@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap, has, slots_for
 from .common import checkpointed
-from .fmindex import Index
+from .fmindex import Index, Phrases, packed, unpacked
 
 #: Words of the longest phrase, occurrences a phrase needs, phrases listed for each language, and the percentage of a
 #: phrase's occurrences inside a longer one from which it is dropped.
@@ -27,6 +27,8 @@ SHARD_WORDS, ROWS = 4_000_000, 100_000
 SALTS = 64
 #: Occurrences from which the phrases that begin with a word are dealt out in so many parts.
 PARTS = ((1 << 17, 64), (1 << 24, 8192))
+#: Slots of a sketch that are summed up together.
+SLICE = 1 << 22
 
 _ENDS = b".,;:!?\n\v\f\r"
 #: Byte to byte: A-Z in lower case, what ends a piece is a line feed, a tab is a space.
@@ -142,6 +144,48 @@ def _each(shards: DataFrame, of, schema: str) -> DataFrame:
     return shards.mapInArrow(each, schema)
 
 
+def slots_of(words: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Slots below 2**bits of phrases by their words' numbers, from the hashes h of the words."""
+    out = h[words[:, 0]].astype(np.uint64)
+    for w in words.T[1:]:
+        out = out * np.uint64(0x9E3779B97F4A7C15) ^ h[w].view(np.uint64)
+    return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sketched(slots: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """(slice, slots, n): the slots of a shard's phrases in order, as packed steps, with their occurrences up to `least`."""
+    order = np.argsort(slots)
+    slots, n = slots[order], np.minimum(n[order], least)
+    at = np.flatnonzero(np.append(True, np.diff(slots // SLICE) > 0)) if len(slots) else np.zeros(0, np.int64)
+    for low, high in zip(at, np.append(at[1:], len(slots))):
+        row = int(slots[low] // SLICE), packed(np.diff(slots[low:high] % SLICE, prepend=0)), packed(n[low:high])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "slots", "n"])
+
+
+def _reached(shards: DataFrame, of, least: int) -> DataFrame:
+    """(slot): the slots of the sketch rows that `of` gives for each shard with `least` occurrences in all."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(SLICE, dtype=np.int64)
+
+        def done() -> pa.RecordBatch:
+            found = np.flatnonzero(total >= least)
+            total[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(found + now * SLICE, pa.int64())], names=["slot"])
+
+        for batch in batches:
+            for part, slots, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if now not in (None, part):
+                    yield done()
+                now = part
+                np.add.at(total, np.cumsum(unpacked(slots)), unpacked(n))
+        if now is not None:
+            yield done()
+
+    rows = _each(shards, of, "slice int, slots binary, n binary")
+    return checkpointed(rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slot long"))
+
+
 def _summed(shards: DataFrame, of, least: int) -> DataFrame:
     """(lang, phrase, f) of the lists that `of` gives for each shard, summed up, from `least` occurrences on.
 
@@ -162,6 +206,10 @@ def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
     of frequent words, then, from the frequent pairs on, what stands before and after them;
     a bitmap of the frequent ones, of at most 16 MB, tells the shards where to go on. What
     shares a place in it by chance is counted too and falls short in the sum.
+
+    Most phrases are rare, so before they are sent with their words a sketch is: the slots
+    that they hash to, about a byte each, of as many slots as there are words in all. Only
+    phrases whose slot holds `least` occurrences over all shards are sent and counted.
     """
     spark = shards.sparkSession
     counted = _each(shards, lambda s: s.singles(), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
@@ -180,27 +228,55 @@ def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:
             out[has(words.value, h)] = n
         return out
 
-    def pairs(s: Shard) -> Iterator[pa.RecordBatch]:
-        h = s.hashes()
+    # From here on the occurrences of words in all languages bound those of the phrases.
+    bits = max(10, (shards.agg(F.sum("n")).first()[0] or 0).bit_length())
+
+    def pairs(s: Shard, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = has(frequent.value, h)
         first, second, n = s.index.pairs(lambda a, b: known[a] & known[b])
-        return s.rows(np.stack([first, second], axis=1), n, parts(h), h)
+        return np.stack([first, second], axis=1), n
+
+    def sketched_pairs(s: Shard) -> Iterator[pa.RecordBatch]:
+        h = s.hashes()
+        words, n = pairs(s, h)
+        return _sketched(slots_of(words, h, bits), n, least)
+
+    reached = marked(_reached(shards, sketched_pairs, least), F.col("slot"))
+
+    def counted_pairs(s: Shard) -> Iterator[pa.RecordBatch]:
+        h = s.hashes()
+        words, n = pairs(s, h)
+        keep = has(reached.value, slots_of(words, h, bits))
+        return s.rows(words[keep], n[keep], parts(h), h)
 
-    found = [singles, _summed(shards, pairs, least)]
+    found = [singles, _summed(shards, counted_pairs, least)]
     if longest > 2:
         mixed = word(1).bitwiseXOR(F.shiftleft(word(-1), 1).bitwiseOR(F.shiftrightunsigned(word(-1), 63)))
         beside = marked(found[1], mixed)
 
-        def longer(s: Shard) -> Iterator[pa.RecordBatch]:
-            h = s.hashes()
+        def longer(s: Shard, h: np.ndarray, kept) -> Iterator[Phrases]:
             turned = (h << 1) | (h.view(np.uint64) >> np.uint64(63)).astype(np.int64)
             allowed = lambda a, b: has(beside.value, h[a] ^ turned[b])
             phrases = s.index.phrases(allowed)
             for size in range(3, longest + 1):
                 phrases = s.index.extended(phrases, size % 2 == 1, allowed)
-                yield from s.rows(phrases.words, phrases.n, parts(h), h)
+                if kept:
+                    phrases = phrases.where(kept(phrases.words))
+                yield phrases
+
+        def sketched_longer(s: Shard) -> Iterator[pa.RecordBatch]:
+            h = s.hashes()
+            found = [(slots_of(p.words, h, bits), p.n) for p in longer(s, h, None)]
+            return _sketched(*map(np.concatenate, zip(*found)), least)
+
+        often = marked(_reached(shards, sketched_longer, least), F.col("slot"))
+
+        def counted_longer(s: Shard) -> Iterator[pa.RecordBatch]:
+            h = s.hashes()
+            for p in longer(s, h, lambda words: has(often.value, slots_of(words, h, bits))):
+                yield from s.rows(p.words, p.n, parts(h), h)
 
-        found.append(_summed(shards, longer, least))
+        found.append(_summed(shards, counted_longer, least))
     grams = found[0]
     for more in found[1:]:
         grams = grams.union(more)
@@ -232,8 +308,8 @@ def collocations(
     phrase is dropped. n counts the words of the language.
 
     Each task indexes its texts by shards of one language and `shard_words` words at most
-    (a longer text is a shard of its own); the indexes are written once and read by each of three
-    passes. Shards send each distinct phrase once, so a hot phrase is a row a shard. A longer phrase
+    (a longer text is a shard of its own); the indexes are written once and read by each of five
+    passes. Shards send each distinct phrase that may be frequent once, so a hot phrase is a row a shard. A longer phrase
     that holds a shorter one with two words more lets one with one word more hold it too, so
     only those are looked up.
 

@@ -17,13 +17,14 @@ def _sorted_rows(symbols: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(key)
 
 
-def _packed(a: np.ndarray) -> bytes:
+def packed(a: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed: high bytes are mostly zero."""
     planes = np.ascontiguousarray(a, dtype="<u4").view(np.uint8).reshape(len(a), 4).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unpacked(b: bytes) -> np.ndarray:
+def unpacked(b: bytes) -> np.ndarray:
+    """The numbers of packed()."""
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
@@ -51,6 +52,9 @@ class Phrases:
     back: np.ndarray
     n: np.ndarray
 
+    def where(self, keep: np.ndarray) -> Phrases:
+        return Phrases(self.words[keep], self.ahead[keep], self.back[keep], self.n[keep])
+
 
 class Index:
     """The index of a sequence of word numbers from 1 in which 0 ends every piece.
@@ -79,11 +83,11 @@ class Index:
         return cls(*transforms, counts)
 
     def pack(self) -> list[bytes]:
-        return [_packed(self.ahead.bwt), _packed(self.back.bwt), _packed(self.counts)]
+        return [packed(self.ahead.bwt), packed(self.back.bwt), packed(self.counts)]
 
     @classmethod
     def view(cls, packed: list[bytes]) -> Index:
-        return cls(*map(_unpacked, packed))
+        return cls(*map(unpacked, packed))
 
     def pairs(self, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, second word, count) of the pairs that occur within pieces and that allowed(first, second) lets pass."""

@@ -103,6 +103,26 @@ def test_hot_words_are_dealt_out_in_parts(spark, monkeypatch):
     assert rows(found) == by_hand([tuple(r) for r in docs.collect()], 4, 3, 2000, 80)
 
 
+def test_rare_phrases_are_not_sent(spark, monkeypatch):
+    """Phrases of frequent words that are rare themselves stay in their shards; a sketch of their slots tells."""
+    sent, summed = [], collocations._summed
+
+    def counting(shards, of, least):
+        lists = collocations._each(shards, of, "lang string, first string, part int, tails string, n array<int>")
+        sent.append(lists.agg(F.sum(F.size("n"))).first()[0] or 0)
+        return summed(shards, of, least)
+
+    monkeypatch.setattr(collocations, "_summed", counting)
+    monkeypatch.setattr(collocations, "SLICE", 1 << 9, raising=False)
+    rng = np.random.default_rng(3)
+    made = [("en", " ".join(f"w{k}" for k in rng.integers(0, 150, 500)) + ". red green blue pink") for _ in range(40)]
+    docs = spark.createDataFrame(made, "lang string, text string")
+    found = collocations.collocations(docs.repartition(2), shard_words=5000)
+    assert rows(found) == by_hand(made, 4, 30, 2000, 80)
+    # Of some 18,000 pairs of frequent words, distinct in their shard, few are of those three that occur 30 times.
+    assert 0 < sent[0] < 300 and 0 < sent[1] < 300
+
+
 def test_the_query_against_its_sql(spark, medium):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
