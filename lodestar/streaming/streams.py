@@ -5,9 +5,10 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import AtomicType, BinaryType, BooleanType, DoubleType, FloatType, NumericType
 
 from ..functions import constants as C
 from ..functions import numbers as N
@@ -97,57 +98,82 @@ def stream_seen_media(media: DataFrame, history_path: str, out_path: str, checkp
     return media.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Groups into which stream_seen() deals keys; each has one state.
+BUCKETS = 4096
+
+
 class _Seen(StatefulProcessor):
-    """Lets a key's row through if none was let through in the time to live before it; the state goes when that has passed."""
+    """Lets a row through if none of its key was let through in the time to live before it.
+
+    A group holds the keys of a bucket; its state is the time of each one's row last let
+    through, without those that the watermark has passed, and goes when all have.
+    """
 
-    def __init__(self, live: int) -> None:
-        self.live = live
+    def __init__(self, live: int, names: list[str]) -> None:
+        self.live, self.names = live, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+        self.state = handle.getValueState("last", "keys array<string>, us array<long>")
+
+    def _get(self) -> dict:
+        return dict(zip(*self.state.get())) if self.state.exists() else {}
 
-    def _put(self, us: int) -> None:
-        self.last.update((us,))
-        self.handle.registerTimer((us + self.live) // 1000 + 1)
+    def _put(self, last: dict, passed: int) -> None:
+        """Keep the times that a row not before `passed` could still depend on."""
+        last = {k: us for k, us in last.items() if us + self.live > passed}
+        if last:
+            self.state.update((list(last), list(last.values())))
+            self.handle.registerTimer((max(last.values()) + self.live) // 1000 + 1)
+        else:
+            self.state.clear()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._put(int(initialState["micros"].max()))
+        last = self._get()
+        for k, us in zip(initialState["k"].tolist(), initialState["micros"].tolist()):
+            last[k] = max(us, last.get(k, us))
+        self._put(last, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleInputRows(self, key, rows, timerValues):
         parts = [r for r in rows if len(r)]
-        if not parts:  # a key that has begun with its state alone
+        if not parts:  # a bucket that has begun with its state alone
             return
-        last = self.last.get()[0] if self.last.exists() else None
-        now, kept = last, []
+        last, kept = self._get(), []
         batch = pd.concat(parts).sort_values("micros", kind="stable")
-        for at, us in enumerate(batch["micros"].tolist()):
-            if now is None or us >= now + self.live:
-                now = us
+        for at, (k, us) in enumerate(zip(batch["k"].tolist(), batch["micros"].tolist())):
+            before = last.get(k)
+            if before is None or us >= before + self.live:
+                last[k] = us
                 kept.append(at)
-        if now != last:
-            self._put(now)
         if kept:
-            yield batch.iloc[kept]
+            # Rows that this batch still takes may lie before the watermark, those of the next one don't.
+            self._put(last, timerValues.getCurrentWatermarkInMs() * 1000)
+            yield batch.iloc[kept][self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # A later row may have set the time anew, with a timer of its own.
-        if self.last.exists() and self.last.get()[0] + self.live <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self.last.clear()
+        # Later rows may have set times anew, with a timer of their own.
+        last = self._get()
+        if last:
+            self._put(last, expiredTimerInfo.getExpiryTimeInMs() * 1000)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_seen(rows: DataFrame, key: str, ts: str, hours: int = C.WINDOW_HOURS, seen: DataFrame | None = None) -> DataFrame:
+def stream_seen(rows: DataFrame, key: str, ts: str, hours: int = C.WINDOW_HOURS, seen: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The rows of a stream whose key was not let through in the `hours` before, by state that expires.
 
-    Each key's state is the time of the row last let through. A row at least `hours` later
+    A key's state is the time of its row last let through. A row at least `hours` later
     is let through again; when the watermark (as long again) has passed that point, the
     state goes, so it holds the keys of the last days and no history is read in a batch.
     `seen` (key, ts) are rows of before: they are the state of the first batch.
 
+    Keys are dealt by their hash into `buckets`, and a batch takes each bucket's rows and
+    state at once, since calls for single keys cost far more than their rows. A bucket's
+    state is written whole when one of its keys is let through. It must stay the same as
+    long as the stream's checkpoint is used.
+
     Rows of one key in a batch are taken in order of time; those older than the watermark
     are dropped. Rows without a time are dropped; null keys are one key. The state store
     must be RocksDB's (see rocksdb()).
@@ -155,13 +181,36 @@ def stream_seen(rows: DataFrame, key: str, ts: str, hours: int = C.WINDOW_HOURS,
     names = rows.columns
     # The operator's rows come with names that must be plain words.
     plain = [f"c{i}" for i in range(len(names))]
-    micros = lambda df, k: df.withColumn("micros", F.unix_micros(k)).filter("micros is not null")
-    at = plain[names.index(ts)]
-    marked = micros(_timed(rows, ts).toDF(*plain), at).withWatermark(at, f"{hours} hours")
-    before = None if seen is None else micros(_timed(seen.select(F.col(key).alias("key"), F.col(ts).alias("at")), "at"), "at").groupBy("key")
-    processor = _Seen(hours * 3_600_000_000)
-    found = marked.groupBy(plain[names.index(key)]).transformWithStateInPandas(processor, marked.schema, "Append", "EventTime", before)
-    return found.drop("micros").toDF(*names)
+    at, of = plain[names.index(ts)], plain[names.index(key)]
+
+    def marked(df: DataFrame) -> DataFrame:
+        timed = df.withColumns({"micros": F.unix_micros(at), "k": _plain_key(df, of)}).filter("micros is not null")
+        return timed.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
+
+    # Numbers travel as texts: Pandas would take whole ones beside nulls, and nulls beside NaN, as floating point.
+    kinds = {c: f.dataType for c, f in zip(plain, rows.schema) if c != at and isinstance(f.dataType, (NumericType, BooleanType))}
+    texts = {c: F.col(c).cast("string") for c in kinds}
+    stream = marked(_timed(rows.toDF(*plain), at)).withColumns(texts).withWatermark(at, f"{hours} hours")
+    before = None
+    if seen is not None:
+        cast = F.col(key).cast(rows.schema[key].dataType)
+        before = marked(_timed(seen.select(cast.alias(of), F.col(ts).alias(at)), at)).select("bucket", "k", "micros").groupBy("bucket")
+    found = stream.groupBy("bucket").transformWithStateInPandas(_Seen(hours * 3_600_000_000, plain), stream.select(*plain).schema, "Append", "EventTime", before)
+    return found.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}).toDF(*names)
+
+
+def _plain_key(df: DataFrame, name: str) -> Column:
+    """A text that is the same for the keys that a grouping takes as equal, and for no others; null has one of its own."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, BinaryType):
+        text = F.hex(name)
+    elif isinstance(kind, (FloatType, DoubleType)):
+        text = (F.col(name) + F.lit(0.0).cast(kind)).cast("string")  # -0.0 is 0.0
+    elif isinstance(kind, AtomicType):
+        text = F.col(name).cast("string")
+    else:
+        text = F.to_json(F.struct(name), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return F.coalesce(F.concat(F.lit("="), text), F.lit(""))
 
 
 @contextmanager

@@ -69,6 +69,42 @@ def test_stream_equals_batch(spark, tmp_path, seed):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none").endswith(("HDFSBackedStateStoreProvider", "none"))
 
 
+def test_keys_share_states(spark, tmp_path):
+    """A bucket's keys have one state, begun by a history; numbers come out as they are, beside nulls as well."""
+    rng = random.Random(3)
+    keys, big = [None, *(2**60 + k for k in range(60))], 2**53 + 1
+    rows = sorted(((rng.choice(keys), START + timedelta(minutes=rng.randrange(60 * 400))) for _ in range(900)), key=lambda r: r[1])
+    rows = [(k, at, None if i % 3 else big + i, float("nan") if i % 2 else None) for i, (k, at) in enumerate(rows)]
+    batches = [rng.sample(rows[i : i + 150], 150) for i in range(0, 900, 150)]
+    seen = [(k, START - timedelta(hours=h)) for k in keys[:9] for h in (3, 30)]
+    with W.rocksdb(spark):
+        stream = land(spark, tmp_path / "in", batches, "sha long, ts timestamp, n long, x double")
+        found = W.stream_seen(stream, "sha", "ts", 24, spark.createDataFrame(seen, "sha long, ts timestamp"), buckets=3)
+        q, out = ran(found, tmp_path)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(((k, at) for k, at, *_ in got), key=repr) == let_through([r[:2] for r in rows], 24, seen)
+    assert {repr(r) for r in got} <= {repr(r) for r in rows}
+    # One time for each bucket and a timer, of two rows, for each of the last batches: not one for each key.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * (1 + 2 * 6)
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "distinct"),
+    [
+        ("double", [0.0, -0.0, None, float("nan"), float("nan")], 3),
+        ("string", ["", "=", None, "a"], 4),
+        ("binary", [b"", b"\xff", b"\xfe", None], 4),
+        ("timestamp", [START, START + timedelta(microseconds=1), None], 3),
+        ("array<string>", [["a", "b"], ["a, b"], ["a", None], [], None], 5),
+    ],
+)
+def test_texts_of_keys(spark, kind, values, distinct):
+    df = spark.createDataFrame([(v,) for v in values], f"c0 {kind}")
+    texts = df.select(W._plain_key(df, "c0").alias("k"))
+    assert texts.filter("k is null").count() == 0
+    assert texts.distinct().count() == df.distinct().count() == distinct
+
+
 def test_scores_of_windows(spark, tmp_path):
     """Batch by batch: repeats are dropped, windows close, and each is scored from its sums."""
     from lodestar.functions import numbers as N
