@@ -186,17 +186,50 @@ def _reached(shards: DataFrame, of, least: int) -> DataFrame:
     return checkpointed(rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slot long"))
 
 
+def _added(lists: pa.Table, least: int) -> pa.RecordBatch:
+    """(lang, phrase, f) of whole groups of lists (lang, first, part, tails, n): their phrases summed up, from `least` on."""
+    lists = lists.combine_chunks()
+    tails = pc.split_pattern(lists["tails"], "\n").combine_chunks()
+    row = pc.list_parent_indices(tails)
+    keys = [lists[k].combine_chunks().dictionary_encode() for k in ("lang", "first")]
+    flat = {"lang": keys[0].indices.take(row), "first": keys[1].indices.take(row), "tail": tails.flatten(), "n": lists["n"].combine_chunks().flatten()}
+    sums = pa.table(flat).group_by(["lang", "first", "tail"], use_threads=False).aggregate([("n", "sum")])
+    sums = sums.filter(pc.greater_equal(sums["n_sum"], least)).combine_chunks()
+    lang, first = (k.dictionary.take(sums[c].combine_chunks()) for k, c in zip(keys, ("lang", "first")))
+    phrase = pc.binary_join_element_wise(first, sums["tail"].combine_chunks(), " ")
+    return pa.RecordBatch.from_arrays([lang, phrase, sums["n_sum"].combine_chunks()], names=["lang", "phrase", "f"])
+
+
 def _summed(shards: DataFrame, of, least: int) -> DataFrame:
     """(lang, phrase, f) of the lists that `of` gives for each shard, summed up, from `least` occurrences on.
 
-    Lists travel whole and are taken apart where all of one word and part have met; a
-    shard's phrases are distinct, so nothing is gained by summing them up before.
+    Lists travel whole and are summed up as lists where all of one word and part have met, so
+    only frequent phrases become rows; a shard's phrases are distinct, so nothing is gained by
+    summing them up before.
     """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the lists of one word and part, which may go on in the next batch
+
+        def key(batch: pa.RecordBatch, at: int) -> tuple:
+            return tuple(batch.column(c)[at].as_py() for c in range(3))
+
+        for batch in filter(len, batches):
+            new = np.zeros(len(batch), dtype=bool)
+            new[0] = not held or key(held[-1], 0) != key(batch, 0)
+            for c in batch.columns[:3]:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            if new.any():
+                last = int(np.flatnonzero(new)[-1])
+                if whole := [b for b in (*held, batch[:last]) if len(b)]:
+                    yield _added(pa.Table.from_batches(whole), least)
+                held, batch = [], batch[last:]
+            held.append(batch)
+        if held:
+            yield _added(pa.Table.from_batches(held), least)
+
     lists = _each(shards, of, "lang string, first string, part int, tails string, n array<int>").repartition("lang", "first", "part")
-    zipped = F.explode(F.arrays_zip(F.split("tails", "\n").alias("tail"), F.col("n").alias("n")))
-    rows = lists.select("lang", "first", "part", zipped.alias("x")).select("lang", "first", "part", "x.tail", "x.n")
-    summed = rows.groupBy("lang", "first", "part", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return checkpointed(summed.select("lang", F.concat_ws(" ", "first", "tail").alias("phrase"), "f"))
+    return checkpointed(lists.sortWithinPartitions("lang", "first", "part").mapInArrow(summed, "lang string, phrase string, f long"))
 
 
 def phrase_counts(shards: DataFrame, longest: int, least: int) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,41 @@ def test_rare_phrases_are_not_sent(spark, monkeypatch):
     assert 0 < sent[0] < 300 and 0 < sent[1] < 300
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_lists_are_summed_up_as_lists(spark, monkeypatch, batch):
+    """What shards send is no row for each phrase and shard, and lists of one word are summed up over batches."""
+    plans, checkpointed = [], collocations.checkpointed
+    monkeypatch.setattr(collocations, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or checkpointed(df))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        docs = corpus(spark, 40)
+        found = collocations.collocations(docs.repartition(3), least=3, shard_words=1)
+        assert rows(found) == by_hand([tuple(r) for r in docs.collect()], 4, 3, 2000, 80)
+    finally:
+        spark.conf.set(size, before)
+    assert len(plans) == 6 and not [p for p in plans if "Generate" in p]
+
+
+@pytest.mark.parametrize("least", [1, 5, 100])
+def test_sums_of_lists(least):
+    """Sums of random lists, also of slices of a batch, are those of their phrases one by one."""
+    rng = np.random.default_rng(5)
+    made = [("ab"[rng.integers(2)], "xy"[rng.integers(2)], 0, [f"{k} {k}" for k in rng.permutation(9)[: rng.integers(1, 9)]]) for _ in range(60)]
+    ns = [rng.integers(1, 4, len(tails)).astype(np.int32) for *_, tails in made]
+    batch = pa.RecordBatch.from_pylist(
+        [{"lang": a, "first": b, "part": c, "tails": "\n".join(d), "n": n.tolist()} for (a, b, c, d), n in zip(made, ns)],
+        pa.schema([("lang", pa.string()), ("first", pa.string()), ("part", pa.int32()), ("tails", pa.string()), ("n", pa.list_(pa.int32()))]),
+    )
+    want = Counter()
+    for (lang, first, _, tails), n in list(zip(made, ns))[7:]:
+        for tail, k in zip(tails, n.tolist()):
+            want[lang, f"{first} {tail}"] += k
+    found = collocations._added(pa.Table.from_batches([batch[7:20], batch[20:]]), least).to_pylist()
+    assert sorted((x["lang"], x["phrase"], x["f"]) for x in found) == sorted((*k, f) for k, f in want.items() if f >= least)
+
+
 def test_the_query_against_its_sql(spark, medium):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
