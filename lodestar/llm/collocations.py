@@ -115,9 +115,9 @@ class Shard:
     def rows(self, words: np.ndarray, n: np.ndarray, parts: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         """(lang, first, part, tails, n): phrases by their words' numbers, those with one first word and part together.
 
-        parts: for each word into how many parts its phrases are dealt, by the hash in h of their last word.
+        parts: for each word into how many parts its phrases are dealt, by the hashes in h of their other words.
         """
-        part = h[words[:, -1]] % parts[words[:, 0]]
+        part = slots_of(words[:, 1:], h, 62) % parts[words[:, 0]]
         order = np.lexsort((*words.T[:0:-1], part, words[:, 0]))
         words, n, part = words[order], n[order].astype(np.int32), part[order].astype(np.int32)
         new = np.flatnonzero(np.append(True, (np.diff(words[:, 0]) != 0) | (np.diff(part) != 0))) if len(n) else np.zeros(0, np.int64)

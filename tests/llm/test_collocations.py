@@ -124,6 +124,23 @@ def test_rare_phrases_are_not_sent(spark, monkeypatch):
     assert 0 < sent[0] < 300 and 0 < sent[1] < 300
 
 
+def test_phrases_between_two_words_are_dealt_out(spark, monkeypatch):
+    """Phrases that begin with one hot word and end with one word are no single list: lists that meet are held together."""
+    longest, summed = [], collocations._summed
+
+    def measured(shards, of, least):
+        lists = collocations._each(shards, of, "lang string, first string, part int, tails string, n array<int>")
+        longest.append(lists.agg(F.max(F.size("n"))).first()[0])
+        return summed(shards, of, least)
+
+    monkeypatch.setattr(collocations, "_summed", measured)
+    monkeypatch.setattr(collocations, "PARTS", ((40, 8),))
+    made = [("en", ". ".join(f"from m{k} to" for k in range(60)))] * 30
+    docs = spark.createDataFrame(made, "lang string, text string")
+    assert rows(collocations.collocations(docs.repartition(2), shard_words=500)) == by_hand(made, 4, 30, 2000, 80)
+    assert longest[1] < 30
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_lists_are_summed_up_as_lists(spark, monkeypatch, batch):
     """What shards send is no row for each phrase and shard, and lists of one word are summed up over batches."""
